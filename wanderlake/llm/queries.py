@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, packing, sharding, urlfilter
+from . import chat, fingerprint, neardup, packing, quality, sharding, toxicity, urlfilter
 from .tables import small_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -20,6 +20,23 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(packing.TOKENIZER))
 
 
+def categories() -> dict:
+    """The categories that the labels have, in the chain's order."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories())
+    return toxicity.score(docs, chain, list(categories()))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("\\### Assistant: </turn> ok")
@@ -59,6 +76,12 @@ from keyed k left join fits f on k.host = f.host and k.path = f.path
 """
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
@@ -70,7 +93,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_chat_formatting, op5_sharding, op6_url_filters, op9_document_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op9_document_fingerprints, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
