@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, neardup, packing, quality, sharding, toxicity, urlfilter
+from . import chat, decontam, fingerprint, lm, neardup, packing, quality, sharding, toxicity, urlfilter
 from .tables import small_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -86,6 +86,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
@@ -97,7 +103,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op9_document_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op8_lm_scoring, op9_document_fingerprints, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
