@@ -12,7 +12,7 @@ def hourly_dwell(semantic: DataFrame) -> DataFrame:
     """user_id, location_id, local_date, hour, dwell_s: stays cut at every full hour of the instant, then put on the local clock."""
     hours = F.sequence(F.date_trunc("hour", F.col("arrival")).cast("timestamp_ntz"), F.col("departure"), F.expr("interval 1 hour"))
     h = semantic.select("user_id", "location_id", "arrival", "departure", "timezone_id", F.explode(hours).alias("h"))
-    s = F.timestamp_diff("SECOND", F.greatest("arrival", "h"), F.least("departure", F.col("h") + F.expr("interval 1 hour")))
+    s = F.timestamp_diff("MICROSECOND", F.greatest("arrival", "h"), F.least("departure", F.col("h") + F.expr("interval 1 hour"))) / 1e6
     h = h.withColumn("s", s).where("s > 0").withColumn("local", F.convert_timezone(F.lit("UTC"), F.col("timezone_id"), F.greatest("arrival", "h")))
     return h.groupBy("user_id", "location_id", F.to_date("local").alias("local_date"), F.hour("local").alias("hour")).agg(F.sum("s").alias("dwell_s"))
 

@@ -34,19 +34,23 @@ def walk(seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius_m: float,
 
 
 def detect_staypoints(cleaned: DataFrame, distance_threshold_m: float = 200.0, min_dwell_s: float = 1200.0) -> DataFrame:
-    """One row a stay. Groups are single sequences, which gaps keep short."""
+    """One row a stay."""
     require(cleaned, "user_id", "sequence_id", "ts", "lat", "lon")
     if distance_threshold_m < 0 or min_dwell_s < 0:
         raise ValueError("thresholds must not be negative")
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", kind="stable")
-        t, lat, lon = g["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, g["lat"].to_numpy(), g["lon"].to_numpy()
-        rows = [
-            (*key, g["ts"].iloc[a], g["ts"].iloc[b], t[b] - t[a], float(np.median(lat[a : b + 1])), float(np.median(lon[a : b + 1])), b - a + 1)
-            for a, b in walk(t, lat, lon, distance_threshold_m, min_dwell_s)
-        ]
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["sequence_id", "ts"], kind="stable")
+        ts, user, sequence = g["ts"].to_numpy(), g["user_id"].iloc[0], g["sequence_id"].to_numpy()
+        t, lat, lon = ts.astype("datetime64[us]").astype("int64") / 1e6, g["lat"].to_numpy(), g["lon"].to_numpy()
+        cuts = np.flatnonzero(np.append(True, sequence[1:] != sequence[:-1]))
+        rows = []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
+            for a, b in walk(t[lo:hi], lat[lo:hi], lon[lo:hi], distance_threshold_m, min_dwell_s):
+                a, b = lo + a, lo + b
+                rows.append((user, sequence[a], ts[a], ts[b], t[b] - t[a], float(np.median(lat[a : b + 1])), float(np.median(lon[a : b + 1])), b - a + 1))
         return pd.DataFrame(rows, columns=["user_id", "sequence_id", "arrival", "departure", "duration_s", "lat", "lon", "n_points"])
 
+    # Up to 256 sequences of a user share a call of the kernel: few groups, and no user is bound to one task.
     lone = cleaned.select(F.col("user_id").cast("long"), F.col("sequence_id").cast("long"), "ts", "lat", "lon")
-    return lone.groupBy("user_id", "sequence_id").applyInPandas(run, STAYS)
+    return lone.groupBy("user_id", F.floor(F.col("sequence_id") / 256).alias("part")).applyInPandas(run, STAYS)

@@ -125,7 +125,7 @@ def distance_chain_locations(spark, sf_dir):
     return home_office.locate_stays(home_office.detect(points(_events(spark, sf_dir))), "dbscan", 100.0).locations.drop("lat", "lon")
 
 
-@query(STAYS + " union all ".join(f"select user_id, location_id::bigint as location_id, label, dwell_s::double as dwell_s, dates::bigint as dates, round(share, 6) as share from ({_features(r)})" for r in evidence.RULES))
+@query(STAYS + " union all ".join(f"select user_id, location_id::bigint as location_id, label, round(dwell_s, 6)::double as dwell_s, dates::bigint as dates, round(share, 6) as share from ({_features(r)})" for r in evidence.RULES))
 def window_features(spark, sf_dir):
     x = home_office.from_events(spark, sf_dir)
     f = [evidence.window_features(x.semantic, x.locations, r) for r in evidence.RULES]
@@ -146,11 +146,11 @@ def gate_status(spark, sf_dir):
     return evidence.gate_status(x.semantic, x.locations, evidence.HOME).unionByName(evidence.gate_status(x.semantic, x.locations, evidence.OFFICE))
 
 
-_HOURS = """, h as (select user_id, location_id, cast(greatest(la, hh) as date) as local_date, hour(greatest(la, hh)) as hour, sum(date_diff('second', greatest(la, hh), least(ld, hh + interval 1 hour))) as dwell_s
+_HOURS = """, h as (select user_id, location_id, cast(greatest(la, hh) as date) as local_date, hour(greatest(la, hh)) as hour, sum(epoch_us(least(ld, hh + interval 1 hour)) - epoch_us(greatest(la, hh))) / 1e6 as dwell_s
   from (select *, unnest(generate_series(date_trunc('hour', la), ld, interval 1 hour)) as hh from s) where least(ld, hh + interval 1 hour) > greatest(la, hh) group by all)"""
 
 
-@query(STAYS + _HOURS + "select user_id, location_id::bigint as location_id, cast(local_date as varchar) as local_date, hour, dwell_s::bigint as dwell_s from h where dwell_s > 0")
+@query(STAYS + _HOURS + "select user_id, location_id::bigint as location_id, cast(local_date as varchar) as local_date, hour, round(dwell_s, 6) as dwell_s from h where dwell_s > 0")
 def hourly_dwell(spark, sf_dir):
     return days.hourly_dwell(home_office.from_events(spark, sf_dir).semantic)
 

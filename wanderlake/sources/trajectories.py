@@ -62,7 +62,11 @@ def points(events: DataFrame, defects: bool = False) -> DataFrame:
     p = p.select("user_id", "event_id", (F.col("ts") + F.make_dt_interval(mins=F.col("k") * 5)).alias("ts"), "lat", "lon", "k")
     if not defects:
         return p.select("user_id", "event_id", "ts", "lat", "lon")
-    bad = p.withColumn("lat", F.when((F.col("event_id") % 97 == 0) & (F.col("k") == 2), F.lit(200.0)).otherwise(F.col("lat")))
-    twin = p.where((F.col("event_id") % 89 == 0) & (F.col("k") == 3)).withColumn("lat", F.col("lat") + 0.02)
-    jump = p.where((F.col("event_id") % 83 == 0) & (F.col("k") == 1)).withColumn("ts", F.col("ts") + F.expr("interval 60 seconds")).withColumn("lat", F.col("lat") + 1.0)
-    return bad.unionByName(twin).unionByName(jump).select("user_id", "event_id", "ts", "lat", "lon")
+    hit = lambda n, k: (F.col("event_id") % n == 0) & (F.col("k") == k)
+    row = lambda ts, lat: F.struct(ts.alias("ts"), lat.alias("lat"), F.col("lon").alias("lon"))
+    variants = F.array(
+        row(F.col("ts"), F.when(hit(97, 2), F.lit(200.0)).otherwise(F.col("lat"))),
+        F.when(hit(89, 3), row(F.col("ts"), F.col("lat") + 0.02)),
+        F.when(hit(83, 1), row(F.col("ts") + F.expr("interval 60 seconds"), F.col("lat") + 1.0)),
+    )
+    return p.select("user_id", "event_id", F.inline(F.array_compact(variants)))
