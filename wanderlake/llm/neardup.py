@@ -6,8 +6,8 @@ next arrival is later than the latest register. Two texts share a register's win
 the probability of their probability Jaccard similarity. Registers are banded; texts that share a band are
 candidates, and are verified by their exact similarity over whole texts.
 
-Equal texts are one node from the start. In a bucket of a band, every member is tested against the least one, so
-a bucket of n texts makes n - 1 pairs. Once components are known, only buckets that still hold
+Equal texts are one node from the start. In a bucket of a band, every member is tested against the one that shares
+most buckets with others, so a bucket of n texts makes n - 1 pairs. Once components are known, only buckets that still hold
 several components are looked at again: what isn't in a bucket's largest component is tested against all of the
 bucket's other components. So no candidate link between two components stays untested.
 
@@ -35,7 +35,7 @@ SHINGLE, BANDS, ROWS, LEAST = 5, 32, 6, 0.8
 LEAST_ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / (BANDS * ROWS)) ** 0.5
 #: Ids that may be broadcast (16 MB); beyond, texts and ids meet in a shuffle.
 IDS_BROADCAST = 1_000_000
-NO_ID = -(2**63)
+NO_ID = -(2**63) + 1
 U64 = np.uint64
 
 
@@ -178,9 +178,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
     keys = nodes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.save(keys.join(buckets.select("key", "least"), "key"), "shared")
-    first = scratch.save(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "first")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(keys.join(buckets, "key"), "shared")
+    # The text that others centre on shares more bands with them than they do with each other, so it is the best one to test against.
+    degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    central = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
+    first = shared.join(central, "key").where("id <> centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
+    first = scratch.save(first.distinct(), "first")
     links = verified(first, nodes, docs, scratch, "one")
     labels = components(links, scratch, "round-one")
 
