@@ -96,7 +96,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences), using every piece once."""
+    """(lengths in a sequence, number of such sequences), using every piece once.
+
+    Exact fills of many short pieces can leave too few of them for the rest, so plans with sums of one, up to two and up
+    to three lengths are made, and that of the fewest sequences is taken.
+    """
+    return min((_plan(histogram, size, most) for most in (1, 2, 3)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(histogram: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with sums of at most ``most`` lengths."""
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -122,12 +131,12 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, .
         gap = size - a
         if left[a] and left[gap]:
             take((a, gap))
-        for pair in pairs.get(gap, ()):
+        for pair in pairs.get(gap, ()) if most >= 2 else ():
             if not left[a]:
                 break
             if left[pair[0]] and left[pair[1]]:
                 take((a, *pair))
-        for b in have:  # triples: one length of the gap, and a pair for what is then left
+        for b in have if most >= 3 else ():  # triples: one length of the gap, and a pair for what is then left
             if not left[a]:
                 break
             if b >= gap or not left[b]:
