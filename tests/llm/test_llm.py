@@ -70,6 +70,27 @@ def test_probability_jaccard():
     assert neardup.similarity(*arrays) == pytest.approx(want)
 
 
+def test_bounds_keep_every_link_between_components(spark):
+    """Brute force over families of edited texts, each text its own component."""
+    r = random.Random(11)
+    texts = []
+    for family in range(6):
+        words = (prose(60, 500 + family) + " ") * (1 + family % 2)
+        for _ in range(12):
+            w = words.split()
+            for _ in range(r.randrange(5)):
+                w[r.randrange(len(w))] = r.choice(VOCABULARY)
+            texts.append(" ".join(w))
+    texts += ["", "one two", texts[0]]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, label long, text string")
+    owner, shingle, count, n = neardup.weighted(pa.array(texts))
+    sets = [(shingle[owner == i], count[owner == i]) for i in range(n)]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if neardup.similarity(sets[a], sets[b]) >= neardup.LEAST}
+    got = {tuple(x) for x in neardup.may_link(neardup.heads(df)).collect()}
+    assert len(want) > 20 and want <= got and len(got) < 3 * len(want)
+    assert neardup.heads(df.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", None, "", "a\\b\\h####<join/>\\", "é 💥 \\c:"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "user", "assistant", "assistant", "odd: role"], texts, strict=True))]

@@ -8,8 +8,13 @@ candidates, and are verified by their exact similarity over whole texts.
 
 Equal texts are one node from the start. In a bucket of a band, every member is tested against the one that shares
 most buckets with others, so a bucket of n texts makes n - 1 pairs. Once components are known, only buckets that still hold
-several components are looked at again: what isn't in a bucket's largest component is tested against all of the
-bucket's other components. So no candidate link between two components stays untested.
+several components are looked at again. Their texts would make very many pairs where a large family is only partly
+alike, so pairs that provably fail are left out first: probability Jaccard is at most 1 / (1/m + 1/n - 1), where m and n
+are the shares of each text's weight that lie on common shingles; for 0.8 both must be 0.8 at least. In one order of all
+shingles (rare ones first), the first common shingle then lies among either text's first ones, and what lies
+before it isn't common. A small bitmap of each text's shingles counts more that aren't: a bit that only one text
+has is a shingle that only it has. Texts of different components that meet in such a shingle and may reach 0.8 by both
+bounds are tested, so no link between components stays untested.
 
 Defined cases: a null text is empty; texts without a word are copies of each other only if equal; a text of under
 five words is one shingle; rows with one id are one document, rows with a null id as well (their id stays null);
@@ -36,6 +41,11 @@ LEAST_ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / (BANDS * ROWS)) ** 0.5
 #: Ids that may be broadcast (16 MB); beyond, texts and ids meet in a shuffle.
 IDS_BROADCAST = 1_000_000
 NO_ID = -(2**63) + 1
+#: Cells of the table that tells rare shingles from frequent ones (4 bytes a cell, sent to every task). Shingles that share a cell only blur the order.
+RARITY_CELLS = 1 << 20
+#: 64-bit words of a text's bitmap.
+WORDS = 16
+MAP = [f"m{k}" for k in range(WORDS)]
 U64 = np.uint64
 
 
@@ -167,6 +177,65 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     return out
 
 
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each cell. Tasks count on their own, so the shuffle has at most one row a cell and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_CELLS, np.int64)
+        for batch in batches:
+            for b in tx.chunks(batch, "text"):
+                total += np.bincount((weighted(b.column("text"))[1] % U64(RARITY_CELLS)).astype(np.int64), minlength=RARITY_CELLS)
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + (1 << 16)]), pa.array(total[used[i : i + (1 << 16)]])], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY_CELLS, np.uint32)
+    out[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return out
+
+
+def heads(texts: DataFrame) -> DataFrame:
+    """The rare shingles at the head of every text: id, label, shingle, weight before it, least weight of a shingle, bitmap of all shingles.
+
+    Shingles that no other text holds are left out.
+    """
+    seen = rarity(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tx.chunks(batch, "text"):
+                owner, shingle, count, n = weighted(b.column("text"))
+                rare = seen[(shingle % U64(RARITY_CELLS)).astype(np.int64)]
+                order = np.lexsort((shingle, rare, owner))
+                owner, shingle, rare = owner[order], shingle[order], rare[order]
+                share = count[order] / np.bincount(owner, count[order], n)[owner]
+                before = np.cumsum(share) - share
+                before -= before[np.searchsorted(owner, np.arange(n))[owner]] if len(owner) else 0.0
+                unit, bitmap = np.ones(n), np.zeros((n, WORDS), U64)
+                np.minimum.at(unit, owner, share)
+                bit = tx.mix(shingle)
+                np.bitwise_or.at(bitmap, (owner, ((bit >> U64(6)) % U64(WORDS)).astype(np.int64)), U64(1) << (bit & U64(63)))
+                keep = (before <= 1 - LEAST + 1e-6) & (rare > 1)
+                at, held = pa.array(owner[keep]), bitmap[owner[keep]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(at), b.column("label").take(at), pa.array(shingle[keep].astype(np.int64)), pa.array(before[keep]), pa.array(unit[owner[keep]]), *[pa.array(held[:, k]) for k in range(WORDS)]],
+                    names=["id", "label", "shingle", "before", "unit", *MAP],
+                )
+
+    return texts.select("id", "label", "text").mapInArrow(run, "id long, label long, shingle long, before double, unit double, " + ", ".join(f"{m} long" for m in MAP))
+
+
+def may_link(head: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different labels that meet in a shingle of their heads and may reach the threshold by both bounds."""
+    x, y = head.alias("x"), head.alias("y")
+    alone = lambda p, q: sum(F.bit_count(F.col(f"{p}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{m}")))) for m in MAP) * F.col(f"{p}.unit")
+    shared = lambda p, q: 1 + 1e-6 - F.greatest(F.col(f"{p}.before"), alone(p, q))
+    near = (1 / shared("x", "y") + 1 / shared("y", "x")) <= 1 + 1 / LEAST
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its group of near-duplicates) for every row."""
     scratch = Scratch(docs.sparkSession)
@@ -190,13 +259,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("parts > 1")
-    still = scratch.save(labelled.join(open_keys.select("key", "largest"), "key"), "open")
-    rest = still.where("label <> largest").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"))
-    again = rest.join(still, "key").where("label <> x_label").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
+    open_ids = scratch.save(labelled.join(open_keys.select("key"), "key").select("id", "label").distinct(), "open")
+    open_texts = scratch.save(_texts(docs).join(_small(open_ids, open_ids.count()), "id").dropDuplicates(["id"]), "open-texts")
+    head = scratch.save(heads(open_texts), "heads")
+    # Shingles that only one component holds can't link two.
+    across = head.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
+    again = may_link(head.join(across, "shingle"))
     more = verified(again.join(first, ["a", "b"], "left_anti"), nodes, docs, scratch, "two")
     whole = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(tied), scratch, "round-two")
-    for name in ("shared", "first", "open"):
+    for name in ("shared", "first", "open", "open-texts", "heads"):
         scratch.drop(name)
 
     ids = sketch.select("id").join(whole.withColumnRenamed("node", "id"), "id", "left")
