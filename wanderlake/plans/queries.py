@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from ..operators import clean, days, evidence, joins, locate, recommend, reliability, serving
+from ..operators import clean, days, evidence, joins, locate, recommend, reliability, serving, windows
 from ..sources.trajectories import points, table, visits
 from . import home_office
 
@@ -377,3 +377,34 @@ def place_value_quantiles(spark, sf_dir):
     v = visits(_events(spark, sf_dir)).join(_events(spark, sf_dir).select("event_id", "value"), "event_id")
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return v.groupBy("place").agg(q.alias("q"), F.count("*").alias("n")).select("place", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "n")
+
+
+_DAYS_SEEN = STAYS + ", ud as (select user_id, ldate, count(*) as stays, count(distinct location_id) as places from s group by all)"
+
+
+@query(_DAYS_SEEN + """, wk as (select *, date_diff('day', min(ldate) over (partition by user_id), ldate) // 28 as k from ud)
+select user_id, k::bigint as "window", count(*) as days, sum(stays)::bigint as stays, count(*) >= 6 as eligible from wk group by user_id, k""")
+def calendar_windows(spark, sf_dir):
+    return windows.calendar_windows(home_office.from_events(spark, sf_dir).semantic, 28, 6)
+
+
+@query(_DAYS_SEEN + """, wk as (select *, (row_number() over (partition by user_id order by ldate) - 1) // 8 as k from ud)
+select user_id, k::bigint as block, cast(min(ldate) as varchar) as first_date, cast(max(ldate) as varchar) as last_date, sum(places)::bigint as place_days, date_diff('day', min(ldate), max(ldate)) + 1 as span_days,
+  date_diff('day', min(ldate), max(ldate)) + 1 <= 56 as eligible from wk group by user_id, k having count(*) = 8""")
+def support_windows(spark, sf_dir):
+    return windows.support_windows(home_office.from_events(spark, sf_dir).semantic, 8, 56)
+
+
+@query(STAYS + """select user_id, location_id::bigint as location_id, cast(min(ldate) as varchar) as first_date, cast(cast(quantile_disc(ldate, 0.5) as date) as varchar) as median_date, cast(max(ldate) as varchar) as last_date, count(*) as dates
+  from (select distinct user_id, location_id, ldate from s) group by user_id, location_id""")
+def location_observation_dates(spark, sf_dir):
+    return windows.observation_dates(home_office.from_events(spark, sf_dir).semantic)
+
+
+@query(STAYS + _SEQ + """, n as (select *, dense_rank() over (partition by user_id order by ldate) as k from t), n2 as (select *, max(k) over (partition by user_id) as mk from n),
+e as (select user_id, location_id, nxt, sum(case when k * 2 <= mk then 1 else 0 end)::double as a, sum(case when k * 2 > mk then 1 else 0 end)::double as b from n2 where mk >= 4 and nxt <> location_id group by all),
+pq as (select user_id, a / sum(a) over w as p, b / sum(b) over w as q, sum(a) over w as ta, sum(b) over w as tb from e window w as (partition by user_id))
+select user_id, count(*) as edges, round(sum(abs(p - q)) / 2, 6) as total_variation, round(sum(least(p, q)) / sum(greatest(p, q)), 6) as weighted_jaccard,
+  round(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 6) as jsd from pq where ta > 0 and tb > 0 group by user_id""")
+def edge_shift(spark, sf_dir):
+    return windows.edge_shift(home_office.from_events(spark, sf_dir).semantic)
