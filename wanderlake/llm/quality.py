@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, pool: int
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(CoTrained().fit(text, meta, np.asarray(t["quality"]), ft.folds(ids, 4), share))], pa.binary())], names=["model"])
 
     rows = sample.mapInArrow(extract, "doc_id long, quality int, tokens binary, shape binary, meta binary, meta_dense binary")
-    # The sample is bounded, so one task may hold it.
-    found = rows.coalesce(1).mapInArrow(fit, "model binary").collect()
+    # The sample is bounded, so one task may hold it; its features are made in parallel before.
+    found = rows.repartition(1).mapInArrow(fit, "model binary").collect()
     if found:
         return pickle.loads(bytes(found[0]["model"]))
     return CoTrained().fit(stacked([], []), stacked([], []), np.zeros(0, np.int64), np.zeros(0, np.int64), share)

@@ -9,8 +9,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: a few long texts must not fill a worker as 2,000 of them would.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the Arrow batches that Python workers get, so that long texts stay within memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
