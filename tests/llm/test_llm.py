@@ -299,3 +299,38 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "packing"]
     assert p.run(spark, SF).count() > 0
+
+
+def test_lm_counts_trigrams(spark, none):
+    """Against a plain model of order 3."""
+    r = random.Random(3)
+    texts = [" ".join("w0" if r.random() < 0.5 else f"w{r.randrange(40)}" for _ in range(r.randrange(60))) for _ in range(60)]
+    rows = [*enumerate([*texts, None, "never seen before", texts[0]]), (None, "w0 w0 w1"), (3, "w0 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tok = lambda t: [*(t or "").lower().split(), "</s>"]
+    gram, total, kinds = (collections.Counter() for _ in range(3))
+    for i, t in rows:
+        if not held(i):
+            w = ["<s>", *tok(t)]
+            gram.update((x,) for x in w[1:])
+            gram.update(zip(w, w[1:], strict=False))
+            gram.update(zip(w, w[1:], w[2:], strict=False))
+    for g, n in gram.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    assert kinds["w0",] > 30
+
+    def p(g):
+        if len(g) == 1:
+            return (gram[g] + 0.1) / (total[()] + 0.1 * (kinds[()] + 1))
+        c = g[:-1]
+        return (max(gram[g] - 0.75, 0) + 0.75 * kinds[c] * p(g[1:])) / total[c] if total[c] else p(g[1:])
+
+    want = collections.Counter()
+    for i, t in rows:
+        w = ["<s>", *tok(t)]
+        want[i, round(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), 6)] += 1
+    trie = lm.fit(df, 3)
+    assert collections.Counter((x.doc_id, round(x.score, 6)) for x in lm.score(df, trie).collect()) == want
+    assert lm.score(none, lm.fit(none, 3)).count() == 0 and lm.score(df, lm.fit(none, 3)).count() == len(rows)

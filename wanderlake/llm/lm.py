@@ -1,14 +1,17 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The trie has two levels. Level one holds the words: an Elias-Fano sequence of their hashes (a word's id is its place),
-exact counts, monotone pointers to each word's successors, and quantised back-off weights. Level two holds, for all
-contexts on end, their successors: ids made monotone by the context's base, with quantised smoothed log
-probabilities. A pair is found by successor search within the range that the context's pointers give.
+Level one holds the words: an Elias-Fano sequence of their hashes (a word's id is its place) and exact counts. Level two holds,
+for all words and the start of a text on end, their successors; level three, for all entries of level two on end, theirs.
+In level three a word is replaced by its place among the successors of the word before it, which level two has. A
+level is three Elias-Fano sequences: pointers to each context's successors, the successors made monotone by the last one
+of the context before, and running counts. An entry is found by successor search within its context's range.
 
-Probabilities are of an interpolated bigram with absolute discounting over a unigram with 0.1 added to each count. Counts are taken over
-every training text; nothing is pruned. Level one is cut by ranges of hashes, level two by ranges of contexts, into
-shards whose number follows the corpus. Each shard is one file in the shared folder, written whole and
-then renamed, so a lost task can be run again; workers map the files and read what they touch.
+Probabilities are of an interpolated model with absolute discounting at each order over a unigram with 0.1 added to each count.
+They are made from exact counts when they are looked up. Counts are taken over every training text; nothing is pruned. A context's
+total is its own count one level down, and the number of its successors is the distance of two pointers.
+
+Level one is cut by ranges of hashes. The others are cut by ranges of (context, successor), of about ``LOAD`` training tokens each. Each shard is one file
+in the shared folder, written whole and then renamed, so a lost task can be run again; workers map the files and read what they touch.
 
 Defined cases: a null text is empty and has the end token alone; a null id counts as the empty string; repeated rows count
 as often as they stand; words never seen in training have the smoothed share of one unseen word; with no training text
@@ -33,6 +36,8 @@ from .scratch import shared_root
 
 U64 = np.uint64
 ADD, DISCOUNT, SHARD_BYTES, MOST_SHARDS = 0.1, 0.75, 16 << 20, 1 << 16
+#: Training tokens whose counts meet in one shard of levels two and three.
+LOAD = 2 << 20
 END = tx.mix(np.array([0x454E44], U64))[0]
 
 
@@ -109,7 +114,7 @@ def _by_shard(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Rec
         [
             pa.array(shard[cuts], pa.int32()),
             pa.array([_squeezed(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-            pa.array([_squeezed(counts[a:b].astype(U64)) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            pa.array([_squeezed(np.cumsum(counts[a:b]).astype(U64)) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         ],
         names=["shard", "keys", "counts"],
     )
@@ -117,7 +122,7 @@ def _by_shard(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Rec
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([_unsqueezed(r.as_py()) for r in table["keys"]])
-    counts = np.concatenate([_unsqueezed(r.as_py()) for r in table["counts"]]) if len(keys) else np.zeros(0, U64)
+    counts = np.concatenate([np.diff(_unsqueezed(r.as_py()), prepend=U64(0)) for r in table["counts"]])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -127,11 +132,13 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 COUNTED = "shard int, keys binary, counts binary"
 
 
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of eight bits and the value of each code."""
-    lo, hi = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
-    book = np.linspace(lo, hi, 256)
-    return np.rint((x - lo) / max(hi - lo, 1e-12) * 255).astype(np.uint8), book
+def _cuts(counts: np.ndarray, load: int) -> tuple[list[int], list[float]]:
+    """Where ranges of about load begin: an item, and which share of it lies before. An item is not cut inside."""
+    ends = np.cumsum(counts)
+    target = np.arange(load, int(ends[-1]) if len(ends) else 0, load)
+    item = np.searchsorted(ends, target, "right")
+    share = np.zeros(len(item))
+    return [0, *item.tolist()], [0.0, *share.tolist()]
 
 
 class Words:
@@ -161,15 +168,82 @@ class Words:
         return out
 
 
+class Level:
+    """The successors of all contexts. Its keys are context * size + successor; shard s begins with the key cuts[s]."""
+
+    def __init__(self, store: Store, name: str, cuts: np.ndarray, size: int, contexts: int):
+        self.store, self.name, self.size, self.contexts = store, name, size, contexts
+        self.cuts = np.unique(np.append(cuts.astype(U64), U64(0)))
+        self.first = (self.cuts // U64(size)).astype(np.int64)
+        self.base = np.zeros(len(self.cuts) + 1, np.int64)
+
+    def shards(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, keys, "right") - 1
+
+    def keys(self, context: np.ndarray, successor: np.ndarray | int) -> np.ndarray:
+        return context.astype(U64) * U64(self.size) + np.asarray(successor).astype(U64)
+
+    def write(self, shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        context, x = (keys // U64(self.size)).astype(np.int64), (keys % U64(self.size)).astype(np.int64)
+        last = self.first[shard + 1] if shard + 1 < len(self.first) else self.contexts - 1
+        pointers = np.searchsorted(context, np.arange(self.first[shard], last + 2))
+        ends = np.flatnonzero(np.append(context[1:] != context[:-1], True))
+        before = np.concatenate([[0], np.cumsum(x[ends])[:-1]])
+        values = x + np.repeat(before, np.diff(ends, prepend=-1))
+        sums = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+        self.store.write(
+            f"{self.name}-{shard}",
+            {**ef.encode(pointers, len(keys) + 1, "pointer"), **ef.encode(values, int(values[-1]) + 1, "successor"), **ef.encode(sums, int(sums[-1]) + 1, "sum")},
+        )
+
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[slice, int, dict[str, np.ndarray]]]:
+        """Rows (sorted by shard), the shard and its arrays, for shards that hold anything."""
+        cut = np.searchsorted(shard, np.arange(len(self.cuts) + 1))
+        for s in np.flatnonzero((np.diff(cut) > 0) & (np.diff(self.base) > 0)).tolist():
+            yield slice(cut[s], cut[s + 1]), s, self.store.read(f"{self.name}-{s}")
+
+    def starts(self, context: np.ndarray) -> np.ndarray:
+        """Place of the first successor of each context (sorted); of all entries for the context after the last."""
+        shard = self.shards(self.keys(context, 0))
+        out = self.base[shard].copy()
+        for rows, s, arrays in self._by_shard(shard):
+            out[rows] += ef.Sequence(arrays, "pointer").get(np.minimum(context[rows], self.contexts) - self.first[s]).astype(np.int64)
+        return out
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (-1 if there is none) and count of each entry; sorted by context and successor."""
+        place, count = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        for rows, s, arrays in self._by_shard(self.shards(self.keys(context, successor))):
+            distinct, back = np.unique(context[rows] - self.first[s], return_inverse=True)
+            pointer, values = ef.Sequence(arrays, "pointer"), ef.Sequence(arrays, "successor")
+            lo, hi = (pointer.get(distinct + j).astype(np.int64) for j in (0, 1))
+            before = np.where(lo > 0, values.get(np.maximum(lo - 1, 0)).astype(np.int64), 0)
+            want = successor[rows] + before[back]
+            top = int(values.get(np.array([values.n - 1]))[0])
+            at = np.where(want <= top, values.find(np.minimum(want, top), lo[back], hi[back]), -1)
+            hit = np.flatnonzero(at >= 0)
+            sums = ef.Sequence(arrays, "sum")
+            place[rows] = np.where(at >= 0, at + self.base[s], -1)
+            count[rows.start + hit] = (sums.get(at[hit] + 1) - sums.get(at[hit])).astype(np.int64)
+        return place, count
+
+
+def _discounted(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The interpolated probability; the lower order's where the context was never seen."""
+    seen = np.maximum(total, 1)
+    return np.where(total > 0, np.maximum(count - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * lower, lower)
+
+
 class Trie:
     """What tasks need to use the trie: where its files are, and its sizes."""
 
     def __init__(self, store: Store, shard_bits: int, base: np.ndarray, n_tokens: int):
-        self.words, self.shard_bits, self.base, self.n_tokens = Words(store, shard_bits, base), shard_bits, base, n_tokens
+        self.store, self.words, self.n_tokens = store, Words(store, shard_bits, base), n_tokens
         self.v = int(base[-1])
         self.mass = n_tokens + ADD * (self.v + 1)
-        #: Contexts are the words and the start of a text (id v), in equal ranges.
-        self.width = -(-(self.v + 1) // (1 << shard_bits))
+        self.n_texts = int(self.words.ids(np.array([END], U64))[1][0])
+        self.two: Level | None = None
+        self.three: Level | None = None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADD) / self.mass
@@ -181,53 +255,63 @@ class Trie:
         before[at[:-1]] = self.v
         return before
 
-    def build(self, shard: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """Level two of one range of contexts. keys: context * (v + 1) + word."""
-        size = U64(self.v + 1)
-        context, word = (keys // size).astype(np.int64) - shard * self.width, (keys % size).astype(np.int64)
-        n = np.bincount(context, minlength=self.width)
-        total = np.bincount(context, weights=counts.astype(float), minlength=self.width)
-        distinct, back = np.unique(word, return_inverse=True)
-        lower = self.unigram(self.words.counts(distinct))[back]
-        off = DISCOUNT * n / np.maximum(total, 1)
-        p = (counts - DISCOUNT) / total[context] + off[context] * lower
-        codes, book = _quantised(np.log10(p))
-        weights, weight_book = _quantised(np.where(n > 0, np.log10(np.maximum(off, 1e-30)), 0.0))
-        pointers = np.concatenate([[0], np.cumsum(n)])
-        monotone = keys - U64(shard * self.width) * size
-        return {
-            **ef.encode(pointers, len(keys) + 1, "pointer"), **ef.encode(monotone, self.width * (self.v + 1), "successor"),
-            "code": codes, "book": book, "weight": weights, "weight_book": weight_book,
-        }
-
-    def log_prob(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 of the probability of words after contexts; pairs sorted by context. lower: log10 of the unigram's. -1: unknown."""
-        out = lower.copy()
-        shard = np.where(context >= 0, context // self.width, -1)
-        cut = np.searchsorted(shard, np.arange((1 << self.shard_bits) + 1))
-        for s in np.flatnonzero(np.diff(cut) > 0).tolist():
-            rows = slice(cut[s], cut[s + 1])
-            arrays = self.words.store.read(f"pairs-{s}")
-            c, w = context[rows] - s * self.width, word[rows]
-            distinct, back = np.unique(c, return_inverse=True)
-            pointer = ef.Sequence(arrays, "pointer")
-            lo, hi = (pointer.get(distinct + j).astype(np.int64)[back] for j in (0, 1))
-            at = np.full(len(c), -1, np.int64)
-            known = np.flatnonzero(w >= 0)
-            key = c[known].astype(U64) * U64(self.v + 1) + w[known].astype(U64)
-            at[known] = ef.Sequence(arrays, "successor").find(key, lo[known], hi[known])
-            backed = out[rows] + np.where(hi > lo, arrays["weight_book"][arrays["weight"][c]], 0.0)
-            out[rows] = np.where(at >= 0, arrays["book"][arrays["code"][np.maximum(at, 0)]] if len(arrays["code"]) else 0.0, backed)
-        return out
-
-
-def fit(docs: DataFrame) -> Trie:
-    """Counts the training texts of docs (doc_id, text) and builds the trie."""
+    def second(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place and count in level two of each pair (sorted; -1 is unknown), and its context's first place, number of successors and total."""
+        place, count, start, kinds, total = (np.full(len(context), x, np.int64) for x in (-1, 0, 0, 0, 0))
+        known = np.flatnonzero(context >= 0)
+        distinct, back = np.unique(context[known], return_inverse=True)
+        lo, hi = self.two.starts(distinct), self.two.starts(distinct + 1)
+        start[known], kinds[known] = lo[back], (hi - lo)[back]
+        total[known] = np.where(distinct < self.v, self.words.counts(np.minimum(distinct, self.v)), self.n_texts)[back]
+        both = np.flatnonzero((context >= 0) & (word >= 0))
+        place[both], count[both] = self.two.find(context[both], word[both])
+        return place, count, start, kinds, total
+
+    def third(self, place: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count in level three of each entry (sorted; -1 is unknown), and its context's number of successors."""
+        count, kinds = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        known = np.flatnonzero(place >= 0)
+        distinct, back = np.unique(place[known], return_inverse=True)
+        kinds[known] = (self.three.starts(distinct + 1) - self.three.starts(distinct))[back]
+        both = np.flatnonzero((place >= 0) & (successor >= 0))
+        count[both] = self.three.find(place[both], successor[both])[1]
+        return count, kinds
+
+    def log_prob(self, word: np.ndarray, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token (ids, -1 if unknown) after those before it. lower: the unigram's probability."""
+        # Each different pair once, in order of contexts: unknown words as one, as any of them has the same unigram.
+        pair, first, back = np.unique((self.pairs(word, at) + 1) * (self.v + 2) + (word + 1), return_index=True, return_inverse=True)
+        place, count, start, kinds, total = self.second(pair // (self.v + 2) - 1, pair % (self.v + 2) - 1)
+        p = _discounted(count, total, kinds, lower[first])
+        if self.three is None:
+            return np.log10(p)[back]
+        out = p[back]
+        later = np.setdiff1d(np.arange(len(word)), at[:-1], assume_unique=True)
+        n = max(len(pair), 1)
+        three, again = np.unique(back[later - 1] * n + back[later], return_inverse=True)
+        context, last = three // n, three % n
+        seen, follow = self.third(place[context], np.where(place[last] >= 0, place[last] - start[last], -1))
+        out[later] = _discounted(seen, np.where(place[context] >= 0, count[context], 0), follow, p[last])[again]
+        return np.log10(out)
+
+
+def fit(docs: DataFrame, order: int = 2) -> Trie:
+    """Counts the training texts of docs (doc_id, text) and builds the trie of order 2 or 3."""
     spark = docs.sparkSession
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_SHARDS, max(8, size // SHARD_BYTES)).bit_length() - 1
     store = Store(f"{shared_root(spark)}/wanderlake/trie-{uuid.uuid4().hex}")
+    load = LOAD
+    made = "shard int, n long, total long, item array<long>, share array<double>, word array<long>"
+
+    def report(shard: int, keys: np.ndarray, counts: np.ndarray, word: np.ndarray) -> pa.Table:
+        item, share = _cuts(counts.astype(np.int64), load)
+        wide = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table({
+            "shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()),
+            "item": wide(item, pa.int64()), "share": wide(share, pa.float64()), "word": wide(word[item].tolist(), pa.int64()),
+        })
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,33 +322,71 @@ def fit(docs: DataFrame) -> Trie:
         shard = table["shard"][0].as_py()
         keys, counts = _merged(table)
         store.write(f"words-{shard}", {**ef.encode(keys & U64((1 << (64 - bits)) - 1), 1 << (64 - bits), "hash"), "count": counts.astype(np.int64)})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+        return report(shard, keys, counts, np.zeros(len(keys), np.int64))
 
-    # One row a shard, at most MOST_SHARDS of them.
-    found = texts.mapInArrow(words, COUNTED).groupBy("shard").applyInArrow(level_one, "shard int, n long, total long").collect()
+    # A row a shard, and all of them together one number for each LOAD of tokens.
+    found = texts.mapInArrow(words, COUNTED).groupBy("shard").applyInArrow(level_one, made).collect()
     base = np.zeros((1 << bits) + 1, np.int64)
     for r in found:
         base[r["shard"] + 1] = r["n"]
     trie = Trie(store, bits, np.cumsum(base), sum(r["total"] for r in found))
+    contexts = trie.v + 1
+    inside = _cuts(np.array([trie.n_texts]), load)
+    cuts = [(int(trie.words.base[r["shard"]]) + i) * contexts + int(f * contexts) for r in found for i, f in zip(r["item"], r["share"], strict=True)]
+    cuts += [trie.v * contexts + int(f * contexts) for f in inside[1]]
+    two = Level(store, "pairs", np.array(cuts, U64), contexts, contexts)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, at = _of_batch(batch)
             distinct, back = np.unique(token, return_inverse=True)
             ids = trie.words.ids(distinct)[0][back]
-            keys, counts = np.unique(trie.pairs(ids, at).astype(U64) * U64(trie.v + 1) + ids.astype(U64), return_counts=True)
-            yield _by_shard(keys, counts, (keys // U64((trie.v + 1) * trie.width)).astype(np.int64))
+            keys, counts = np.unique(two.keys(trie.pairs(ids, at), ids), return_counts=True)
+            yield _by_shard(keys, counts, two.shards(keys))
 
     def level_two(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, counts = _merged(table)
-        store.write(f"pairs-{shard}", trie.build(shard, keys, counts))
+        two.write(shard, keys, counts)
+        return report(shard, keys, counts, (keys % U64(two.size)).astype(np.int64))
+
+    found = texts.mapInArrow(pairs, COUNTED).groupBy("shard").applyInArrow(level_two, made).collect()
+    for r in found:
+        two.base[r["shard"] + 1] = r["n"]
+    two.base = np.cumsum(two.base)
+    trie.two = two
+    if order < 3:
+        return trie
+
+    cuts = []
+    for r in found:
+        for i, f, w in zip(r["item"], r["share"], r["word"], strict=True):
+            # Only a pair of more than LOAD tokens is cut inside, by its last word's successors.
+            kinds = int(np.diff(two.starts(np.array([w, w + 1])))[0]) if f else 0
+            cuts.append((int(two.base[r["shard"]]) + i) * contexts + int(f * kinds))
+    three = Level(store, "triples", np.array(cuts, U64), contexts, int(two.base[-1]))
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, at = _of_batch(batch)
+            distinct, back = np.unique(token, return_inverse=True)
+            ids = trie.words.ids(distinct)[0][back]
+            pair, back = np.unique(two.keys(trie.pairs(ids, at), ids), return_inverse=True)
+            place, _, start, _, _ = trie.second((pair // U64(two.size)).astype(np.int64), (pair % U64(two.size)).astype(np.int64))
+            later = np.setdiff1d(np.arange(len(ids)), at[:-1], assume_unique=True)
+            keys, counts = np.unique(three.keys(place[back[later - 1]], (place - start)[back[later]]), return_counts=True)
+            yield _by_shard(keys, counts, three.shards(keys))
+
+    def level_three(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        keys, counts = _merged(table)
+        three.write(shard, keys, counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
-    made = texts.mapInArrow(pairs, COUNTED).groupBy("shard").applyInArrow(level_two, "shard int, n long").collect()
-    empty = np.zeros(0, U64)
-    for s in set(range(1 << bits)) - {r["shard"] for r in made}:
-        store.write(f"pairs-{s}", trie.build(s, empty, empty))
+    for r in texts.mapInArrow(triples, COUNTED).groupBy("shard").applyInArrow(level_three, "shard int, n long").collect():
+        three.base[r["shard"] + 1] = r["n"]
+    three.base = np.cumsum(three.base)
+    trie.three = three
     return trie
 
 
@@ -282,20 +404,14 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
             distinct, back = np.unique(token, return_inverse=True)
             ids, counts = trie.words.ids(distinct)
-            lower = np.log10(trie.unigram(counts))
-            word = ids[back]
-            context = trie.pairs(word, at)
-            # Each different pair once, in order of contexts: unknown words as one.
-            key = (context + 1) * (trie.v + 2) + (word + 1)
-            pair, first, place = np.unique(key, return_index=True, return_inverse=True)
-            # An unknown word's lower probability is the same for all of them, so any one of them may stand for the pair.
-            lp = trie.log_prob(pair // (trie.v + 2) - 1, pair % (trie.v + 2) - 1, lower[back[first]])
+            lower = trie.unigram(counts)[back]
+            lp = trie.log_prob(ids[back], at, lower)
             total = lambda x: np.bincount(owner, weights=x, minlength=len(at) - 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(at)), pa.array(total(counts[back] > 0).astype(np.int64)),
-                    pa.array(np.full(n, trie.n_tokens)), pa.array(total(lower[back])), pa.array(total(lp[place])),
+                    pa.array(np.full(n, trie.n_tokens)), pa.array(total(np.log10(lower))), pa.array(total(lp)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
