@@ -301,8 +301,10 @@ def test_pipeline_stages(spark):
     assert p.run(spark, SF).count() > 0
 
 
-def test_lm_counts_trigrams(spark, none):
-    """Against a plain model of order 3."""
+@pytest.mark.parametrize("load", [lm.LOAD, 40])
+def test_lm_counts_trigrams_and_cuts_hot_contexts(spark, none, monkeypatch, load):
+    """Against a plain model of order 3. With the small load the contexts w0 and (w0, w0) lie in several shards."""
+    monkeypatch.setattr(lm, "LOAD", load)
     r = random.Random(3)
     texts = [" ".join("w0" if r.random() < 0.5 else f"w{r.randrange(40)}" for _ in range(r.randrange(60))) for _ in range(60)]
     rows = [*enumerate([*texts, None, "never seen before", texts[0]]), (None, "w0 w0 w1"), (3, "w0 w2")]
@@ -332,5 +334,6 @@ def test_lm_counts_trigrams(spark, none):
         w = ["<s>", *tok(t)]
         want[i, round(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), 6)] += 1
     trie = lm.fit(df, 3)
+    assert load > 40 or (np.unique(trie.two.first).size < len(trie.two.first) and np.unique(trie.three.first).size < len(trie.three.first))
     assert collections.Counter((x.doc_id, round(x.score, 6)) for x in lm.score(df, trie).collect()) == want
     assert lm.score(none, lm.fit(none, 3)).count() == 0 and lm.score(df, lm.fit(none, 3)).count() == len(rows)

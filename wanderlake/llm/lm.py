@@ -10,7 +10,8 @@ Probabilities are of an interpolated model with absolute discounting at each ord
 They are made from exact counts when they are looked up. Counts are taken over every training text; nothing is pruned. A context's
 total is its own count one level down, and the number of its successors is the distance of two pointers.
 
-Level one is cut by ranges of hashes. The others are cut by ranges of (context, successor), of about ``LOAD`` training tokens each. Each shard is one file
+Level one is cut by ranges of hashes. The others are cut by ranges of (context, successor), of about ``LOAD`` training tokens each, so
+that the successors of a frequent context lie in several shards and no task holds more than its range. Each shard is one file
 in the shared folder, written whole and then renamed, so a lost task can be run again; workers map the files and read what they touch.
 
 Defined cases: a null text is empty and has the end token alone; a null id counts as the empty string; repeated rows count
@@ -133,11 +134,11 @@ COUNTED = "shard int, keys binary, counts binary"
 
 
 def _cuts(counts: np.ndarray, load: int) -> tuple[list[int], list[float]]:
-    """Where ranges of about load begin: an item, and which share of it lies before. An item is not cut inside."""
+    """Where ranges of about load begin: an item, and which share of it lies before. Only items of more than load are cut inside."""
     ends = np.cumsum(counts)
     target = np.arange(load, int(ends[-1]) if len(ends) else 0, load)
     item = np.searchsorted(ends, target, "right")
-    share = np.zeros(len(item))
+    share = np.where(counts[item] > load, (target - ends[item] + counts[item]) / counts[item], 0.0)
     return [0, *item.tolist()], [0.0, *share.tolist()]
 
 
