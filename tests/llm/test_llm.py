@@ -337,3 +337,15 @@ def test_lm_counts_trigrams_and_cuts_hot_contexts(spark, none, monkeypatch, load
     assert load > 40 or (np.unique(trie.two.first).size < len(trie.two.first) and np.unique(trie.three.first).size < len(trie.three.first))
     assert collections.Counter((x.doc_id, round(x.score, 6)) for x in lm.score(df, trie).collect()) == want
     assert lm.score(none, lm.fit(none, 3)).count() == 0 and lm.score(df, lm.fit(none, 3)).count() == len(rows)
+
+
+def test_decontamination_finds_renamed_openers_and_exact_copies(spark):
+    tom = "Tom has 5 apples. Tom buys 3 pears. How many does Tom have now?"
+    sums, caps, same = "Compute 12 + 7 * 3 - 4", "Why do the small birds of the north fly so far away each winter?", "Give the sum when Bob owns 4 red hats and also Eve owns 9 blue hats."
+    items = [(1, tom), (2, sums), (3, "ab initio"), (4, caps), (5, same)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [tom.replace("Tom", "Ann"), tom.replace("Tom", "Ann Lee"), f"{prose(30, 1)}. {sums} {prose(30, 2)}", "Then AB Initio!", caps.upper(), caps.title(), same.replace("Eve", "Bob")]
+    others = [tom.replace("Tom buys", "Ann buys"), "Compute 13 + 7 * 3 - 4", "ab ovo initio", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, *others])], DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5)}

@@ -4,15 +4,20 @@ Words are runs of letters and digits, lower-cased (a number keeps its inner mark
 placeholder, a unit after a number a unit placeholder, a capitalised word inside a sentence a name placeholder. Windows of
 five canonical words are hashed; those of documents meet those of benchmark items in an equi-join. Matches of one
 document and item are aligned by their distance (document position less item position). In an alignment, the slots under
-placeholders must be consistent: equal values of the item stand for equal values of the document, and the reverse.
+placeholders must be consistent: equal values of the item stand for equal values of the document.
+
+Each text has three forms. In the second one, a word that opens a sentence is a name too where the text has it as a name elsewhere,
+and a run of names is one placeholder. The third is the plain lower-case words, for copies that are exact but for case and
+marks. Windows meet only those of their own form.
 
 A document is contaminated by an item if a consistent alignment has four fifths of the item's windows, or nine of them (13 words).
-Windows with fewer than three plain words are left out, since placeholders alone match anything.
+Windows with fewer than three plain words are left out, since placeholders alone match anything. Of plain words all windows count, and
+all must match; an item of under five words is one window of its length, found wherever these words stand on end.
 
 The join sends the windows' hashes of the benchmark to every task while there are at most ``WINDOWS_BROADCAST`` of them (32 MB), and
 shuffles beyond. Only documents with matches are looked at again for their slots.
 
-Defined cases: a null text is empty; items and documents of under five words have no window and never match; rows with one doc_id
+Defined cases: a null text is empty; items without words never match; rows with one doc_id
 are one document (and those with a null id, which is kept); items with one item_id are aligned apart; empty tables give no rows.
 """
 
@@ -33,6 +38,8 @@ UNITS = (
     "meter", "meters", "metre", "metres", "kilometers", "kilometres", "kilograms", "grams", "pounds", "w", "kw", "v", "hz", "j", "n", "pa", "k", "c", "f",
 )
 NUMBER, UNIT, NAME = "#num", "#unit", "#name"
+#: The form of plain words, and what sets them apart from canonical ones.
+EXACT, PLAIN = 2, "="
 #: What words are made of, as the inside of a character class.
 WORD = r"\p{L}\p{N}_#"
 
@@ -59,26 +66,38 @@ def words_of(t: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(t, f"[^{WORD} ]+", " ")), " "), "")
 
 
-def with_words(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with the columns raw and canon: the words as they are and in canonical form, as many of each.
+def with_forms(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with raw and canon, the words as they are and in canonical form, as many of each; so are
+    raw_runs and canon_runs, with opening names, and runs of names as one word.
 
     Every step is a column of its own: an expression used twice, or inside a lambda, would be worked out again.
     """
     plain = rows.withColumn("plain", plain_text(F.col(text)))
     named = plain.withColumn("named", with_names(F.col("plain")))
-    return named.withColumns({"raw": words_of(F.col("plain")), "canon": words_of(with_numbers(F.col("named")))}).drop("plain", "named")
+    cased = F.array_remove(F.split(F.regexp_replace("named", f"[^{WORD} ]+", " "), " "), "")
+    both = named.withColumns({"raw": words_of(F.col("plain")), "canon": words_of(with_numbers(F.col("named"))), "cased": cased})
+    names = F.array_distinct(F.filter(F.zip_with("cased", "raw", lambda c, r: F.when(c == NAME, r)), lambda r: r.isNotNull()))
+    known = both.withColumn("names", names)
+    # A word that still has its capital opens a sentence.
+    is_name = lambda c, r: (c == NAME) | ((F.lower(F.left(c, F.lit(1))) != F.left(c, F.lit(1))) & F.array_contains("names", r))
+    marked = F.array_join(F.zip_with("cased", "raw", lambda c, r: F.when(is_name(c, r), F.concat(F.lit(f"{NAME}="), r)).otherwise(r)), " ")
+    runs = known.withColumn("marked", marked).withColumn("runs", F.regexp_replace("marked", f"({NAME}=[^ ]+) (?={NAME}=)", "$1_"))
+    split = lambda t: F.array_remove(F.split(t, " "), "")
+    out = runs.withColumns({"raw_runs": split(F.replace("runs", F.lit(f"{NAME}="))), "canon_runs": split(with_numbers(F.regexp_replace("runs", f"{NAME}=[^ ]+", NAME)))})
+    return out.drop("plain", "named", "cased", "names", "marked", "runs")
 
 
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda c: F.xxhash64(c))
 
 
-def _key(hashes: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(hashes, i + j) for j in range(WINDOW)])
+def _key(hashes: Column, i: Column, width: int = WINDOW) -> Column:
+    """The hash leaves out nulls, so words on end that are fewer than a window have the key of their own width."""
+    return F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
 
 
-def _starts(hashes: Column) -> Column:
-    n = F.size(hashes) - WINDOW
+def _starts(hashes: Column, width: int = WINDOW) -> Column:
+    n = F.size(hashes) - width
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
@@ -102,42 +121,55 @@ def _may_hold(bitmap: Column, h: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """items (item, item_id, raw, canon) and their usable windows (item, pos, key, first, last). item numbers the different rows."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    items = with_words(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")).drop("text")
+    """items (item, form, item_id, raw, canon) and their usable windows (item, form, pos, key, first, last, width). item numbers the different rows and forms."""
+    items = with_forms(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct())
+    plain = F.transform("raw", lambda r: F.concat(F.lit(PLAIN), r))
+    forms = [F.struct(F.lit(k).alias("form"), r.alias("raw"), c.alias("canon")) for k, (r, c) in enumerate(((F.col("raw"), F.col("canon")), (F.col("raw_runs"), F.col("canon_runs")), (F.col("raw"), plain)))]
+    items = items.select("item_id", "text", F.inline(F.array(*forms))).select(F.xxhash64("item_id", "text", "form").alias("item"), "form", "item_id", "raw", "canon")
     h = F.col("h")
-    at = items.select("item", "canon", _hashes(F.col("canon")).alias("h")).select("item", "canon", "h", F.explode(_starts(h)).alias("pos"))
+    short = (F.col("form") == EXACT) & F.size(h).between(1, WINDOW - 1)
+    at = items.select("item", "form", "canon", _hashes(F.col("canon")).alias("h")).withColumn("width", F.least(F.size("h"), F.lit(WINDOW)))
+    at = at.select("*", F.explode(F.when(short, F.array(F.lit(0))).otherwise(_starts(h))).alias("pos"))
     plain = F.size(F.filter(F.slice("canon", F.col("pos") + 1, WINDOW), lambda c: ~c.isin(NUMBER, UNIT, NAME)))
-    usable = at.where(plain >= LEAST_PLAIN)
-    return items, usable.select("item", "pos", _key(h, F.col("pos")).alias("key"), F.get("h", "pos").alias("first"), F.get("h", F.col("pos") + WINDOW - 1).alias("last"))
+    usable = at.where((plain >= LEAST_PLAIN) | (F.col("form") == EXACT))
+    return items, usable.select("item", "form", "pos", _key(h, F.col("pos")).alias("key"), F.get("h", "pos").alias("first"), F.get("h", F.col("pos") + F.col("width") - 1).alias("last"), "width")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_windows (longs), share double, slots long: the best alignment of each contaminated pair."""
     items, usable = benchmark_windows(benchmark)
-    sizes = usable.groupBy("item").agg(F.count("*").alias("item_windows"))
+    sizes = usable.groupBy("item", "form").agg(F.count("*").alias("item_windows"))
     n = usable.count()
     near = lambda df, count, most: F.broadcast(df) if count <= most else df
 
-    h = F.col("h")
     firsts, lasts = (_bitmap(usable.select(F.col(c).alias("h"))) for c in ("first", "last"))
-    hashed = with_words(docs.select("doc_id", "text")).select("doc_id", _hashes(F.col("canon")).alias("h"))
+    plain = F.transform("raw", lambda r: F.xxhash64(F.concat(F.lit(PLAIN), r)))
+    hashed = with_forms(docs.select("doc_id", "text")).select("doc_id", _hashes(F.col("canon")).alias("h0"), _hashes(F.col("canon_runs")).alias("h1"), plain.alias("h2"))
     # Only windows whose outer words occur in such places of the benchmark are hashed; the join then decides.
-    likely = F.filter(_starts(h), lambda i: _may_hold(firsts, F.get(h, i)) & _may_hold(lasts, F.get(h, i + WINDOW - 1)))
-    seen = hashed.select("doc_id", F.inline(F.transform(likely, lambda i: F.struct(i.alias("at"), _key(h, i).alias("key")))))
-    keys = usable.select("item", "pos", "key")
-    matches = seen.join(near(keys, n, WINDOWS_BROADCAST), "key").select("doc_id", "item", (F.col("at") - F.col("pos")).alias("shift"), "pos").distinct()
+    short = [r[0] for r in usable.where(F.col("width") < WINDOW).select("width").distinct().collect()]
+
+    def likely(form: int, width: int) -> Column:
+        h = F.col(f"h{form}")
+        found = F.filter(_starts(h, width), lambda i: _may_hold(firsts, F.get(h, i)) & _may_hold(lasts, F.get(h, i + width - 1)))
+        return F.transform(found, lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), _key(h, i, width).alias("key")))
+
+    parts = [likely(k, WINDOW) for k in range(3)] + [likely(EXACT, w) for w in sorted(short)]
+    seen = hashed.select("doc_id", F.inline(F.concat(*parts)))
+    keys = usable.select("item", "form", "pos", "key")
+    matches = seen.join(near(keys, n, WINDOWS_BROADCAST), ["form", "key"]).select("doc_id", "item", (F.col("at") - F.col("pos")).alias("shift"), "pos").distinct()
     # At most as many positions as an item has windows meet in a group.
     aligned = matches.groupBy("doc_id", "item", "shift").agg(F.collect_list("pos").alias("positions"), F.count("*").alias("matched"))
-    strong = aligned.join(near(sizes, n, WINDOWS_BROADCAST), "item").where((F.col("matched") >= LEAST_RUN) | (F.col("matched") >= LEAST_SHARE * F.col("item_windows")))
+    strong = aligned.join(near(sizes, n, WINDOWS_BROADCAST), "item")
+    enough = (F.col("matched") >= LEAST_RUN) | (F.col("matched") >= LEAST_SHARE * F.col("item_windows"))
+    strong = strong.where(F.when(F.col("form") == EXACT, F.col("matched") == F.col("item_windows")).otherwise(enough))
     scratch = Scratch(docs.sparkSession)
     strong = scratch.save(strong, "aligned")
-    with_item = strong.join(near(items, n, WINDOWS_BROADCAST), "item")
+    with_item = strong.join(near(items.drop("form"), n, WINDOWS_BROADCAST), "item")
     placeholders = F.filter(
         F.sequence(F.lit(0), F.size("canon") - 1),
         lambda p: F.get("canon", p).isin(NUMBER, UNIT, NAME) & F.exists("positions", lambda q: (p >= q) & (p < q + WINDOW)),
     )
-    slotted = with_item.select("doc_id", "item", "item_id", "shift", "matched", "item_windows", F.transform(placeholders, lambda p: F.struct(p.alias("p"), F.get("raw", p).alias("v"))).alias("slots"))
+    slotted = with_item.select("doc_id", "item", "form", "item_id", "shift", "matched", "item_windows", F.transform(placeholders, lambda p: F.struct(p.alias("p"), F.get("raw", p).alias("v"))).alias("slots"))
     # Alignments without slots are consistent; for the others the documents' words are needed.
     free = slotted.where(F.size("slots") == 0).withColumn("n_slots", F.lit(0))
     bound = slotted.where(F.size("slots") > 0)
@@ -146,9 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Filtered map-side while the ids may be broadcast, so that only the texts in question are shuffled.
     texts = docs.select("doc_id", "text").join(near(ids, ids.count(), IDS_BROADCAST), F.col("doc_id").eqNullSafe(F.col("q_id")), "left_semi")
     both = in_question.join(texts, F.col("doc_id").eqNullSafe(F.col("q_id")))
-    values = with_words(both.drop("canon", "raw")).withColumn("pairs", F.transform("slots", lambda s: F.struct(s["v"].alias("a"), F.coalesce(F.get("raw", s["p"] + F.col("shift")), F.lit("")).alias("b"))))
-    distinct = F.size(F.array_distinct("pairs"))
-    consistent = (distinct == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))) & (distinct == F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))))
+    values = with_forms(both.drop("canon", "raw")).withColumn("raw", F.when(F.col("form") == 1, F.col("raw_runs")).otherwise(F.col("raw"))).withColumn("pairs", F.transform("slots", lambda s: F.struct(s["v"].alias("a"), F.coalesce(F.get("raw", s["p"] + F.col("shift")), F.lit("")).alias("b"))))
+    consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     checked = values.where(consistent).withColumn("n_slots", F.size("slots"))
     columns = ["doc_id", "item_id", "matched", "item_windows", "n_slots"]
     found = free.select(*columns).unionByName(checked.select(*columns))
