@@ -349,3 +349,11 @@ def test_decontamination_finds_renamed_openers_and_exact_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, *others])], DOCS)
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5)}
+
+
+def test_listed_urls_without_host_are_blocked(spark):
+    pages = spark.createDataFrame([(1, "file:///x/"), (2, "http:///y"), (3, "http://"), (4, None)], "page_id long, url string")
+    rules = spark.createDataFrame(list(queries.URL_RULES), "host string, path string, action string")
+    listed = spark.createDataFrame([("/x",), ("",)], "url string")
+    got = {r.page_id: (r.verdict, r.listed) for r in urlfilter.judge(pages, rules, listed).collect()}
+    assert got == {1: ("block", True), 2: ("allow", False), 3: ("allow", False), 4: ("allow", False)}

@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     blocks = max(1, -(-entries.count() * BITS_PER_KEY // 256))
 
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    distinct = judged.where(F.col("host") != "").select("host", "path").distinct()
+    distinct = judged.where((F.col("host") != "") | (F.col("path") != "")).select("host", "path").distinct()
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.array(*[F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in lengths]).cast("array<string>")
