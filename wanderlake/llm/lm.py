@@ -96,6 +96,16 @@ def _of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each one's place among them; words repeat much, so a hash table is quicker than a sort of all."""
+    found = pa.array(values.view(np.int64)).dictionary_encode()
+    different = np.asarray(found.dictionary).view(U64)
+    order = np.argsort(different)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return different[order], place[np.asarray(found.indices)]
+
+
 def _squeezed(sorted_keys: np.ndarray) -> bytes:
     """Differences of sorted keys, byte planes on end: the high ones are nearly all zero, which the shuffle's compression takes out."""
     d = np.diff(sorted_keys, prepend=U64(0))
@@ -340,7 +350,7 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, at = _of_batch(batch)
-            distinct, back = np.unique(token, return_inverse=True)
+            distinct, back = _distinct(token)
             ids = trie.words.ids(distinct)[0][back]
             keys, counts = np.unique(two.keys(trie.pairs(ids, at), ids), return_counts=True)
             yield _by_shard(keys, counts, two.shards(keys))
@@ -370,7 +380,7 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, at = _of_batch(batch)
-            distinct, back = np.unique(token, return_inverse=True)
+            distinct, back = _distinct(token)
             ids = trie.words.ids(distinct)[0][back]
             pair, back = np.unique(two.keys(trie.pairs(ids, at), ids), return_inverse=True)
             place, _, start, _, _ = trie.second((pair // U64(two.size)).astype(np.int64), (pair % U64(two.size)).astype(np.int64))
@@ -403,7 +413,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                 continue
             token, at = _of_batch(batch)
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            distinct, back = np.unique(token, return_inverse=True)
+            distinct, back = _distinct(token)
             ids, counts = trie.words.ids(distinct)
             lower = trie.unigram(counts)[back]
             lp = trie.log_prob(ids[back], at, lower)

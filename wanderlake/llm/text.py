@@ -6,16 +6,18 @@ word is taken from prefix sums of a polynomial over the whole buffer, so no Pyth
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Text bytes that are hashed at once; a longer single text is hashed alone.
-CHUNK_BYTES = 2 << 20
+#: Text bytes and texts that are hashed at once (a longer single text is hashed alone): their arrays then stay in a core's cache.
+CHUNK_BYTES, CHUNK_ROWS = 256 << 10, 4096
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+LONG = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,7 +28,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's and its inverse's powers 0..n; the tables grow by doubling and stay in the worker."""
     if len(_tables.get("up", ())) <= n:
-        size = max(CHUNK_BYTES + 1, 1 << int(n + 1).bit_length())
+        size = max(2 * CHUNK_BYTES, 1 << int(n + 1).bit_length())
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             t = np.full(size, base, U64)
             t[0] = 1
@@ -45,12 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts on end, and the n+1 offsets of the texts in them. Null is empty."""
+    """Bytes of all texts (or binary values) on end, and the n+1 offsets of each in them. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     off = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if len(off) == 0:
         off = np.zeros(1, np.int64)
@@ -60,11 +62,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with about ``limit`` bytes of text each; a longer text has a slice of its own."""
+    """Slices of the batch with about ``limit`` bytes of text and at most ``CHUNK_ROWS`` rows each; a longer text has a slice of its own."""
     _, off = buffers(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + CHUNK_ROWS)
         yield batch.slice(i, j - i)
         i = j
 
@@ -89,11 +91,15 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans of over LONG bytes are hashed one by one: the polynomial is equal for some pairs of long spans."""
     up, down = _powers(len(data))
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    out = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
