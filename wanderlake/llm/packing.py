@@ -4,12 +4,15 @@ Documents are tokenised, closed by an end token, and cut only where longer than
 piece takes the remainder, the others are whole sequences. How many pieces there are of each length is a
 histogram of at most ``size`` entries, whatever the data's size; the plan is made from it alone:
 
-1. sums of one, two and three lengths are looked up by hash for what exactly fills the gap that a
-   length leaves, longest first, and taken as often as all the lengths in it are available;
-2. the lengths that remain go, longest first, to the open sequence with the least room that fits.
+1. lengths that are each other's exact complement are put together, as often as both are available;
+2. long lengths go, longest first, to the open sequence with the least room that fits;
+3. sums of one, two and three short lengths (under a 16th or a 32nd of a sequence, whichever takes fewer sequences) are
+   looked up by hash for what exactly fills the gaps that are left, and taken as often as all the lengths in them are available;
+4. what remains goes to the open sequences by best fit.
 
-The plan says which pieces of a length, by rank, go to which sequences. Pieces get their rank from counts
-by (length, salt), so no length meets in one task.
+Short lengths fill any gap, so they are kept until the gaps are known. The plan says which pieces of a length, by rank, go to which
+sequences. Whole sequences need no rank. Other pieces get theirs from counts by (length, salt), with a salt for each ``RUN`` pieces
+of a length, so no length meets in one task.
 
 Defined cases: a null text is empty, so its document is the end token alone; an empty table gives no rows; repeated
 rows are documents of their own, told apart by nothing but their place; null ids are kept.
@@ -22,6 +25,7 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,11 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .scratch import Scratch
 
-SIZE, END_ID, SALTS = 1024, 2, 64
+SIZE, END_ID, RUN = 1024, 2, 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Texts of other characters are encoded by the tokenizers library. For these ones tiktoken, given the same
-#: vocabulary as ranks, makes the same ids several times faster (a test compares the two).
+#: Texts of other characters, and texts with one of the tokenizer's special tokens, are encoded by the tokenizers library. For the rest
+#: tiktoken, given the same vocabulary as ranks, makes the same ids several times faster (a test compares the two).
 OTHER_CHARS = r"[^\t-\r -~\x{a1}-\x{24f}]"
 
 _encoders: dict[str, tuple] = {}
@@ -50,7 +54,6 @@ def _encoder(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         _encoders[path] = whole, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -61,7 +64,10 @@ def token_ids(encoder: tuple, texts: pa.Array) -> list[np.ndarray]:
     """The ids of each text."""
     whole, fast = encoder
     texts = texts.fill_null("")
-    other = pc.match_substring_regex(texts, OTHER_CHARS).to_pylist()
+    other = pc.match_substring_regex(texts, OTHER_CHARS)
+    for special in {t.content for t in whole.get_added_tokens_decoder().values()}:
+        other = pc.or_(other, pc.match_substring(texts, special))
+    other = other.to_pylist()
     strings = texts.to_pylist()
     slow = iter(whole.encode_batch_fast([s for s, o in zip(strings, other, strict=True) if o], add_special_tokens=False))
     return [np.array(next(slow).ids if o else fast.encode_ordinary(s), np.uint32) for s, o in zip(strings, other, strict=True)]
@@ -95,65 +101,51 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences), using every piece once.
+Pattern = tuple[tuple[int, ...], int]
 
-    Exact fills of many short pieces can leave too few of them for the rest, so plans with sums of one, up to two and up
-    to three lengths are made, and that of the fewest sequences is taken.
-    """
-    return min((_plan(histogram, size, most) for most in (1, 2, 3)), key=lambda p: sum(n for _, n in p))
 
+def plan(histogram: dict[int, int], size: int = SIZE) -> list[Pattern]:
+    """(lengths in a sequence, number of such sequences), using every piece once."""
+    return min((_plan(histogram, size, size // part) for part in (32, 16)), key=lambda p: sum(n for _, n in p))
 
-def _plan(histogram: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """The plan with sums of at most ``most`` lengths."""
-    left = Counter({k: v for k, v in histogram.items() if v > 0})
-    out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(lengths: tuple[int, ...]) -> int:
-        need = Counter(lengths)
-        times = min(left[k] // v for k, v in need.items())
-        if times > 0:
-            out.append((lengths, times))
-            for k, v in need.items():
-                left[k] -= v * times
-        return times
+def _take(left: Counter, lengths: tuple[int, ...], most: int) -> int:
+    """How often, up to ``most``, the lengths are available together; they are then taken."""
+    need = Counter(lengths)
+    times = min(most, *(left[k] // v for k, v in need.items()))
+    for k, v in need.items():
+        left[k] -= v * times
+    return times
+
 
+def _plan(histogram: dict[int, int], size: int, short: int) -> list[Pattern]:
+    left = Counter({k: v for k, v in histogram.items() if v > 0})
+    full: list[Pattern] = []
     if left[size]:
-        take((size,))
-    #: For each sum, the pairs of lengths that make it, in order of the longer one.
-    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    have = sorted((k for k in left if left[k]), reverse=True)
-    for i, a in enumerate(have):
-        for b in have[i:]:
-            if a + b < size:
-                pairs[a + b].append((a, b))
-    for a in have:
-        gap = size - a
-        if left[a] and left[gap]:
-            take((a, gap))
-        for pair in pairs.get(gap, ()) if most >= 2 else ():
-            if not left[a]:
-                break
-            if left[pair[0]] and left[pair[1]]:
-                take((a, *pair))
-        for b in have if most >= 3 else ():  # triples: one length of the gap, and a pair for what is then left
-            if not left[a]:
-                break
-            if b >= gap or not left[b]:
-                continue
-            for pair in pairs.get(gap - b, ()):
-                if pair[0] > b:
-                    continue
-                if not (left[a] and left[b]):
-                    break
-                if left[pair[0]] and left[pair[1]]:
-                    take((a, b, *pair))
-    return out + _best_fit(left, size)
-
-
-def _best_fit(left: Counter, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing over groups of equal open sequences; as many at once as the group and the length allow."""
-    open_by_room: dict[int, list[list]] = defaultdict(list)  # room: [lengths, how many]
+        full.append(((size,), left.pop(size)))
+    for a in sorted(left, reverse=True):
+        if 2 * a >= size and left[size - a]:
+            full.append(((a, size - a), _take(left, (a, size - a), left[a])))
+    opened = _best_fit({k: n for k, n in left.items() if k >= short}, size, [])
+    small = Counter({k: n for k, n in left.items() if k < short})
+    #: For each sum, the one, two or three short lengths that make it, long ones first.
+    sums: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+    for many in (1, 2, 3):
+        for lengths in combinations_with_replacement(sorted(small, reverse=True), many):
+            sums[sum(lengths)].append(lengths)
+    gaps: list[tuple[int, tuple[int, ...], int]] = []
+    for room, lengths, n in sorted(opened, reverse=True):
+        for fill in sums.get(room, ()):
+            times = _take(small, fill, n)
+            full.append(((*lengths, *fill), times))
+            n -= times
+        gaps.append((room, lengths, n))
+    return [p for p in full if p[1]] + [(lengths, n) for _, lengths, n in _best_fit(small, size, gaps)]
+
+
+def _best_fit(left: dict[int, int], size: int, opened: list[tuple[int, tuple[int, ...], int]]) -> list[tuple[int, tuple[int, ...], int]]:
+    """Best fit, longest first, over groups of equal open sequences (room, lengths, how many); as many at once as the group and the length allow."""
+    open_by_room: dict[int, list[list]] = defaultdict(list)
     rooms: list[int] = []
 
     def add(room: int, lengths: tuple[int, ...], n: int) -> None:
@@ -161,6 +153,9 @@ def _best_fit(left: Counter, size: int) -> list[tuple[tuple[int, ...], int]]:
             bisect.insort(rooms, room)
         open_by_room[room].append([lengths, n])
 
+    for room, lengths, n in opened:
+        if n:
+            add(room, lengths, n)
     for k in sorted((k for k in left if left[k] > 0), reverse=True):
         n = left[k]
         while n:
@@ -185,7 +180,7 @@ def _best_fit(left: Counter, size: int) -> list[tuple[tuple[int, ...], int]]:
                 open_by_room[room][-1][1] -= used
             add(room - k, (*lengths, k), used)
             n -= used
-    return [(lengths, n) for groups in open_by_room.values() for lengths, n in groups if n]
+    return [(room, lengths, n) for room, groups in open_by_room.items() for lengths, n in groups if n]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,18 +199,19 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
 
 
 def ranked(cut: DataFrame, size: int = SIZE) -> tuple[DataFrame, dict[int, int]]:
-    """The pieces with their rank (from 0) among those of their length, and the histogram."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # at most size * SALTS rows
-    if len(counts) > size * SALTS:
-        raise ValueError("more lengths than a sequence has")
+    """The pieces shorter than ``size`` with their rank (from 0) among those of their length, and the histogram of these."""
+    part = cut.where(F.col("length") < size)
+    histogram = dict(map(tuple, part.groupBy("length").count().collect()))  # at most size rows
+    salts = cut.sparkSession.createDataFrame([(k, -(-n // RUN)) for k, n in sorted(histogram.items())], "length long, salts long")
+    salted = part.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
     before: dict[tuple[int, int], int] = {}
-    histogram: Counter = Counter()
-    for length, salt, n in sorted(map(tuple, counts)):
-        before[length, salt] = histogram[length]
-        histogram[length] += n
+    seen: Counter = Counter()
+    # A row for each length and, beyond, for each RUN pieces.
+    for length, salt, n in sorted(map(tuple, salted.groupBy("length", "salt").count().collect())):
+        before[length, salt] = seen[length]
+        seen[length] += n
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    local = salted.withColumn("local", F.row_number().over(w) - 1)
+    local = salted.withColumn("local", F.row_number().over(w) - 1).select(*_PIECE_NAMES, "salt", "local")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +219,7 @@ def ranked(cut: DataFrame, size: int = SIZE) -> tuple[DataFrame, dict[int, int]]
             rank = pa.array(np.array(base, np.int64) + np.asarray(b.column("local")).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _PIECE_NAMES], rank], names=[*_PIECE_NAMES, "rank"])
 
-    return local.mapInArrow(run, PIECES + ", rank long"), dict(histogram)
+    return local.mapInArrow(run, PIECES + ", rank long"), histogram
 
 
 _PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -234,7 +230,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     scratch = Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, tokenizer_path, size, end_id), "pieces")
     with_rank, histogram = ranked(cut, size)
-    place = slots(plan(histogram, size))
+    patterns = plan(histogram, size)
+    place, planned = slots(patterns), sum(n for _, n in patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,4 +244,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
                 sequence[own], offset[own] = firsts[i] + rank[own] - ranks[i], offsets[i]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _PIECE_NAMES], pa.array(sequence), pa.array(offset)], names=[*_PIECE_NAMES, "sequence_id", "offset"])
 
-    return with_rank.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    # A piece of a whole sequence is one; its number is from its place in the table just written.
+    whole = cut.where(F.col("length") == size).select(*_PIECE_NAMES, (F.monotonically_increasing_id() + planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return with_rank.mapInArrow(run, PIECES + ", sequence_id long, offset long").unionByName(whole)
