@@ -2,11 +2,16 @@
 
 Each five-word shingle is hashed once; the hash's high bits choose one of the bins, the rest is its value,
 and a bin keeps its least value. An empty bin takes the value of a bin found by probing with hashes of (bin,
-attempt) alone until one is filled (optimal densification). Four low-order bits a bin are stored, packed and in
-base64. Of two fingerprints, the share of equal bins is corrected for bins equal by chance.
+attempt) alone until one is filled (optimal densification). Four low-order bits of each value, mixed with its bin's number, are
+stored, packed and in base64: bins that share a borrowed value then still differ by themselves. Of two fingerprints, the share
+of equal bins is corrected for bins equal by chance. A last byte marks texts without a word.
 
-Defined cases: a null text is empty; texts without a word share the fingerprint of bins all zero, which is like
-itself (1) and like no other (0); a text of under five words is one shingle; equal texts have equal fingerprints.
+The next document is found in range partitions of the order (doc_id descending, nulls last, then text), in which each
+task streams its sorted rows. The last row of a task waits for the first one of the next: these rows, two a task, meet in a second step.
+
+Defined cases: a null text is empty; texts without a word share one fingerprint, which is like itself (1) and like no other (0); a text of
+under five words is one shingle; equal texts have equal fingerprints; of rows equal in id and text any is the next one; other columns are
+ignored; a lone document is its own next one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .scratch import Scratch
 
 BINS, BITS, SHINGLE = 512, 4, 5
-#: Document ids in a block of neighbours.
-BLOCK_IDS = 1024
-#: Rows of the table of block borders (two longs each) that may be broadcast; beyond, it is shuffled.
-BORDERS_BROADCAST = 1_000_000
+#: Text bytes of a range of neighbours, and code points at the start of texts by which rows of one id are parted.
+RANGE_BYTES, MOST_RANGES, PREFIX = 64 << 20, 1 << 16, 32
+#: Texts whose bins are worked out at once, and code points of texts that are judged at once.
+ROWS, CHARS = 64, 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_STREAMED = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("range", pa.int32()), ("edge", pa.string()), ("text", pa.string()),
+])
 
 
 def bins(texts: pa.Array, k: int = BINS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,119 +63,113 @@ def bins(texts: pa.Array, k: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     return out, any_word
 
 
-def pack(values: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The low-order bits of each bin, packed into bytes."""
-    low = tx.mix(values) & np.uint64((1 << bits) - 1)
-    low[(values == 0).all(axis=1)] = 0
+def pack(values: np.ndarray, worded: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low-order bits of each bin, packed into bytes, and a byte that is 1 for texts without a word."""
+    own = np.arange(values.shape[1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    low = tx.mix(values ^ own) & np.uint64((1 << bits) - 1)
+    low[~worded] = 0
     planes = ((low[:, :, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(planes.reshape(len(low), -1), axis=1)
+    return np.hstack([np.packbits(planes.reshape(len(low), -1), axis=1), (~worded)[:, None].astype(np.uint8)])
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
-    """(texts, BINS * BITS / 8) bytes."""
-    return pack(bins(texts)[0])
+    """(texts, BINS * BITS / 8 + 1) bytes."""
+    return np.concatenate([pack(*bins(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)]) if len(texts) else np.zeros((0, BINS * BITS // 8 + 1), np.uint8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Estimated Jaccard similarity of each pair of packed fingerprints, 0 to 1."""
     if not len(a):
         return np.zeros(0)
-    x = np.unpackbits(a ^ b, axis=1).reshape(len(a), -1, bits)
+    x = np.unpackbits(a[:, :-1] ^ b[:, :-1], axis=1).reshape(len(a), -1, bits)
     same = (~x.any(axis=2)).mean(axis=1)
     chance = 0.5**bits
     out = np.clip((same - chance) / (1 - chance), 0, 1)
-    blank_a, blank_b = ~a.any(axis=1), ~b.any(axis=1)
+    blank_a, blank_b = a[:, -1] > 0, b[:, -1] > 0
     return np.where(blank_a | blank_b, (blank_a & blank_b).astype(float), out)
 
 
-def with_neighbours(docs: DataFrame) -> DataFrame:
-    """Documents in blocks of near ids, each block closed by a guest: the first document of the next block.
-
-    Columns block, guest, place, doc_id, text; partitioned by block and sorted by block, guest and the
-    order of documents (doc_id descending, nulls last, then text). After the last block comes the first.
-    """
-    least = -(2**63)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(least)))
-    block = F.when(F.col("doc_id").isNull(), F.lit(least)).otherwise(F.floor(F.col("doc_id") / F.lit(BLOCK_IDS)))
-    firsts = docs.select("doc_id").withColumn("block", block).groupBy("block").agg(F.coalesce(F.max("doc_id"), F.lit(least)).alias("first"))
-    #: Of the blocks in descending order, each one's next: found within groups of blocks, then between groups.
-    group = F.floor(F.col("block") / F.lit(4096))
-    borders = _next_first(firsts.withColumn("g", group))
-    n = firsts.count()
-    guests = d.join(F.broadcast(borders) if n <= BORDERS_BROADCAST else borders, d.place == borders.next_first)
-    guests = guests.groupBy("block", "place", "doc_id").agg(F.min("text").alias("text"))
-    own = d.withColumn("block", block).withColumn("guest", F.lit(0))
-    rows = own.unionByName(guests.withColumn("guest", F.lit(1)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "guest", F.col("place").desc(), "text")
-
-
-def _next_first(firsts: DataFrame) -> DataFrame:
-    """block, next_first: the first place of the next lower block, of the highest for the lowest."""
-    from pyspark.sql import Window
-
-    groups = firsts.groupBy("g").agg(F.max_by("first", "block").alias("top"))
-    by_group = Window.orderBy(F.col("g").desc())
-    ends = Window.orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select("g", F.coalesce(F.lead("top").over(by_group), F.first("top").over(ends)).alias("after"))
-    inside = Window.partitionBy("g").orderBy(F.col("block").desc())
-    return firsts.join(groups, "g").select("block", F.coalesce(F.lead("first").over(inside), F.col("after")).alias("next_first"))
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a task of the first step gives: rows with their digests in bytes, and its first and last document.
+STREAMED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, range int, edge string, text string"
+_JUDGED = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def ranges(docs: DataFrame) -> DataFrame:
+    """range, doc_id, text: rows in range partitions, sorted by doc_id (descending, nulls last) and text."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("start", F.left("text", F.lit(PREFIX)))
+    order = F.col("doc_id").desc_nulls_last()
+    dealt = d.repartitionByRange(parts, order, "start").sortWithinPartitions(order, "text")
+    return dealt.select(F.spark_partition_id().alias("range"), "doc_id", "text")
 
 
-def _judge(texts: list[str], ids: list, ends: list[bool], following: list[str]) -> pa.RecordBatch:
-    """Rows for each text that isn't only a neighbour. following: the next document's text."""
+def _judge(ids: list, texts: list[str], following: list[str]) -> list[pa.Array]:
+    """The columns of each text. following: the next document's text; in a run of neighbours it is the next text itself."""
     edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
+    run = all(a is b for a, b in zip(texts[1:], following, strict=False))
+    fp = fingerprints(pa.array([*texts, following[-1]] if run else [*texts, *following], pa.string()))
     n = len(texts)
-    fp = fingerprints(pa.array([*texts, following[-1]], pa.string()))
-    following_fp = fp[1:].copy()
-    gaps = [i for i in range(n - 1) if ends[i]]
-    if gaps:
-        following_fp[gaps] = fingerprints(pa.array([following[i] for i in gaps], pa.string()))
-    fp = fp[:-1]
-    edited_fp = fingerprints(pa.array(edited, pa.string()))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-            pa.array([base64.b64encode(x).decode() for x in fp]),
-            pa.array([base64.b64encode(x).decode() for x in edited_fp]),
-            pa.array(likeness(fp, edited_fp)),
-            pa.array(likeness(fp, following_fp)),
-        ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+    own, after = fp[:n], fp[1:] if run else fp[n:]
+    changed = fingerprints(pa.array(edited, pa.string()))
+    raw = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
+    return [
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).digest() for e in edited], pa.binary()),
+        raw(own), raw(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after)),
+    ]
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row of a block but its guest, with the row after it as next document."""
-    held: tuple | None = None
-    todo: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for guest, doc_id, text in zip(batch.column("guest").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if held is not None:
-                todo.append((*held, text, bool(guest)))
-                size += len(held[1])
-            held = None if guest else (doc_id, text)
-            if size >= 1_000_000:
-                yield _rows(todo)
-                todo, size = [], 0
-    if todo:
-        yield _rows(todo)
+    """Every row of a range but the last, judged with the row after it; and its first and last row as they are."""
+    number, ids, texts, size = 0, [], [], 0
+
+    def edge(name: str, doc_id: int | None, text: str) -> pa.RecordBatch:
+        own = {"doc_id": doc_id, "range": number, "edge": name, "text": text}
+        return pa.RecordBatch.from_pylist([own], schema=_STREAMED)
 
+    def judged() -> pa.RecordBatch:
+        n = len(ids) - 1
+        columns = _judge(ids[:-1], texts[:-1], texts[1:])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([number] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], schema=_STREAMED)
 
-def _rows(todo: list[tuple]) -> pa.RecordBatch:
-    ids, texts, following, ends = map(list, zip(*todo, strict=True))
-    return _judge(texts, ids, ends, following)
+    began = False
+    for batch in batches:
+        for number, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "text")), strict=True):
+            if not began:
+                yield edge("first", doc_id, text)
+                began = True
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+            if len(ids) > 1 and size >= CHARS:
+                yield judged()
+                ids, texts, size = ids[-1:], texts[-1:], len(text)
+    if began:
+        if len(ids) > 1:
+            yield judged()
+        yield edge("last", ids[-1], texts[-1])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield pa.RecordBatch.from_arrays(_judge([row["doc_id"]], [row["text"]], [row["next"]]), names=_JUDGED)
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """One row a document: its fingerprint, that of its edited text, and likeness to both that and the next document."""
-    return with_neighbours(docs).select("guest", "doc_id", "text").mapInArrow(_stream, SCHEMA)
+    spark = docs.sparkSession
+    made = Scratch(spark).save(ranges(docs).mapInArrow(_stream, STREAMED), "neighbours")
+    edges = made.where("edge is not null").select("range", "edge", "doc_id", "text")
+    used = [r[0] for r in edges.where("edge = 'first'").select("range").orderBy("range").collect()]  # an int a task
+    after = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "range int, after int")
+    last = edges.where("edge = 'last'").join(F.broadcast(after), "range").select("doc_id", "text", "after")
+    first = edges.where("edge = 'first'").select(F.col("range").alias("after"), F.col("text").alias("next"))
+    met = last.join(first, "after").select("doc_id", "text", "next").mapInArrow(_meet, made.select(*_JUDGED).schema)
+    plain = made.where("edge is null").select(*_JUDGED).unionByName(met)
+    return plain.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), **{c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")}})
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
