@@ -17,13 +17,12 @@ has is a shingle that only it has. Texts of different components that meet in su
 bounds are tested, so no link between components stays untested.
 
 Defined cases: a null text is empty; texts without a word are copies of each other only if equal; a text of under
-five words is one shingle; rows with one id are one document, rows with a null id as well (their id stays null);
-an empty table gives no rows; other columns are ignored.
+five words is one shingle; rows are compared by their texts alone, so those that share an id but no text (null ids, too) stay apart; the
+class of texts that have only null ids is null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,6 @@ SHINGLE, BANDS, ROWS, LEAST = 5, 32, 6, 0.8
 LEAST_ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / (BANDS * ROWS)) ** 0.5
 #: Ids that may be broadcast (16 MB); beyond, texts and ids meet in a shuffle.
 IDS_BROADCAST = 1_000_000
-NO_ID = -(2**63) + 1
 #: Cells of the table that tells rare shingles from frequent ones (4 bytes a cell, sent to every task). Shingles that share a cell only blur the order.
 RARITY_CELLS = 1 << 20
 #: 64-bit words of a text's bitmap.
@@ -53,7 +51,7 @@ def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Distinct shingles of each text: text, hash, count, sorted; and the number of texts."""
     word, at = tx.words(texts)
     h, owner = tx.shingles(word, at, SHINGLE)
-    if len(at) - 1 > 1 << 12:
+    if len(at) - 1 > tx.CHUNK_ROWS:
         raise ValueError("at most 4,096 texts at once")
     key = np.sort((owner.astype(U64) << U64(52)) | (h >> U64(12)))
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -108,7 +106,7 @@ SKETCH = "id long, same binary, low binary, bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """For every row: id, a digest of the whole text, the registers' low bytes, and a key for each band (none without words)."""
+    """For every row: id, the digest of the whole text, the registers' low bytes, and a key for each band (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, ROWS + 1, dtype=U64) * U64(0xE7037ED1A0B428DB)
@@ -123,7 +121,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id"),
-                        pa.array([hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts.to_pylist()], pa.binary()),
+                        b.column("same"),
                         pa.array([(s & U64(255)).astype(np.uint8).tobytes() for s in sig], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(keys[worded].reshape(-1))),
                     ],
@@ -134,13 +132,22 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text)).alias("same"), text.alias("text"))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= IDS_BROADCAST else df
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """ids (id and other columns) with their texts, each read from a row of the text's least doc_id."""
+    wanted = scratch.save(nodes.select("id", "same", "least").join(ids, "id"), f"{name}-ids").withColumnRenamed("same", "digest")
+    texts = _texts(docs).withColumnRenamed("id", "doc_id")
+    found = texts.join(_small(wanted, wanted.count()), (F.col("same") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return scratch.save(found.select(*ids.columns, "text").dropDuplicates(["id"]), name)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose exact similarity reaches the threshold, with it."""
     low = nodes.select("id", "low")
@@ -156,7 +163,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     with_low = pairs.join(low.withColumnsRenamed({"id": "a", "low": "low_a"}), "a").join(low.withColumnsRenamed({"id": "b", "low": "low_b"}), "b")
     close = scratch.save(with_low.select("a", "b", "low_a", "low_b").mapInArrow(likely, "a long, b long"), f"{name}-close")
     ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = scratch.save(_texts(docs).join(_small(ids, ids.count()), "id").dropDuplicates(["id"]), f"{name}-texts")
+    needed = _texts_of(docs, nodes, ids, scratch, f"{name}-texts")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,15 +243,12 @@ def may_link(head: DataFrame) -> DataFrame:
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its group of near-duplicates) for every row."""
-    scratch = Scratch(docs.sparkSession)
+def _labelled(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, same, label for every row: rows of one label are near-duplicates of each other."""
     sketch = scratch.save(sketches(docs), "sketch")
-    copies = sketch.groupBy("same").agg(F.min("id").alias("node"))
-    member = sketch.select("id", "same").distinct().join(copies, "same").select("id", "node")
-    nodes = scratch.save(sketch.join(copies, (sketch.same == copies.same) & (sketch.id == copies.node)).select("id", "low", "bands").dropDuplicates(["id"]), "nodes")
-    #: Ids that stand for several texts, or stand with other ids for one, tie these together.
-    tied = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    one = sketch.groupBy("same").agg(F.min("id").alias("least"), F.first("low").alias("low"), F.first("bands").alias("bands"))
+    # Numbers from places in a table that is written at once, so that they hold.
+    nodes = scratch.save(one.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     keys = nodes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -261,31 +265,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
     open_ids = scratch.save(labelled.join(open_keys.select("key"), "key").select("id", "label").distinct(), "open")
-    open_texts = scratch.save(_texts(docs).join(_small(open_ids, open_ids.count()), "id").dropDuplicates(["id"]), "open-texts")
-    head = scratch.save(heads(open_texts), "heads")
+    head = scratch.save(heads(_texts_of(docs, nodes, open_ids, scratch, "open-texts")), "heads")
     # Shingles that only one component holds can't link two.
     across = head.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     again = may_link(head.join(across, "shingle"))
     more = verified(again.join(first, ["a", "b"], "left_anti"), nodes, docs, scratch, "two")
-    whole = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(tied), scratch, "round-two")
+    whole = components(links.select("a", "b").unionByName(more.select("a", "b")), scratch, "round-two")
     for name in ("shared", "first", "open", "open-texts", "heads"):
         scratch.drop(name)
+    labels = nodes.select("id", "same").join(whole.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("label", "id").alias("label"))
+    return sketch.select("id", "same").join(labels, "same").select("id", "same", "label")
 
-    ids = sketch.select("id").join(whole.withColumnRenamed("node", "id"), "id", "left")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return ids.select(real("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id")).withColumn("class_id", real("class_id"))
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its group of near-duplicates) for every row."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(_labelled(docs, scratch), "labelled")
+    least = rows.groupBy("label").agg(F.min("id").alias("class_id"))
+    return rows.join(least, "label").select(F.col("id").alias("doc_id"), "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that of its least id, with the columns it came with."""
+    """One row of each group of near-duplicates, one of its least id, with the columns it came with."""
     scratch = Scratch(docs.sparkSession)
-    classes = scratch.save(near_duplicates(docs), "classes")
-    gone = classes.where("not doc_id <=> class_id").select("doc_id").distinct()
-    repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    n_gone, n_repeated = gone.count(), repeated.count()
-    kept = docs.join(_small(gone, n_gone), docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    rows = scratch.save(_labelled(docs, scratch).groupBy("label", "id", "same").agg(F.count("*").alias("n")), "labelled")
+    order = lambda: F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("least"), F.col("same").alias("digest"))
+    best = rows.groupBy("label").agg(F.min(order()).alias("best"))
+    judged = scratch.save(rows.join(best, "label").select("id", "same", (order() == F.col("best")).alias("stays"), "n"), "judged")
+    gone, repeated = (judged.where(c).select("id", F.col("same").alias("digest")) for c in ("not stays", "stays and n > 1"))
+    n_repeated = repeated.count()
+    digest = F.unhex(F.md5(F.coalesce(docs.text, F.lit(""))))
+    is_in = lambda df: docs.doc_id.cast("long").eqNullSafe(df.id) & (digest == df.digest)
+    kept = docs.join(_small(gone, gone.count()), is_in(gone), "left_anti")
     if not n_repeated:
         return kept
-    once = kept.join(_small(repeated, n_repeated), kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti")
-    several = kept.join(_small(repeated, n_repeated), kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi")
-    return once.unionByName(several.dropDuplicates(["doc_id"]))
+    once = kept.join(_small(repeated, n_repeated), is_in(repeated), "left_anti")
+    several = kept.join(_small(repeated, n_repeated), is_in(repeated), "left_semi")
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
