@@ -1,15 +1,18 @@
 """Quality by co-training of two views.
 
-The content view is linear in the text's features, the metadata view in a page's source, language and length.
-Each round, each view labels the unlabelled documents it is sure of, and the other view learns from them. Then each
-view's margins are calibrated on labelled documents that neither learned from, both are combined, and all documents are scored.
+The content view is linear in the text's features, the metadata view in a page's source, language and length; either also has an
+evidence column. Each round, all unlabelled documents are scored by both views, map-side, and each view labels those it is
+sure of for the other one. What a view learns from its pseudo-labels is how often each bucket occurs in either class, counted by
+tasks and summed in Spark; the sum of log ratios over a document's buckets is the view's evidence, with which it is fitted
+again. At last each view's margins are calibrated on labelled documents that neither learned from, both are combined, and
+all documents are scored.
 
-The fit takes a bounded sample (``sample`` labelled rows a class and ``pool`` unlabelled ones, chosen by a hash of the id) and is one task.
-Scoring is map-side over whole texts.
+Only labelled rows are sampled (at most ``sample`` a class, chosen by a hash of the id): their fit is one task. All unlabelled rows
+take part in every round. The counts are at most ``EVIDENCE`` numbers a class, whatever the data's size.
 
 Defined cases: a null text is empty, a null source or language is a value of its own, a null length is
-taken from the text; labels with a null are left out; of labels repeated for one id the greatest quality counts;
-without labels every document is kept with the score 0.5; an empty table gives no rows.
+taken from the text; rows with a null id are unlabelled; labels with a null are left out; of labels repeated for one id the greatest
+quality counts; without labels every document is kept with the score 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 
 from . import features as ft
 from . import text as tx
-from .toxicity import marked_labels, stacked
+from .scratch import Scratch
+from .toxicity import marked_labels
 
-SAMPLE, POOL, ROUNDS, GROWTH, SURE = 4000, 6000, 4, 500, 0.97
+SAMPLE, ROUNDS, SURE = 4000, 2, 0.97
+#: Buckets of evidence (a sixteenth of all buckets), and labelled ids that may be broadcast.
+EVIDENCE_BITS = 18
+EVIDENCE, IDS_BROADCAST = 1 << EVIDENCE_BITS, 1_000_000
 META = ("source", "lang", "n_chars")
 
 
@@ -46,40 +53,46 @@ def meta_features(batch: pa.RecordBatch) -> ft.Sparse:
     return ft.Sparse(bucket, np.arange(0, 2 * n + 1, 2), np.stack([size, size**2, given >= 0], axis=1).astype(float))
 
 
+class Evidence:
+    """What pseudo-labels say about buckets: documents of each class with each bucket, and documents of each class."""
+
+    def __init__(self, counts: np.ndarray | None = None, documents: np.ndarray | None = None):
+        counts = np.zeros((2, EVIDENCE)) if counts is None else counts
+        documents = np.zeros(2) if documents is None else documents
+        self.documents = documents.astype(np.int64)
+        share = (counts + 0.5) / (documents[:, None] + 1)
+        both = np.all(documents > 0) * (counts.sum(axis=0) > 0)
+        self.ratio = np.where(both, np.log(share[1] / share[0]), 0.0).astype(np.float32)
+
+    def add_to(self, x: ft.Sparse) -> ft.Sparse:
+        n = np.maximum(np.diff(x.at), 1)
+        total = np.bincount(x.row, weights=self.ratio[_place(x.bucket)], minlength=len(x))
+        return x.with_dense((total / np.sqrt(n))[:, None])
+
+
+def _place(bucket: np.ndarray) -> np.ndarray:
+    return bucket >> (ft.BUCKET_BITS - EVIDENCE_BITS)
+
+
 class CoTrained:
     """The two views, their calibration and the combination. p is the probability of high quality."""
 
-    def fit(self, text: ft.Sparse, meta: ft.Sparse, y: np.ndarray, fold: np.ndarray, share: float, rounds: int = ROUNDS) -> CoTrained:
-        """y: 1 or 0, -1 for unlabelled rows. Labelled rows of fold 0 calibrate, the others train."""
-        self.share = share
-        learn, held = np.flatnonzero((y >= 0) & (fold > 0)), np.flatnonzero((y >= 0) & (fold == 0))
+    def __init__(self, evidence: list[Evidence] | None = None):
+        self.evidence = evidence or [Evidence(), Evidence()]
+
+    def fit(self, text: ft.Sparse, meta: ft.Sparse, y: np.ndarray, fold: np.ndarray, share: float) -> CoTrained:
+        """y: 1 or 0. Rows of fold 0 calibrate, the others train."""
+        self.share, self.threshold = share, 0.5
+        learn, held = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
         self.usable = len(np.unique(y[learn])) == 2 and len(np.unique(y[held])) == 2
-        self.threshold = 0.5
         if not self.usable:
             return self
-        pool = np.flatnonzero(y < 0)
-        views = [text, meta]
-        #: Pseudo-labels that each view has got from the other: row and label.
-        given: list[dict[int, int]] = [{}, {}]
-        self.models: list[ft.Linear] = []
-        self.curves: list[ft.Platt] = []
-        for turn in range(rounds + 1):
-            self.models, self.curves = [], []
-            for k, x in enumerate(views):
-                rows = np.concatenate([learn, np.fromiter(given[k], np.int64, len(given[k]))])
-                labels = np.concatenate([y[learn], np.fromiter(given[k].values(), np.int64, len(given[k]))])
-                self.models.append(ft.Linear(steps=150).fit(x.take(rows), labels))
-                self.curves.append(ft.Platt().fit(self.models[k].margin(x.take(held)), y[held]))
-            if turn == rounds or not len(pool):
-                break
-            for k, x in enumerate(views):
-                p = self.curves[k].predict(self.models[k].margin(x.take(pool)))
-                other = given[1 - k]
-                for label, sure in ((1, p), (0, 1 - p)):
-                    best = np.argsort(-sure, kind="stable")
-                    fresh = [int(pool[i]) for i in best if sure[i] >= SURE and int(pool[i]) not in other][:GROWTH]
-                    other.update(dict.fromkeys(fresh, label))
-        self.exchanged = [len(g) for g in given]
+        self.models, self.curves = [], []
+        for x, evidence in zip((text, meta), self.evidence, strict=True):
+            small, buckets = evidence.add_to(x).compact()
+            self.models.append(ft.Linear(steps=150).fit(small.take(learn), y[learn]))
+            self.curves.append(ft.Platt().fit(self.models[-1].margin(small.take(held)), y[held]))
+            self.models[-1].spread(buckets)
         z = self._logits(text.take(held), meta.take(held))
         self.joint = ft.Linear(least_z=np.inf, steps=400).fit(_dense(z), y[held])
         self.curve = ft.Platt().fit(self.joint.margin(_dense(z)), y[held])
@@ -90,8 +103,14 @@ class CoTrained:
         self.threshold = min(0.5, 1 - ft.best_threshold(1 - p, 1 - y[held], 1 - share))
         return self
 
+    def pseudo_labels(self, text: ft.Sparse, meta: ft.Sparse) -> list[np.ndarray]:
+        """For each view, what the other one is sure of: 1, 0, or -1."""
+        p = self.views(text, meta)
+        sure = np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
+        return [sure[:, 1], sure[:, 0]]
+
     def _logits(self, text: ft.Sparse, meta: ft.Sparse) -> np.ndarray:
-        return np.stack([c.a * m.margin(x) + c.b for c, m, x in zip(self.curves, self.models, (text, meta), strict=True)], axis=1)
+        return np.stack([c.a * m.margin(e.add_to(x)) + c.b for c, m, e, x in zip(self.curves, self.models, self.evidence, (text, meta), strict=True)], axis=1)
 
     def views(self, text: ft.Sparse, meta: ft.Sparse) -> np.ndarray:
         if not self.usable:
@@ -116,41 +135,86 @@ def _inputs(docs: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, pool: int = POOL) -> CoTrained:
-    marked = marked_labels(labels, {"quality": F.col("quality")})
-    share = marked.agg(F.avg("quality")).first()[0]
+def _learned(docs: DataFrame, model: CoTrained) -> list[Evidence]:
+    """The evidence of both views from the pseudo-labels of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total, documents = np.zeros((2, 2, EVIDENCE), np.int64), np.zeros((2, 2), np.int64)
+        for batch in batches:
+            for b in tx.chunks(batch, "text"):
+                views = ft.Sparse(*ft.tokens(b.column("text"))), meta_features(b)
+                for k, (x, label) in enumerate(zip(views, m.pseudo_labels(*views), strict=True)):
+                    for c in (0, 1):
+                        rows = label == c
+                        documents[k, c] += rows.sum()
+                        place, n = np.unique(_place(x.bucket[rows[x.row]]), return_counts=True)
+                        total[k, c, place] += n
+        for k in (0, 1):
+            for c in (0, 1):
+                place = np.flatnonzero(total[k, c])
+                # Place -1 counts the documents.
+                at, n = np.append(place, -1), np.append(total[k, c, place], documents[k, c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), pa.int32()) for x in (k, c)] + [pa.array(at), pa.array(n)], names=["view", "class", "place", "n"])
+
+    found = _inputs(docs).mapInArrow(count, "view int, class int, place long, n long").groupBy("view", "class", "place").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    view, label, place, n = (np.asarray(found[c]) for c in ("view", "class", "place", "n"))
+    counts, documents = np.zeros((2, 2, EVIDENCE)), np.zeros((2, 2))
+    some = place >= 0
+    counts[view[some], label[some], place[some]] = n[some]
+    documents[view[~some], label[~some]] = n[~some]
+    return [Evidence(counts[k], documents[k]) for k in (0, 1)]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, rounds: int = ROUNDS) -> CoTrained:
+    marked = marked_labels(labels, {"quality": F.col("quality")}).where("doc_id is not null")
+    share, n_labels = marked.agg(F.avg("quality"), F.count("*")).first()
     share = min(max(share if share is not None else 0.5, 1e-6), 1 - 1e-6)
     by_hash = [F.xxhash64(F.lit(13), "doc_id"), F.col("doc_id")]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     known = marked.join(ids, "doc_id", "left_semi")
     picked = [known.where(F.col("quality") == v).orderBy(*by_hash).limit(per_class) for v in (0, 1)]
-    picked.append(ids.join(marked, "doc_id", "left_anti").orderBy(*by_hash).limit(pool).withColumn("quality", F.lit(-1)))
-    # At most 2 * per_class + pool ids: a proven bound for the broadcast.
-    chosen = picked[0].unionByName(picked[1]).unionByName(picked[2])
+    # At most 2 * per_class ids: a proven bound for the broadcast.
+    chosen = picked[0].unionByName(picked[1])
     sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", *META)).alias("d")).select("doc_id", "quality", "d.*")
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("tokens", pa.binary()), ("shape", pa.binary()), ("meta", pa.binary()), ("meta_dense", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tx.chunks(batch, "text"):
-                bucket, at, shape = ft.tokens(b.column("text"))
                 meta = meta_features(b)
-                cut = lambda v, a: pa.array([v[a[i] : a[i + 1]].astype(np.int32).tobytes() for i in range(b.num_rows)], pa.binary())
-                rows = lambda d: pa.array([r.tobytes() for r in d], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), cut(bucket, at), rows(shape), cut(meta.bucket, meta.at), rows(meta.dense)], names=schema.names)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=schema).sort_by("doc_id")
-        ids = np.asarray(t["doc_id"])
-        text, meta = stacked(t["tokens"].to_pylist(), t["shape"].to_pylist()), stacked(t["meta"].to_pylist(), t["meta_dense"].to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(CoTrained().fit(text, meta, np.asarray(t["quality"]), ft.folds(ids, 4), share))], pa.binary())], names=["model"])
-
-    rows = sample.mapInArrow(extract, "doc_id long, quality int, tokens binary, shape binary, meta binary, meta_dense binary")
-    # The sample is bounded, so one task may hold it; its features are made in parallel before.
-    found = rows.repartition(1).mapInArrow(fit, "model binary").collect()
-    if found:
-        return pickle.loads(bytes(found[0]["model"]))
-    return CoTrained().fit(stacked([], []), stacked([], []), np.zeros(0, np.int64), np.zeros(0, np.int64), share)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), *ft.as_rows(*ft.tokens(b.column("text"))), *ft.as_rows(meta.bucket, meta.at, meta.dense)], names=["doc_id", "quality", "tokens", "shape", "meta", "meta_dense"])
+
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(sample.mapInArrow(extract, "doc_id long, quality int, tokens binary, shape binary, meta binary, meta_dense binary"), "sample")
+
+    def fitted(evidence: list[Evidence] | None) -> CoTrained:
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            text, (doc_id, y) = ft.gathered(held, "tokens", "shape", len(ft.SHAPE), ["doc_id", "quality"])
+            meta, _ = ft.gathered(held, "meta", "meta_dense", 3, [])
+            del held  # the model is fitted beside one copy of the sample
+            order = np.argsort(doc_id, kind="stable")
+            model = CoTrained(evidence).fit(text.take(order), meta.take(order), y[order], ft.folds(doc_id[order], 4), share)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+        # The labelled sample is bounded, so one task may hold it.
+        found = rows.repartition(1).mapInArrow(fit, "model binary").collect()
+        if found:
+            return pickle.loads(bytes(found[0]["model"]))
+        return CoTrained().fit(ft.Sparse(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 1))), meta_features(_NO_ROWS), np.zeros(0, np.int64), np.zeros(0, np.int64), share)
+
+    model = fitted(None)
+    own = marked.select("doc_id")
+    unlabelled = docs.join(F.broadcast(own) if n_labels <= IDS_BROADCAST else own, "doc_id", "left_anti")
+    for _ in range(rounds if model.usable else 0):
+        model = fitted(_learned(unlabelled, model))
+    scratch.drop()
+    return model
+
+
+_NO_ROWS = pa.RecordBatch.from_pydict({"source": [], "lang": [], "n_chars": [], "text": []}, schema=pa.schema([("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()), ("text", pa.string())]))
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
