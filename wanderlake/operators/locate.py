@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stays import distances_m
+from .stays import ROWS, distances_m
 
 #: Boxes (south, north, west, east) of time zones, in order of precedence. Coordinates in no box have no zone.
 ZONES = (
@@ -29,61 +31,126 @@ def with_local_time(stays: DataFrame) -> DataFrame:
     return s.withColumns({f"local_{c}": F.convert_timezone(F.lit("UTC"), F.col("timezone_id"), F.col(c)) for c in ("arrival", "departure")})
 
 
+def near_pairs(lat: np.ndarray, lon: np.ndarray, most_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of points at most most_m apart, each once: only points of the same or touching cells are compared, a cell at a time."""
+    n = len(lat)
+    if n < 64:
+        i, j = np.triu_indices(n, 1)
+        near = distances_m(lat[i], lon[i], lat[j], lon[j]) <= most_m
+        return i[near], j[near]
+    # Rows of cells are as high as most_m; in each row cells are as wide as most_m at the row's far side from the equator.
+    step = most_m / 111_194.0 * 1.001 + 1e-12
+    y = np.floor(lat / step).astype(np.int64)
+    width = step / np.maximum(np.cos(np.radians(np.minimum((np.abs(y) + 2) * step, 89.9))), 1e-3)
+    found_i, found_j = [], []
+    order = np.lexsort((lon, y))
+    rows, at = np.unique(y[order], return_index=True)
+    at = np.append(at, n)
+    for k, row in enumerate(rows.tolist()):
+        own = order[at[k] : at[k + 1]]
+        for other in [own] + ([order[at[k + 1] : at[k + 2]]] if k + 1 < len(rows) and rows[k + 1] == row + 1 else []):
+            reach = np.maximum(width[own], width[other[0]])
+            lo = np.searchsorted(lon[other], lon[own] - reach) if other is not own else np.arange(len(own)) + 1
+            size = np.maximum(np.searchsorted(lon[other], lon[own] + reach, "right") - lo, 0)
+            for part in np.array_split(np.arange(len(own)), max(1, int(size.sum()) >> 20)):
+                i = np.repeat(own[part], size[part])
+                j = other[np.arange(len(i)) + np.repeat(lo[part] - np.cumsum(size[part]) + size[part], size[part])]
+                near = distances_m(lat[i], lon[i], lat[j], lon[j]) <= most_m
+                found_i.append(i[near])
+                found_j.append(j[near])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def chained(lat: np.ndarray, lon: np.ndarray, step_m: float) -> np.ndarray:
+    """Groups of points that steps of at most step_m connect: every point takes the least number it can reach."""
+    label = np.arange(len(lat))
+    i, j = near_pairs(lat, lon, step_m)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, i, label[j])
+        np.minimum.at(least, j, label[i])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def complete_link(lat: np.ndarray, lon: np.ndarray, most_m: float) -> np.ndarray:
-    """Clusters in which no two members are over most_m apart: the nearest two are merged while that holds."""
+    """Clusters in which no two members are over most_m apart: the nearest two are merged while that holds.
+
+    No cluster leaves a group that steps of most_m connect, so groups are clustered apart; a group's distances are held at once.
+    """
+    group = chained(lat, lon, most_m)
+    label = group.copy()
+    names, size = np.unique(group, return_counts=True)
+    for name in names[size > 1].tolist():
+        own = np.flatnonzero(group == name)
+        label[own] = own[_merged(lat[own], lon[own], most_m)]
+    return label
+
+
+def _merged(lat: np.ndarray, lon: np.ndarray, most_m: float) -> np.ndarray:
+    """Complete link of one group. The nearest other of every row is kept, and worked out again where a merge changed it."""
     n = len(lat)
-    d = np.stack([distances_m(lat[i], lon[i], lat, lon) for i in range(n)]) if n else np.zeros((0, 0))
+    d = distances_m(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
     np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    while n > 1:
-        k = int(np.argmin(d))
-        i, j = divmod(k, len(d))
-        if d[i, j] > most_m:
-            break
-        i, j = min(i, j), max(i, j)
+    label, best = np.arange(n), d.argmin(axis=1)
+    least = d[np.arange(n), best]
+    while True:
+        i = int(least.argmin())
+        if not least[i] <= most_m:
+            return label
+        i, j = sorted((i, int(best[i])))
         label[label == j] = i
         d[i, :] = d[:, i] = np.maximum(d[i], d[j])
         d[i, i] = np.inf
         d[j, :] = d[:, j] = np.inf
-    return label
-
-
-def chained(lat: np.ndarray, lon: np.ndarray, step_m: float) -> np.ndarray:
-    """Groups of points that steps of at most step_m connect."""
-    label = np.full(len(lat), -1)
-    for seed in range(len(lat)):
-        if label[seed] >= 0:
-            continue
-        todo = [seed]
-        label[seed] = seed
-        while todo:
-            i = todo.pop()
-            near = np.flatnonzero((label < 0) & (distances_m(lat[i], lon[i], lat, lon) <= step_m))
-            label[near] = seed
-            todo.extend(near.tolist())
-    return label
+        least[j] = np.inf
+        changed = np.flatnonzero((best == i) | (best == j) | (np.arange(n) == i))
+        changed = changed[changed != j]
+        best[changed] = d[changed].argmin(axis=1)
+        least[changed] = d[changed, best[changed]]
 
 
 METHODS = {"complete_link": complete_link, "dbscan": chained}
+SPOTS = "user_id long, lat double, lon double, location_id long"
 
 
 def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m: float = 200.0) -> DataFrame:
     """stays with location_id, numbered by first arrival within a user.
 
-    A user's stays meet in one group; there are as many as a person makes. Different places of a user enter the kernel once.
+    Only a user's different spots go through the kernel, many users in one call; the numbers are joined back to the stays.
     """
     kernel = METHODS[method]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["arrival", "departure", "lat", "lon"], kind="stable")
-        spots, back = np.unique(g[["lat", "lon"]].to_numpy(), axis=0, return_inverse=True)
-        raw = kernel(spots[:, 0], spots[:, 1], threshold_m)[back.reshape(-1)]
-        _, first, inverse = np.unique(raw, return_index=True, return_inverse=True)
-        g["location_id"] = np.argsort(np.argsort(first))[inverse]
-        return g
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stays.schema.fields)
-    return stays.groupBy("user_id").applyInPandas(run, f"{schema}, location_id long")
+    # NaN and -0.0 aside, doubles that are equal join; the group normalises both.
+    spots = stays.groupBy("user_id", "lat", "lon").agg(F.min(F.struct("arrival", "departure")).alias("first"))
+
+    def located(t: pa.Table) -> pa.RecordBatch:
+        user, lat, lon = (np.asarray(t[c]) for c in ("user_id", "lat", "lon"))
+        cuts = np.flatnonzero(np.append(True, user[1:] != user[:-1]))
+        number = np.empty(len(user), np.int64)
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(user)).tolist(), strict=True):
+            _, first, back = np.unique(kernel(lat[lo:hi], lon[lo:hi], threshold_m), return_index=True, return_inverse=True)
+            number[lo:hi] = np.argsort(np.argsort(first))[back]
+        return pa.RecordBatch.from_arrays([pa.array(user), pa.array(lat), pa.array(lon), pa.array(number)], names=["user_id", "lat", "lon", "location_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            user = np.asarray(t["user_id"])
+            cut = int(np.flatnonzero(np.append(True, user[1:] != user[:-1]))[-1])
+            if cut:
+                yield located(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if any(b.num_rows for b in held):
+            yield located(pa.Table.from_batches(held))
+
+    sorted_spots = spots.repartition("user_id").sortWithinPartitions("user_id", "first", "lat", "lon").select(F.col("user_id").cast("long").alias("user_id"), "lat", "lon")
+    return stays.join(sorted_spots.mapInArrow(run, SPOTS), ["user_id", "lat", "lon"]).select(*stays.columns, "location_id")
 
 
 def summarize_locations(semantic: DataFrame) -> DataFrame:
