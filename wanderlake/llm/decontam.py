@@ -1,18 +1,16 @@
 """Benchmark decontamination by template canonicalisation, with Spark expressions alone.
 
-Words are runs of letters and digits, lower-cased (a number keeps its inner marks). A word that begins with a digit becomes a number
-placeholder, a unit after a number a unit placeholder, a capitalised word inside a sentence a name placeholder. Windows of
-five canonical words are hashed; those of documents meet those of benchmark items in an equi-join. Matches of one
-document and item are aligned by their distance (document position less item position). In an alignment, the slots under
-placeholders must be consistent: equal values of the item stand for equal values of the document.
-
-Each text has three forms. In the second one, a word that opens a sentence is a name too where the text has it as a name elsewhere,
-and a run of names is one placeholder. The third is the plain lower-case words, for copies that are exact but for case and
-marks. Windows meet only those of their own form.
+Words are runs of letters and digits, lower-cased (a number keeps its inner marks). Each text has two forms. In the canonical one a
+run of capitalised words is a name placeholder (openers of sentences too, in documents and items alike; its value is the last word
+of the run), digits and number words are number placeholders, and a unit after a number is a unit placeholder. The other form is
+the plain words. Windows of five words are hashed; those of documents meet those of benchmark items in an equi-join, each
+form with its own. Matches of one document and item are aligned by their distance (document position less item position). In
+an alignment, the slots under placeholders must be consistent: equal values of the item stand for equal values of the document.
 
 A document is contaminated by an item if a consistent alignment has four fifths of the item's windows, or nine of them (13 words).
-Windows with fewer than three plain words are left out, since placeholders alone match anything. Of plain words all windows count, and
-all must match; an item of under five words is one window of its length, found wherever these words stand on end.
+Canonical windows with fewer than three plain words are left out, since placeholders alone match anything. Of plain words all windows
+count, and all must match (copies that are exact but for case and marks); an item of under five words is one window of its
+length, found wherever these words stand on end.
 
 The join sends the windows' hashes of the benchmark to every task while there are at most ``WINDOWS_BROADCAST`` of them (32 MB), and
 shuffles beyond. Only documents with matches are looked at again for their slots.
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WINDOW, LEAST_SHARE, LEAST_RUN, LEAST_PLAIN = 5, 0.8, 9, 3
+BITMAP_BITS = 14
 WINDOWS_BROADCAST, IDS_BROADCAST = 2_000_000, 1_000_000
 #: Units of measure.
 UNITS = (
@@ -37,58 +36,58 @@ UNITS = (
     "l", "ml", "liter", "liters", "litre", "litres", "gallon", "gallons", "kmh", "mph", "percent", "dollars", "dollar", "cents", "euros", "euro", "degrees",
     "meter", "meters", "metre", "metres", "kilometers", "kilometres", "kilograms", "grams", "pounds", "w", "kw", "v", "hz", "j", "n", "pa", "k", "c", "f",
 )
+#: Number words.
+NUMBERS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion",
+)
 NUMBER, UNIT, NAME = "#num", "#unit", "#name"
-#: The form of plain words, and what sets them apart from canonical ones.
-EXACT, PLAIN = 2, "="
-#: What words are made of, as the inside of a character class.
+#: The forms, and what words are made of, as the inside of a character class.
+CANONICAL, EXACT = 0, 1
 WORD = r"\p{L}\p{N}_#"
 
-
-def plain_text(text: Column) -> Column:
-    """The text with line ends as sentence ends and the marks inside a number as underscores."""
+def marked_text(text: Column) -> Column:
+    """Words with one space between them; a word that anything but a single space comes before has a dot in front. A number keeps its inner marks as underscores."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("#"), F.lit(" ")), F.lit("\n"), F.lit(". "))
-    return F.when(t.rlike("[0-9]"), F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", "_")).otherwise(t)
+    t = F.when(t.rlike("[0-9][.,][0-9]"), F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", "_")).otherwise(t)
+    return F.rtrim(F.ltrim(F.regexp_replace(t, f"[^{WORD} ][^{WORD}]*| [^{WORD}]+", " .")), F.lit(" ."))
 
 
-def with_names(plain: Column) -> Column:
-    """Capitalised words inside a sentence as placeholders. The letter is matched before the look behind it, which is rarely needed."""
-    return F.regexp_replace(plain, rf" \p{{Lu}}(?<=[^.!?:\s] .)[{WORD}]*", f" {NAME}")
+def _unmarked(x: Column) -> Column:
+    return F.when(x < "/", F.substr(x, F.lit(2))).otherwise(x)
 
 
-def with_numbers(named: Column) -> Column:
-    units = rf"(?<![{WORD}])([0-9][{WORD}]*\s+)(?:{'|'.join(UNITS)})(?![{WORD}])"
-    numbered = F.regexp_replace(F.regexp_replace(named, units, f"$1{UNIT}"), rf"(?<![{WORD}])[0-9][{WORD}]*", NUMBER)
-    return F.when(named.rlike("[0-9]"), numbered).otherwise(named)
+def _capital(x: Column) -> Column:
+    """Latin letters are told by their place; only for others the first letter is lower-cased."""
+    first = F.left(x, F.lit(1))
+    return F.when(x < "a", (x >= "A") & (x < "[")).otherwise((x >= "\x80") & (F.lower(first) != first))
 
 
-def words_of(t: Column) -> Column:
-    """Lower-case words; other signs part them."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(t, f"[^{WORD} ]+", " ")), " "), "")
+def _number(w: Column) -> Column:
+    return ((w >= "0") & (w < ":")) | w.isin(*NUMBERS)
 
 
 def with_forms(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with raw and canon, the words as they are and in canonical form, as many of each; so are
-    raw_runs and canon_runs, with opening names, and runs of names as one word.
+    """rows with plain (lower-case words), canon (the canonical form) and canon_raw (the words it stands for, as many).
 
     Every step is a column of its own: an expression used twice, or inside a lambda, would be worked out again.
     """
-    plain = rows.withColumn("plain", plain_text(F.col(text)))
-    named = plain.withColumn("named", with_names(F.col("plain")))
-    cased = F.array_remove(F.split(F.regexp_replace("named", f"[^{WORD} ]+", " "), " "), "")
-    both = named.withColumns({"raw": words_of(F.col("plain")), "canon": words_of(with_numbers(F.col("named"))), "cased": cased})
-    names = F.array_distinct(F.filter(F.zip_with("cased", "raw", lambda c, r: F.when(c == NAME, r)), lambda r: r.isNotNull()))
-    known = both.withColumn("names", names)
-    # A word that still has its capital opens a sentence.
-    is_name = lambda c, r: (c == NAME) | ((F.lower(F.left(c, F.lit(1))) != F.left(c, F.lit(1))) & F.array_contains("names", r))
-    marked = F.array_join(F.zip_with("cased", "raw", lambda c, r: F.when(is_name(c, r), F.concat(F.lit(f"{NAME}="), r)).otherwise(r)), " ")
-    runs = known.withColumn("marked", marked).withColumn("runs", F.regexp_replace("marked", f"({NAME}=[^ ]+) (?={NAME}=)", "$1_"))
-    split = lambda t: F.array_remove(F.split(t, " "), "")
-    out = runs.withColumns({"raw_runs": split(F.replace("runs", F.lit(f"{NAME}="))), "canon_runs": split(with_numbers(F.regexp_replace("runs", f"{NAME}=[^ ]+", NAME)))})
-    return out.drop("plain", "named", "cased", "names", "marked", "runs")
+    t = rows.withColumn("marked", marked_text(F.col(text)))
+    t = t.withColumn("cased", F.when(F.col("marked") == "", F.array().cast("array<string>")).otherwise(F.split("marked", " ")))
+    t = t.withColumns({
+        "plain": F.transform("cased", lambda x: F.lower(_unmarked(x))),
+        # 0: no name, 1: a name that may go on from the word before, 2: a name after a mark.
+        "names": F.transform("cased", lambda x: F.when(x < "/", F.when(_capital(F.substr(x, F.lit(2))), 2).otherwise(0)).when(_capital(x), 1).otherwise(0)),
+    })
+    goes_on = lambda i: (F.get("names", i) > 0) & F.coalesce(F.get("names", i + 1) == 1, F.lit(False))
+    unit = lambda w, i: w.isin(*UNITS) & (i > 0) & F.coalesce(_number(F.get("plain", i - 1)) & (F.get("names", i - 1) == 0), F.lit(False))
+    kind = lambda w, i: F.when(F.get("names", i) > 0, NAME).when(_number(w), NUMBER).when(unit(w, i), UNIT).otherwise(w)
+    last = lambda f: F.array_compact(F.transform("plain", lambda w, i: F.when(~goes_on(i), f(w, i))))
+    return t.withColumns({"canon": last(kind), "canon_raw": last(lambda w, i: w)}).drop("marked", "cased", "names")
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda c: F.xxhash64(c))
+def _hashes(words: Column, form: Column) -> Column:
+    return F.transform(words, lambda c: F.xxhash64(form, c))
 
 
 def _key(hashes: Column, i: Column, width: int = WINDOW) -> Column:
@@ -101,34 +100,38 @@ def _starts(hashes: Column, width: int = WINDOW) -> Column:
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
+def _outer(first: Column, last: Column) -> Column:
+    """One number from the hashes of a window's outer words."""
+    return first.bitwiseXOR(F.shiftrightunsigned(last, 1))
+
+
 def _bit(h: Column) -> tuple[Column, Column]:
-    """Which of the 4,096 longs of a bitmap, and which bit of it."""
-    return F.shiftrightunsigned(h, 52).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+    """Which of the bitmap's longs, and which bit of it."""
+    return F.shiftrightunsigned(h, 64 - BITMAP_BITS).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """A constant array of 4,096 longs (32 KB, whatever the benchmark's size) with a bit for each hash in column h."""
-    at, bit = _bit(F.col("h"))
+def _bitmap(outer: DataFrame) -> Column:
+    """A constant array of longs (128 KB, whatever the benchmark's size) with a bit for each number in column o."""
+    at, bit = _bit(F.col("o"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    rows = hashes.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    rows = outer.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).collect()
     longs = dict(map(tuple, rows))
-    return F.from_json(F.lit(str([longs.get(i, 0) for i in range(4096)])), "array<bigint>")
+    return F.from_json(F.lit(str([longs.get(i, 0) for i in range(1 << BITMAP_BITS)])), "array<bigint>")
 
 
-def _may_hold(bitmap: Column, h: Column) -> Column:
-    at, bit = _bit(h)
+def _may_hold(bitmap: Column, o: Column) -> Column:
+    at, bit = _bit(o)
     return F.call_function("shiftrightunsigned", F.get(bitmap, at), bit).bitwiseAND(F.lit(1)) == 1
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """items (item, form, item_id, raw, canon) and their usable windows (item, form, pos, key, first, last, width). item numbers the different rows and forms."""
     items = with_forms(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct())
-    plain = F.transform("raw", lambda r: F.concat(F.lit(PLAIN), r))
-    forms = [F.struct(F.lit(k).alias("form"), r.alias("raw"), c.alias("canon")) for k, (r, c) in enumerate(((F.col("raw"), F.col("canon")), (F.col("raw_runs"), F.col("canon_runs")), (F.col("raw"), plain)))]
+    forms = [F.struct(F.lit(k).alias("form"), F.col(r).alias("raw"), F.col(c).alias("canon")) for k, r, c in ((CANONICAL, "canon_raw", "canon"), (EXACT, "plain", "plain"))]
     items = items.select("item_id", "text", F.inline(F.array(*forms))).select(F.xxhash64("item_id", "text", "form").alias("item"), "form", "item_id", "raw", "canon")
     h = F.col("h")
     short = (F.col("form") == EXACT) & F.size(h).between(1, WINDOW - 1)
-    at = items.select("item", "form", "canon", _hashes(F.col("canon")).alias("h")).withColumn("width", F.least(F.size("h"), F.lit(WINDOW)))
+    at = items.select("item", "form", "canon", _hashes(F.col("canon"), F.col("form")).alias("h")).withColumn("width", F.least(F.size("h"), F.lit(WINDOW)))
     at = at.select("*", F.explode(F.when(short, F.array(F.lit(0))).otherwise(_starts(h))).alias("pos"))
     plain = F.size(F.filter(F.slice("canon", F.col("pos") + 1, WINDOW), lambda c: ~c.isin(NUMBER, UNIT, NAME)))
     usable = at.where((plain >= LEAST_PLAIN) | (F.col("form") == EXACT))
@@ -137,24 +140,27 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_windows (longs), share double, slots long: the best alignment of each contaminated pair."""
-    items, usable = benchmark_windows(benchmark)
+    scratch = Scratch(docs.sparkSession)
+    # Read several times below, so both are written once.
+    items, usable = (scratch.save(x, name) for x, name in zip(benchmark_windows(benchmark), ("items", "windows"), strict=True))
     sizes = usable.groupBy("item", "form").agg(F.count("*").alias("item_windows"))
     n = usable.count()
     near = lambda df, count, most: F.broadcast(df) if count <= most else df
 
-    firsts, lasts = (_bitmap(usable.select(F.col(c).alias("h"))) for c in ("first", "last"))
-    plain = F.transform("raw", lambda r: F.xxhash64(F.concat(F.lit(PLAIN), r)))
-    hashed = with_forms(docs.select("doc_id", "text")).select("doc_id", _hashes(F.col("canon")).alias("h0"), _hashes(F.col("canon_runs")).alias("h1"), plain.alias("h2"))
-    # Only windows whose outer words occur in such places of the benchmark are hashed; the join then decides.
+    outer = _bitmap(usable.select(_outer(F.col("first"), F.col("last")).alias("o")))
+    words = with_forms(docs.select("doc_id", "text"))
+    hashed = words.select("doc_id", _hashes(F.col("canon"), F.lit(CANONICAL)).alias(f"h{CANONICAL}"), _hashes(F.col("plain"), F.lit(EXACT)).alias(f"h{EXACT}"))
+    # Only windows whose outer words are those of one of the benchmark's are hashed; the join then decides.
     short = [r[0] for r in usable.where(F.col("width") < WINDOW).select("width").distinct().collect()]
 
     def likely(form: int, width: int) -> Column:
         h = F.col(f"h{form}")
-        found = F.filter(_starts(h, width), lambda i: _may_hold(firsts, F.get(h, i)) & _may_hold(lasts, F.get(h, i + width - 1)))
-        return F.transform(found, lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), _key(h, i, width).alias("key")))
+        window = lambda i: F.struct(F.lit(form).alias("form"), i.alias("at"), _key(h, i, width).alias("key"))
+        return F.array_compact(F.transform(h, lambda x, i: F.when(_may_hold(outer, _outer(x, F.get(h, i + width - 1))), window(i))))
 
-    parts = [likely(k, WINDOW) for k in range(3)] + [likely(EXACT, w) for w in sorted(short)]
-    seen = hashed.select("doc_id", F.inline(F.concat(*parts)))
+    parts = [likely(k, WINDOW) for k in (CANONICAL, EXACT)] + [likely(EXACT, w) for w in sorted(short)]
+    # Outer, as the filter that Spark infers from an inner one would be pushed down with all expressions written out inside each other.
+    seen = hashed.select("doc_id", F.inline_outer(F.concat(*parts))).where("key is not null")
     keys = usable.select("item", "form", "pos", "key")
     matches = seen.join(near(keys, n, WINDOWS_BROADCAST), ["form", "key"]).select("doc_id", "item", (F.col("at") - F.col("pos")).alias("shift"), "pos").distinct()
     # At most as many positions as an item has windows meet in a group.
@@ -162,7 +168,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     strong = aligned.join(near(sizes, n, WINDOWS_BROADCAST), "item")
     enough = (F.col("matched") >= LEAST_RUN) | (F.col("matched") >= LEAST_SHARE * F.col("item_windows"))
     strong = strong.where(F.when(F.col("form") == EXACT, F.col("matched") == F.col("item_windows")).otherwise(enough))
-    scratch = Scratch(docs.sparkSession)
     strong = scratch.save(strong, "aligned")
     with_item = strong.join(near(items.drop("form"), n, WINDOWS_BROADCAST), "item")
     placeholders = F.filter(
@@ -178,9 +183,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Filtered map-side while the ids may be broadcast, so that only the texts in question are shuffled.
     texts = docs.select("doc_id", "text").join(near(ids, ids.count(), IDS_BROADCAST), F.col("doc_id").eqNullSafe(F.col("q_id")), "left_semi")
     both = in_question.join(texts, F.col("doc_id").eqNullSafe(F.col("q_id")))
-    values = with_forms(both.drop("canon", "raw")).withColumn("raw", F.when(F.col("form") == 1, F.col("raw_runs")).otherwise(F.col("raw"))).withColumn("pairs", F.transform("slots", lambda s: F.struct(s["v"].alias("a"), F.coalesce(F.get("raw", s["p"] + F.col("shift")), F.lit("")).alias("b"))))
+    values = with_forms(both.drop("canon", "raw")).withColumn("pairs", F.transform("slots", lambda s: F.struct(s["v"].alias("a"), F.coalesce(F.get("canon_raw", s["p"] + F.col("shift")), F.lit("")).alias("b"))))
     consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    checked = values.where(consistent).withColumn("n_slots", F.size("slots"))
+    # Written before it is filtered: the filter would be pushed down with all expressions written out inside each other.
+    tested = scratch.save(values.select("doc_id", "item_id", "matched", "item_windows", F.size("slots").alias("n_slots"), consistent.alias("ok")), "slots")
+    checked = tested.where("ok")
     columns = ["doc_id", "item_id", "matched", "item_windows", "n_slots"]
     found = free.select(*columns).unionByName(checked.select(*columns))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched") / F.col("item_windows"), "matched", "item_windows", "n_slots")).alias("m"))
