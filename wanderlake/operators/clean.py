@@ -79,3 +79,20 @@ def audit_events(points: DataFrame, cfg: CleaningConfig = CleaningConfig(), key:
         F.when(F.col("invalid"), "invalid_coordinate"), F.when(F.col("ambiguous"), "same_second_spatial_ambiguity"), F.col("implied")
     )
     return _marked(points, cfg, key).select(key, "ts", F.explode(F.array_compact(reasons)).alias("reason"))
+
+
+def consecutive_edges(cleaned: DataFrame, key: str = "user_id") -> DataFrame:
+    """Every cleaned row with the one before it: seconds, metres, km/h, whether both are of one sequence."""
+    w = Window.partitionBy(key).orderBy("ts")
+    c = cleaned.withColumn("b", F.lag(F.struct("ts", "lat", "lon", "sequence_id")).over(w)).where("b is not null")
+    seconds = F.timestamp_diff("MICROSECOND", F.col("b.ts"), F.col("ts")) / 1e6
+    c = c.withColumns({"gap_s": seconds, "distance_m": haversine_m(F.col("b.lat"), F.col("b.lon"), F.col("lat"), F.col("lon")), "within": F.col("b.sequence_id") == F.col("sequence_id")})
+    return c.withColumn("speed_kmh", F.when(F.col("gap_s") > 0, F.col("distance_m") / F.col("gap_s") * 3.6)).drop("b")
+
+
+def segment_profile(edges: DataFrame, key: str = "user_id", hard_kmh: float = 1000.0) -> DataFrame:
+    """Per user: edges, those within a sequence, gaps and speeds, edges over the hard speed, and kilometres that gaps bridge."""
+    return edges.groupBy(key).agg(
+        F.count("*").alias("edges"), F.count_if("within").alias("within"), F.median("gap_s").alias("median_gap_s"), F.max("gap_s").alias("largest_gap_s"), F.max("speed_kmh").alias("largest_speed_kmh"),
+        F.count_if(F.col("speed_kmh") > hard_kmh).alias("hard_speed_events"), (F.sum(F.when(~F.col("within"), F.col("distance_m")).otherwise(0.0)) / 1000).alias("bridged_km"),
+    )

@@ -87,3 +87,72 @@ def gate_status(semantic: DataFrame, locations: DataFrame, rule: WindowRule) ->
         .when(F.col("share").isNull(), "no_candidate").when(F.col("share") < rule.min_share, "low_share").when(F.col("margin") < rule.min_margin, "low_margin").otherwise("emitted")
     )
     return joined.select("user_id", F.lit(rule.label).alias("label"), status.alias("status"))
+
+
+#: The outcomes of the audit, in the order in which they are tried.
+OUTCOMES = (
+    "no_cp1_stay", "outside_frozen_v1_geographic_scope", "no_recurring_location", "no_behavioral_window_overlap", "insufficient_relevant_dates",
+    "share_below_frozen_gate", "margin_below_frozen_gate", "emitted",
+)
+
+
+def raw_top(features: DataFrame) -> DataFrame:
+    """The best recurring location of each user with any dwell in the window, whatever its dates, and its margin."""
+    return _ranked(features.where((F.col("stay_count") >= MIN_STAYS) & (F.col("dwell_s") > 0))).withColumn("margin", F.col("share") - F.coalesce("next_share", F.lit(0.0))).drop("next_share")
+
+
+def opportunities(semantic: DataFrame, rule: WindowRule) -> DataFrame:
+    """For each user seen in the window: dates with enough overlap at any place, and hours of overlap."""
+    by_date = contributions(semantic, rule).groupBy("user_id", "behavior_date").agg(F.sum("overlap_s").alias("s"))
+    return by_date.groupBy("user_id").agg(F.count_if(F.col("s") >= MIN_DATE_OVERLAP_S).alias("opportunity_dates"), (F.sum("s") / 3600).alias("opportunity_hours"))
+
+
+def label_audit(universe: DataFrame, stays: DataFrame, semantic: DataFrame, locations: DataFrame, rule: WindowRule) -> DataFrame:
+    """One outcome for each user of the universe (user_id), with the candidate that it is about."""
+    f = window_features(semantic, locations, rule)
+    seen = stays.groupBy("user_id").agg(F.lit(True).alias("has_stay"))
+    located = locations.groupBy("user_id").agg(F.max((F.col("stay_count") >= MIN_STAYS).cast("int")).alias("recurs"))
+    top = top_candidate(f, rule).select("user_id", "location_id", "share", "margin", "dates", (F.col("dwell_s") / 3600).alias("dwell_h"))
+    any_overlap = raw_top(f).select("user_id", F.lit(True).alias("overlaps"))
+    j = universe.join(seen, "user_id", "left").join(located, "user_id", "left").join(any_overlap, "user_id", "left").join(top, "user_id", "left")
+    tests = (
+        F.col("has_stay").isNull(), F.col("recurs").isNull(), F.col("recurs") == 0, F.col("overlaps").isNull(), F.col("share").isNull(),
+        F.col("share") < rule.min_share, F.col("margin") < rule.min_margin,
+    )
+    outcome = F.lit(OUTCOMES[-1])
+    for test, name in reversed(list(zip(tests, OUTCOMES, strict=False))):
+        outcome = F.when(test, name).otherwise(outcome)
+    return j.select("user_id", F.lit(rule.label).alias("label"), outcome.alias("outcome"), "location_id", "share", "margin", "dates", "dwell_h")
+
+
+def gate_diagnostics(semantic: DataFrame, locations: DataFrame, rule: WindowRule) -> DataFrame:
+    """For each located user: window opportunity, the best candidate with and without the dates gate, how much of the opportunity they cover, and a seven-way status."""
+    f = window_features(semantic, locations, rule)
+    users = locations.groupBy("user_id").agg(F.sum("stay_count").alias("stays"), F.count_if(F.col("stay_count") >= MIN_STAYS).alias("recurring"))
+    raw = raw_top(f).select("user_id", F.col("location_id").alias("raw_location"), F.col("share").alias("raw_share"), F.col("margin").alias("raw_margin"), F.col("dates").alias("raw_dates"))
+    top = top_candidate(f, rule).select("user_id", "location_id", "share", "margin", "dates")
+    j = users.join(opportunities(semantic, rule), "user_id", "left").join(raw, "user_id", "left").join(top, "user_id", "left").fillna({"opportunity_dates": 0, "opportunity_hours": 0.0})
+    low, near = F.col("share") < rule.min_share, F.col("margin") < rule.min_margin
+    status = (
+        F.when(F.col("opportunity_dates") <= 0, "no_observed_opportunity").when(F.col("raw_location").isNull(), "no_recurring_candidate").when(F.col("location_id").isNull(), "min_dates_blocked")
+        .when(low & near, "share_and_margin_blocked").when(low, "share_blocked").when(near, "margin_blocked").otherwise("emitted")
+    )
+    coverage = lambda c: F.when(F.col("opportunity_dates") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col("opportunity_dates"))
+    return j.withColumns({"label": F.lit(rule.label), "raw_coverage": coverage("raw_dates"), "coverage": coverage("dates"), "status": status})
+
+
+def emission_grid(features: DataFrame, dates: tuple[int, ...], shares: tuple[float, ...], margins: tuple[float, ...]) -> DataFrame:
+    """Users that each combination of gates lets through, of all users. The ranking is made anew for each dates gate; one pass for the whole grid."""
+    from .relational import with_grid
+
+    able = with_grid(features.where((F.col("stay_count") >= MIN_STAYS) & (F.col("dwell_s") > 0)), min_dates=dates).where(F.col("dates") >= F.col("min_dates"))
+    w = Window.partitionBy("user_id", "min_dates").orderBy(F.desc("share"), F.desc("dates"), F.desc("dwell_s"), F.desc("stay_count"), "location_id")
+    top = able.withColumns({"r": F.row_number().over(w), "margin": F.col("share") - F.coalesce(F.lead("share").over(w), F.lit(0.0))}).where("r = 1")
+    # Rates over a grid of literals, so nothing is lost where no user passes.
+    passed = with_grid(top.select("min_dates", "share", "margin"), min_share=shares, min_margin=margins)
+    n = F.count_if((F.col("share") >= F.col("min_share")) & (F.col("margin") >= F.col("min_margin")))
+    counts = passed.groupBy("min_dates", "min_share", "min_margin").agg(n.alias("emitted"))
+    users = features.agg(F.countDistinct("user_id").alias("users"))
+    cells = with_grid(users, min_dates=dates, min_share=shares, min_margin=margins)
+    out = cells.join(F.broadcast(counts), ["min_dates", "min_share", "min_margin"], "left").fillna({"emitted": 0})
+    return out.withColumn("coverage", F.try_divide("emitted", "users"))

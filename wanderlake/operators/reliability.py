@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank
+from ..functions.stats import circular_concentration, circular_mean_hour
 
 
 def recurrence_assignments(semantic: DataFrame, min_weekdays: int = 3) -> DataFrame:
@@ -38,13 +40,16 @@ def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
 def exposure_regime(df: DataFrame, value: str) -> DataFrame:
     """df with regime: zero, or the third (low, middle, high) of the mean rank among positive values.
 
-    The ranks are over all rows; the window holds one number and a key a row.
+    Ranks are made over the different values with their counts, and joined back to the rows by value.
     """
-    positive = df.where(F.col(value) > 0).withColumn("one", F.lit(1))
-    n = F.count("*").over(Window.partitionBy("one"))
-    share = average_rank(F.col(value), ["one"]) / n
+    counts = df.where(F.col(value) > 0).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_v")  # a row a different value, not a row of df
+    below = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    total = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    share = (below + (F.col("_n") + 1) / 2) / total
     regime = F.when(share <= 1 / 3, "low").when(share <= 2 / 3, "middle").otherwise("high")
-    return positive.withColumn("regime", regime).drop("one").unionByName(df.where(~(F.coalesce(F.col(value), F.lit(0)) > 0)).withColumn("regime", F.lit("zero")))
+    regimes = counts.select("_v", regime.alias("regime"))
+    return df.join(regimes, df[value] == regimes["_v"], "left").drop("_v").withColumn("regime", F.coalesce("regime", F.lit("zero")))
 
 
 def suppressed_counts(df: DataFrame, columns: list[str], least: int) -> DataFrame:
@@ -57,3 +62,233 @@ def bernoulli_dropout(df: DataFrame, keys: list[str], rate: float, seed: int) ->
     """The rows whose hash is not under the rate: the same rows whatever the partitioning."""
     unit = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) / 1_000_000
     return df.where(unit >= rate)
+
+
+FIXED, HOURLY, RECURRENCE = "fixed_window", "hourly_dominant", "recurrence"
+#: Target hours of the hourly method, the share of them that a day must show, and the days that a candidate needs.
+TARGET_HOURS = {"HOME": tuple(range(0, 6)), "OFFICE": tuple(range(9, 16))}
+MIN_HOURS_SHARE, MIN_DAYS, MIN_STAYS = 0.40, 3, 2
+
+
+def fixed_assignments(semantic: DataFrame, locations: DataFrame) -> DataFrame:
+    """The best candidate of each label by windows, and whether its gates let it through."""
+    from .evidence import RULES, top_candidate, window_features
+
+    out = None
+    for rule in RULES:
+        top = top_candidate(window_features(semantic, locations, rule), rule)
+        emitted = (F.col("share") >= rule.min_share) & (F.col("margin") >= rule.min_margin)
+        rows = top.select("user_id", F.lit(FIXED).alias("method"), F.lit(rule.label).alias("label"), "location_id", F.col("share").alias("score"), F.col("dates").alias("support_days"), emitted.alias("emitted"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def dominant_hours(semantic: DataFrame) -> DataFrame:
+    """The place with most overlap in each local hour of a user: user_id, hour_start, location_id, overlap_s."""
+    hours = F.sequence(F.date_trunc("hour", F.col("local_arrival")).cast("timestamp_ntz"), F.col("local_departure"), F.expr("interval 1 hour"))
+    h = semantic.where("local_departure > local_arrival").select("user_id", "location_id", "local_arrival", "local_departure", F.explode(hours).alias("hour_start"))
+    s = F.timestamp_diff("MICROSECOND", F.greatest("local_arrival", "hour_start"), F.least("local_departure", F.col("hour_start") + F.expr("interval 1 hour"))) / 1e6
+    g = h.withColumn("s", s).where("s > 0").groupBy("user_id", "hour_start", "location_id").agg(F.sum("s").alias("overlap_s"))
+    w = Window.partitionBy("user_id", "hour_start").orderBy(F.desc("overlap_s"), "location_id")
+    return g.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def hourly_assignments(semantic: DataFrame, locations: DataFrame) -> DataFrame:
+    """HOME by the mean share of observed night hours, OFFICE by the share of observed weekdays, over days that show enough of the target hours."""
+    bins = dominant_hours(semantic).withColumn("d", F.to_date("hour_start"))
+    out = None
+    for label, hours in TARGET_HOURS.items():
+        t = bins.where(F.hour("hour_start").isin(*hours))
+        t = t if label == "HOME" else t.where(F.weekday("d") < 5)
+        observed = F.count("*").over(Window.partitionBy("user_id", "d"))  # one row an hour
+        t = t.withColumn("observed", observed).where(F.col("observed") >= math.ceil(MIN_HOURS_SHARE * len(hours)))
+        day = t.groupBy("user_id", "d", "location_id").agg((F.count("*") / F.first("observed")).alias("fraction"))
+        days = F.size(F.collect_set("d").over(Window.partitionBy("user_id")))
+        # Rounded, so that ties are ties in whatever order the fractions are added.
+        place = day.withColumn("valid_days", days).groupBy("user_id", "location_id", "valid_days").agg(F.round(F.avg("fraction"), 9).alias("hour_fraction"), F.count("*").alias("visited"))
+        place = place.withColumn("day_share", F.col("visited") / F.col("valid_days")).join(locations.select("user_id", "location_id", "stay_count"), ["user_id", "location_id"])
+        first, second = ("hour_fraction", "day_share") if label == "HOME" else ("day_share", "hour_fraction")
+        w = Window.partitionBy("user_id").orderBy(F.desc(first), F.desc(second), F.desc("visited"), "location_id")
+        top = place.where((F.col("valid_days") >= MIN_DAYS) & (F.col("stay_count") >= MIN_STAYS)).withColumn("r", F.row_number().over(w)).where("r = 1")
+        rows = top.select("user_id", F.lit(HOURLY).alias("method"), F.lit(label).alias("label"), "location_id", F.col(first).alias("score"), F.col("valid_days").cast("long").alias("support_days"), F.lit(False).alias("emitted"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def schedule_free_assignments(semantic: DataFrame) -> DataFrame:
+    """HOME: the recurring place of the longest dwell. OFFICE: of the other recurring ones, that on the most weekdays (three or more)."""
+    d = F.to_date("local_arrival")
+    f = semantic.groupBy("user_id", "location_id").agg(F.sum("duration_s").alias("dwell_s"), F.count("*").alias("stays"), F.countDistinct(d).alias("days"), F.countDistinct(F.when(F.weekday(d) < 5, d)).alias("weekdays")).where(F.col("stays") >= MIN_STAYS)
+    w = Window.partitionBy("user_id")
+    f = f.withColumns({"h": F.row_number().over(w.orderBy(F.desc("dwell_s"), F.desc("days"), F.desc("stays"), "location_id")), "share": F.col("dwell_s") / F.sum("dwell_s").over(w), "most": F.greatest(F.max("weekdays").over(w), F.lit(1))})
+    home = f.where("h = 1").select("user_id", F.lit(RECURRENCE).alias("method"), F.lit("HOME").alias("label"), "location_id", F.col("share").alias("score"), F.col("days").alias("support_days"), F.lit(False).alias("emitted"))
+    others = f.where("h > 1").withColumn("o", F.row_number().over(w.orderBy(F.desc("weekdays"), F.desc("dwell_s"), F.desc("stays"), "location_id")))
+    office = others.where((F.col("o") == 1) & (F.col("weekdays") >= MIN_DAYS)).select("user_id", F.lit(RECURRENCE).alias("method"), F.lit("OFFICE").alias("label"), "location_id", (F.col("weekdays") / F.col("most")).alias("score"), F.col("weekdays").alias("support_days"), F.lit(False).alias("emitted"))
+    return home.unionByName(office)
+
+
+def infer_assignments(semantic: DataFrame) -> DataFrame:
+    """The candidates of all three methods: user_id, method, label, location_id, score, support_days, emitted."""
+    from .locate import summarize_locations
+
+    locations = summarize_locations(semantic)
+    return fixed_assignments(semantic, locations).unionByName(hourly_assignments(semantic, locations)).unionByName(schedule_free_assignments(semantic))
+
+
+def with_variants(semantic: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """A copy of each row for each variant whose condition holds, with the user and the variant as user_id.
+
+    Users of different variants are then different users to every operator, so one plan runs all variants at once.
+    """
+    names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in variants.items()]))
+    rows = semantic.withColumn("_variant", F.explode(names))
+    return rows.withColumn("user_id", F.struct(F.col("user_id").alias("user"), F.col("_variant").alias("variant"))).drop("_variant")
+
+
+def apart(assignments: DataFrame) -> DataFrame:
+    """assignments of variants with user_id and variant as columns again."""
+    return assignments.withColumn("variant", F.col("user_id.variant")).withColumn("user_id", F.col("user_id.user"))
+
+
+def date_share_split(semantic: DataFrame, share: float) -> DataFrame:
+    """semantic with train: whether the row's date is among the first share of its user's dates (one at least)."""
+    d = F.to_date("local_arrival")
+    s = semantic.withColumn("_k", F.dense_rank().over(Window.partitionBy("user_id").orderBy(d)))
+    n = F.max("_k").over(Window.partitionBy("user_id"))
+    return s.withColumn("train", F.col("_k") <= F.greatest(F.lit(1), F.floor(n * share))).drop("_k")
+
+
+def split_half(semantic: DataFrame) -> DataFrame:
+    """split, user_id, method, label, and the location of either half: by early and late dates, and by odd and even weeks."""
+    s = date_share_split(semantic, 0.5).withColumn("odd", F.weekofyear(F.to_date("local_arrival")) % 2 == 1)
+    halves = {"first_second|l": F.col("train"), "first_second|r": ~F.col("train"), "odd_even|l": F.col("odd"), "odd_even|r": ~F.col("odd")}
+    a = apart(infer_assignments(with_variants(s, halves).drop("train", "odd"))).withColumns({"split": F.split_part("variant", F.lit("|"), F.lit(1)), "half": F.split_part("variant", F.lit("|"), F.lit(2))})
+    pick = lambda h: F.max(F.when(F.col("half") == h, F.col("location_id")))
+    both = a.groupBy("split", "user_id", "method", "label").agg(pick("l").alias("left_location"), pick("r").alias("right_location"))
+    return both.where("left_location is not null and right_location is not null")
+
+
+def split_half_summary(details: DataFrame) -> DataFrame:
+    same = F.count_if(F.col("left_location") == F.col("right_location"))
+    return details.groupBy("split", "method", "label").agg(F.count("*").alias("both_halves"), same.alias("same_location"), (same / F.count("*")).alias("agreement"))
+
+
+def heldout(semantic: DataFrame, share: float = 0.6) -> DataFrame:
+    """Candidates of the first dates, with their share and rank among the places of the later ones."""
+    s = date_share_split(semantic, share)
+    late = s.where(~F.col("train"))
+    d = F.to_date("local_arrival")
+    week = F.when(F.weekday(d) < 5, d)
+    w = Window.partitionBy("user_id")
+    own = late.groupBy("user_id", "location_id").agg(F.sum("duration_s").alias("dwell_s"), F.countDistinct(week).alias("weekdays"))
+    all_days = late.groupBy("user_id").agg(F.countDistinct(week).alias("all_weekdays"))
+    m = own.join(all_days, "user_id").withColumns({"HOME": F.coalesce(F.try_divide(F.col("dwell_s"), F.sum("dwell_s").over(w)), F.lit(0.0)), "OFFICE": F.coalesce(F.try_divide("weekdays", "all_weekdays"), F.lit(0.0))})
+    m = m.withColumns({f"{c}_rank": F.rank().over(w.orderBy(F.desc(c))) for c in ("HOME", "OFFICE")})
+    metrics = m.select("user_id", "location_id", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("metric"), F.col(f"{c}_rank").alias("rank")) for c in ("HOME", "OFFICE")])))
+    return infer_assignments(s.where("train").drop("train")).join(metrics, ["user_id", "location_id", "label"], "left")
+
+
+def heldout_summary(details: DataFrame) -> DataFrame:
+    return details.groupBy("method", "label").agg(
+        F.count("*").alias("candidates"), F.avg(F.col("rank").isNotNull().cast("double")).alias("seen_share"), F.avg(F.coalesce(F.col("rank") == 1, F.lit(False)).cast("double")).alias("top1_share"),
+        F.median(F.coalesce("metric", F.lit(0.0))).alias("median_metric"), F.median("rank").alias("median_rank"),
+    )
+
+
+def uniform(seed: Column, *keys: Column) -> Column:
+    """A number in [0, 1) from the SHA-256 of seed and keys: the same one on any partitioning and in any engine."""
+    digest = F.sha2(F.concat_ws("|", seed.cast("string"), *[k.cast("string") for k in keys]), 256)
+    return F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("double") / 4294967296.0
+
+
+def dropout(semantic: DataFrame, rates: tuple[float, ...] = (0.1, 0.2, 0.3), seeds: tuple[int, ...] = (11, 23, 42)) -> DataFrame:
+    """Whether each candidate is found again when stays are left out at random: rate, seed, user_id, method, label, location_id, retained."""
+    at = F.date_format("arrival", "yyyy-MM-dd HH:mm:ss")
+    kept = {f"{rate}|{seed}": uniform(F.lit(seed), F.col("user_id"), F.col("location_id"), at) >= rate for rate in rates for seed in seeds}
+    a = apart(infer_assignments(with_variants(semantic, {"all": F.lit(True), **kept})))
+    return _retained(a, list(kept)).select(F.split_part("variant", F.lit("|"), F.lit(1)).cast("double").alias("rate"), F.split_part("variant", F.lit("|"), F.lit(2)).cast("int").alias("seed"), "user_id", "method", "label", "location_id", "retained")
+
+
+def _retained(a: DataFrame, variants: list[str]) -> DataFrame:
+    """Each candidate of the variant all beside every other variant."""
+    reference = a.where("variant = 'all'").select("user_id", "method", "label", "location_id").withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    other = a.where("variant <> 'all'").select("user_id", "method", "label", "variant", F.col("location_id").alias("other"))
+    return reference.join(other, ["user_id", "method", "label", "variant"], "left").withColumn("retained", F.coalesce(F.col("location_id") == F.col("other"), F.lit(False)))
+
+
+def retention(details: DataFrame, by: str) -> DataFrame:
+    return details.groupBy(by, "method", "label").agg(F.count("*").alias("candidates"), F.avg(F.col("retained").cast("double")).alias("retention"))
+
+
+def time_shift(semantic: DataFrame, hours: int = 12) -> DataFrame:
+    """Whether each candidate is found again when the local clock is moved: user_id, method, label, location_id, retained."""
+    s = with_variants(semantic, {"all": F.lit(True), "shifted": F.lit(True)})
+    moved = F.when(F.col("user_id.variant") == "shifted", F.make_dt_interval(hours=F.lit(hours))).otherwise(F.make_dt_interval())
+    # Instants move with the local clock, so windows that are compared as instants see the shift as well.
+    s = s.withColumns({c: F.col(c) + moved for c in ("arrival", "departure", "local_arrival", "local_departure")})
+    return _retained(apart(infer_assignments(s)), ["shifted"]).withColumn("shift_hours", F.lit(hours)).select("shift_hours", "user_id", "method", "label", "location_id", "retained")
+
+
+def home_consensus(assignments: DataFrame, splits: DataFrame, held: DataFrame, dropped: DataFrame, rate: float = 0.3) -> DataFrame:
+    """Votes for each HOME candidate, confirmations along three axes of reliability by its own methods, and a tier.
+
+    high: the only winner with two votes or more, and all three axes; medium: two of them; else uncertain.
+    """
+    by = ["user_id", "location_id"]
+    home = assignments.where("label = 'HOME'")
+    votes = home.groupBy(*by).agg(F.count("*").alias("votes"), F.max(F.col("method") == FIXED).alias("fixed_selected"), F.max("emitted").alias("fixed_emitted"))
+    w = Window.partitionBy("user_id")
+    votes = votes.withColumn("most", F.max("votes").over(w)).withColumn("winners", F.count_if(F.col("votes") == F.col("most")).over(w))
+    votes = votes.withColumn("unique_winner", (F.col("votes") == F.col("most")) & (F.col("winners") == 1)).drop("most", "winners")
+    own = home.select("user_id", "location_id", "method")
+    split = own.join(splits.where("label = 'HOME' and left_location = right_location").select("user_id", "method", "split", F.col("left_location").alias("location_id")), [*by, "method"])
+    split = split.groupBy(*by).agg(F.countDistinct("split").alias("split_axes"), F.countDistinct("method").alias("split_methods"))
+    top1 = own.join(held.where("label = 'HOME' and rank is not null").select(*by, "method", "rank"), [*by, "method"])
+    top1 = top1.groupBy(*by).agg(F.count("*").alias("seen_methods"), F.count_if(F.col("rank") == 1).alias("top1_methods"))
+    kept = dropped.where((F.col("label") == "HOME") & (F.abs(F.col("rate") - rate) < 1e-9)).groupBy(*by, "method").agg(F.avg(F.col("retained").cast("double")).alias("r"))
+    kept = own.join(kept, [*by, "method"]).groupBy(*by).agg(F.count_if(F.col("r") >= 2.0 / 3.0).alias("dropout_methods"), F.avg("r").alias("mean_retention"))
+    e = votes.join(split, by, "left").join(top1, by, "left").join(kept, by, "left").fillna(0, ["split_axes", "split_methods", "seen_methods", "top1_methods", "dropout_methods"])
+    axes = sum((F.col(c) > 0).cast("int") for c in ("split_axes", "top1_methods", "dropout_methods"))
+    strong = F.col("unique_winner") & (F.col("votes") >= 2)
+    tier = F.when(strong & (F.col("axes") == 3), "high").when(strong & (F.col("axes") == 2), "medium").otherwise("uncertain")
+    production = F.when(F.col("fixed_emitted"), "baseline_emitted").when(F.col("fixed_selected"), "fixed_candidate_not_emitted").otherwise("outside_fixed_candidate")
+    e = e.withColumn("axes", axes).withColumns({"tier": tier, "production": production})
+    return e.withColumn("expansion", F.col("tier").isin("high", "medium") & (F.col("production") != "baseline_emitted"))
+
+
+def secondary_windows(semantic: DataFrame, homes: DataFrame, width: int = 42, step: int = 14, min_days: int = 6, min_place_days: int = 3, min_stays: int = 2) -> DataFrame:
+    """Sliding windows from each user's first day, and the most visited place other than HOME (homes: user_id, home_id) in each; null where none is visited enough."""
+    s = semantic.join(homes, "user_id").withColumn("d", F.to_date("local_arrival"))
+    first = F.min("d").over(Window.partitionBy("user_id"))
+    s = s.withColumn("day", F.datediff("d", first))
+    # Every window that holds the day: its number k has k * step <= day < k * step + width.
+    lowest = F.greatest(F.lit(0), F.floor((F.col("day") - width) / step) + 1)
+    clock = F.hour("local_arrival") + F.minute("local_arrival") / 60 + F.second("local_arrival") / 3600
+    s = s.withColumn("clock", clock).withColumn("window", F.explode(F.sequence(lowest, F.floor(F.col("day") / step))))
+    by = ["user_id", "window"]
+    seen = s.groupBy(*by).agg(F.countDistinct("d").alias("days")).where(F.col("days") >= min_days)
+    place = s.where("location_id <> home_id").groupBy(*by, "location_id").agg(F.countDistinct("d").alias("place_days"), F.count("*").alias("stays"), F.sum("duration_s").alias("dwell_s"), circular_mean_hour(F.col("clock")).alias("hour"), circular_concentration(F.col("clock")).alias("concentration"))
+    place = place.where((F.col("place_days") >= min_place_days) & (F.col("stays") >= min_stays))
+    w = Window.partitionBy(*by).orderBy(F.desc("place_days"), F.desc("dwell_s"), F.desc("stays"), "location_id")
+    top = place.withColumns({"r": F.row_number().over(w), "next_days": F.lead("place_days").over(w)}).where("r = 1").drop("r")
+    out = seen.join(top, by, "left")
+    return out.select(*by, "days", "location_id", "place_days", (F.col("place_days") / F.col("days")).alias("visit_share"), ((F.col("place_days") - F.coalesce("next_days", F.lit(0))) / F.col("days")).alias("margin"), "hour", "concentration")
+
+
+def secondary_patterns(windows: DataFrame, stable_share: float = 0.7) -> DataFrame:
+    """Per user: how often each place leads, changes, the longest run, and a class of pattern."""
+    from .relational import longest_runs
+
+    total = windows.groupBy("user_id").agg(F.count("*").alias("windows"), F.count("location_id").alias("candidate_windows"))
+    led = windows.where("location_id is not null")
+    counts = led.groupBy("user_id", "location_id").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "location_id")))
+    nth = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c)))
+    best = ranked.groupBy("user_id").agg(F.count("*").alias("places"), nth(1, "location_id").alias("dominant"), nth(1, "n").alias("n1"), F.coalesce(nth(2, "n"), F.lit(0)).alias("n2"))
+    runs = longest_runs(led, ["user_id"], ["window"], "location_id").select("user_id", "switches", "longest_run")
+    j = total.join(best, "user_id", "left").join(runs, "user_id", "left").fillna(0, ["places", "n1", "n2", "switches", "longest_run"])
+    pattern = (
+        F.when((F.col("windows") < 3) | (F.col("candidate_windows") < 2), "insufficient").when(F.col("n1") / F.col("candidate_windows") >= stable_share, "stable_secondary_anchor")
+        .when(F.col("n2") >= 2, "multi_anchor").otherwise("unstable")
+    )
+    return j.select("user_id", "windows", "candidate_windows", "places", "dominant", F.try_divide("n1", "candidate_windows").alias("dominant_share"), F.try_divide("n2", "candidate_windows").alias("second_share"), "switches", "longest_run", pattern.alias("pattern"))

@@ -408,3 +408,5 @@ select user_id, count(*) as edges, round(sum(abs(p - q)) / 2, 6) as total_variat
   round(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 6) as jsd from pq where ta > 0 and tb > 0 group by user_id""")
 def edge_shift(spark, sf_dir):
     return windows.edge_shift(home_office.from_events(spark, sf_dir).semantic)
+
+from . import audits, habits  # noqa: E402,F401  (their queries register themselves)
