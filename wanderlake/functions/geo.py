@@ -26,6 +26,11 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size))
 
 
+def micro_cell(degrees: Column, size_micro: int) -> Column:
+    """The cell of a coordinate in whole millionths of a degree, so that values on a border go the same way in any engine."""
+    return F.floor(F.round(degrees * 1e6).cast("long") / F.lit(size_micro))
+
+
 def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     """Base-32 geohash: bits of the longitude and latitude in turn, five a letter."""
     letters = F.lit("0123456789bcdefghjkmnpqrstuvwxyz")

@@ -38,9 +38,9 @@ def average_rank(value: Column, by: list[str]) -> Column:
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
-    """Divergence in bits of two array columns of weights; null if either sums to 0."""
+    """Divergence in bits of two array columns of weights; null if either sums to 0. The totals are folded once, as 1-element arrays."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, q, lambda x, y: F.struct((x / total(p)).alias("x"), (y / total(q)).alias("y")))
-    both = F.transform(terms, lambda t: (part(t["x"], (t["x"] + t["y"]) / 2) + part(t["y"], (t["x"] + t["y"]) / 2)) / 2)
-    return F.when((total(p) > 0) & (total(q) > 0), total(both))
+    both = F.array(F.struct(p.alias("p"), q.alias("q"), total(p).alias("a"), total(q).alias("b")))
+    terms = lambda t: F.zip_with(t["p"], t["q"], lambda x, y: (part(x / t["a"], (x / t["a"] + y / t["b"]) / 2) + part(y / t["b"], (x / t["a"] + y / t["b"]) / 2)) / 2)
+    return F.transform(both, lambda t: F.when((t["a"] > 0) & (t["b"] > 0), total(terms(t))))[0]

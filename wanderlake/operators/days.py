@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import circular_concentration, circular_mean_hour, entropy_term, jensen_shannon
+from ..functions.stats import circular_concentration, circular_mean_hour, entropy_term
 
 
 def hourly_dwell(semantic: DataFrame) -> DataFrame:
@@ -61,6 +61,9 @@ def schedule_stability(hourly: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id")
     half = dates.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("local_date"))}).where("n >= 4").withColumn("late", F.col("k") * 2 > F.col("n"))
     tagged = hourly.join(half.select("user_id", "local_date", "late"), ["user_id", "local_date"])
-    profile = lambda late: F.array(*[F.sum(F.when((F.col("late") == late) & (F.col("hour") == h), F.col("dwell_s").cast("double")).otherwise(0.0)) for h in range(24)])
-    both = tagged.groupBy("user_id").agg(profile(False).alias("p"), profile(True).alias("q"))
-    return both.select("user_id", jensen_shannon(F.col("p"), F.col("q")).alias("jsd"))
+    seconds = lambda late: F.sum(F.when(F.col("late") == late, F.col("dwell_s")).otherwise(0.0))
+    p = tagged.groupBy("user_id", "hour").agg(seconds(False).alias("a"), seconds(True).alias("b"))
+    share = lambda c: F.try_divide(c, F.sum(c).over(w))
+    p = p.withColumns({"p": share("a"), "q": share("b")})
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(2 * F.col(x) / (F.col("p") + F.col("q")))).otherwise(F.lit(0.0)) / 2
+    return p.groupBy("user_id").agg(F.when(F.count("p") * F.count("q") > 0, F.sum(part("p") + part("q"))).alias("jsd"))

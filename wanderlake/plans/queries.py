@@ -261,12 +261,19 @@ def first_heldout_evaluation(spark, sf_dir):
     return recommend.evaluate_first_heldout(_visit_log(spark, sf_dir).drop("event_id"))
 
 
-@query("""select o_orderkey, arg_max(event_type, event_id) as asof_event_type from (
-  select o.o_orderkey, e.event_type, e.event_id, e.ts, max(e.ts) over (partition by o.o_orderkey) as mt from orders o join events e on e.user_id = o.o_custkey and e.ts <= o.o_orderdate) where ts = mt and event_id is not null group by all
-union all select o_orderkey, null from orders o where not exists (select 1 from events e where e.user_id = o.o_custkey and e.ts <= o.o_orderdate)""".replace("arg_max(event_type, event_id)", "max(event_type)"))
+#: Orders at times among the events', of the users that every size has; many have ties and some come before any event.
+_ORDERS = "with o as (select o_orderkey, o_custkey % 15 as user_id, timestamp '2024-01-01' + to_days((o_orderkey % 29)::int) + to_hours((o_orderkey % 24)::int) as at from orders)"
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("o_orderkey") % 29).cast("int"), hours=(F.col("o_orderkey") % 24).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 15).alias("user_id"), at.alias("at"))
+
+
+@query(_ORDERS + """, m as (select o_orderkey, max(ts) as mt, any_value(user_id) as user_id from (select o.o_orderkey, o.user_id, e.ts from o left join events e on e.user_id = o.user_id and e.ts <= o.at) group by o_orderkey)
+select o_orderkey, max(event_type) as asof_event_type from m left join events e on e.user_id = m.user_id and e.ts = m.mt group by o_orderkey""")
 def orders_asof_event(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate")
-    return joins.asof_backward(o, _events(spark, sf_dir).select("user_id", "ts", "event_type"), "user_id", "o_orderdate", "ts", "event_type").select("o_orderkey", "asof_event_type")
+    return joins.asof_backward(_orders(spark, sf_dir), _events(spark, sf_dir).select("user_id", "ts", "event_type"), "user_id", "at", "ts", "event_type").select("o_orderkey", "asof_event_type")
 
 
 _MODES = """with m as (select user_id, event_id, ts as a, ts + interval 1800 second as b, event_type as mode from events),
@@ -291,11 +298,11 @@ def segments_in_one_mode(spark, sf_dir):
     return joins.contained_in_one(s, joins.canonical_windows(_mode_windows(spark, sf_dir)), "event_id")
 
 
-@query("""with a as (select o_orderkey, o_custkey as user_id, o_orderdate as a, o_orderdate + interval 2 day as b from orders), e as (select event_id, user_id, ts as a, ts + interval 6 hour as b from events),
-j as (select o_orderkey, event_id, (epoch_us(least(a.b, e.b)) - epoch_us(greatest(a.a, e.a))) // 1000000 as overlap_s from a join e on a.user_id = e.user_id and a.a < e.b and e.a < a.b)
+@query(_ORDERS + """, e as (select event_id, user_id, ts as a, ts + interval 6 hour as b from events),
+j as (select o_orderkey, event_id, (epoch_us(least(o.at + interval 2 day, e.b)) - epoch_us(greatest(o.at, e.a))) // 1000000 as overlap_s from o join e on o.user_id = e.user_id and o.at < e.b and e.a < o.at + interval 2 day)
 select o_orderkey, event_id, overlap_s::bigint as overlap_s from j qualify row_number() over (partition by o_orderkey order by overlap_s desc, event_id) = 1""")
 def orders_best_overlap(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("start_time"), (F.col("o_orderdate") + F.expr("interval 2 days")).alias("end_time"))
+    o = _orders(spark, sf_dir).select("o_orderkey", "user_id", F.col("at").alias("start_time"), (F.col("at") + F.expr("interval 2 days")).alias("end_time"))
     e = _events(spark, sf_dir).select("event_id", "user_id", F.col("ts").alias("start_time"), (F.col("ts") + F.expr("interval 6 hours")).alias("end_time"))
     return joins.best_overlap(o, e, "o_orderkey", "event_id")
 
@@ -360,16 +367,27 @@ def lexical_categories(spark, sf_dir):
     return d.select("doc_id", *[F.contains("t", F.lit(f" {w} ")).alias(f"has_{w}") for w in ("the", "und", "que")], (F.length("t") - 2).cast("long").alias("chars"))
 
 
-@query()
+_LATLON = "(39.90 + 0.01 * (user_id % 50) + 0.005 * place + 0.00005 * (event_id % 3 - 1))", "(116.40 + 0.004 * place)"
+
+
+def _geohash_sql(precision: int) -> str:
+    n_lon, n_lat = (5 * precision + 1) // 2, 5 * precision // 2
+    bit = lambda b: f"((x >> {n_lon - 1 - b // 2}) & 1)" if b % 2 == 0 else f"((y >> {n_lat - 1 - b // 2}) & 1)"
+    letters = [f"substr('0123456789bcdefghjkmnpqrstuvwxyz', (1 + {' + '.join(f'{16 >> j} * {bit(5 * k + j)}' for j in range(5))})::int, 1)" for k in range(precision)]
+    xy = f"select user_id, floor(({_LATLON[1]}::double + 180) / 360 * {1 << n_lon})::bigint as x, floor(({_LATLON[0]}::double + 90) / 180 * {1 << n_lat})::bigint as y from v"
+    return f"select {' || '.join(letters)} as geohash6, count(*) as n, count(distinct user_id) as users from ({xy}) group by 1"
+
+
+@query(VISITS + _geohash_sql(6))
 def geohash_counts(spark, sf_dir):
     v = visits(_events(spark, sf_dir))
     return v.groupBy(geo.geohash(F.col("lat"), F.col("lon"), 6).alias("geohash6")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query(VISITS + """select floor((39.90 + 0.01 * (user_id % 50) + 0.005 * place + 0.00005 * (event_id % 3 - 1)) / 0.02)::bigint as cy, floor((116.40 + 0.004 * place) / 0.02)::bigint as cx, count(*) as visits, count(distinct user_id) as users from v group by all""")
+@query(VISITS + f"""select (round({_LATLON[0]} * 1000000)::bigint // 20000) as cy, (round({_LATLON[1]} * 1000000)::bigint // 20000) as cx, count(*) as visits, count(distinct user_id) as users from v group by all""")
 def spatial_tiles(spark, sf_dir):
     v = visits(_events(spark, sf_dir))
-    return v.groupBy(geo.cell(F.col("lat"), 0.02).alias("cy"), geo.cell(F.col("lon"), 0.02).alias("cx")).agg(F.count("*").alias("visits"), F.countDistinct("user_id").alias("users"))
+    return v.groupBy(geo.micro_cell(F.col("lat"), 20_000).alias("cy"), geo.micro_cell(F.col("lon"), 20_000).alias("cx")).agg(F.count("*").alias("visits"), F.countDistinct("user_id").alias("users"))
 
 
 @query(VISITS + "select place, quantile_cont(value, 0.25)::double as q25, median(value)::double as q50, quantile_cont(value, 0.75)::double as q75, count(*) as n from v join events using (user_id, event_id) group by all".replace("quantile_cont(value, 0.25)::double", "round(quantile_cont(value, 0.25), 6)").replace("median(value)::double", "round(median(value), 6)").replace("quantile_cont(value, 0.75)::double", "round(quantile_cont(value, 0.75), 6)"))
