@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating star contractions.
 
-Every step is a min by group and a join back to the links. The min is pre-aggregated before the shuffle. In the join, nodes with more
-than a ten-thousandth of all link ends (there are at most ten thousand of them) are broadcast, so that the links of a hot node
-stay where they are; nothing is collected.
+Every step is a min by group and a join back to the links. The min is pre-aggregated before the shuffle. In the join, nodes with
+very many links (HOT, and a ten-thousandth of all link ends, so there are at most ten thousand of them) are broadcast, so that the
+links of a hot node stay where they are; nothing is collected.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from .scratch import Scratch
 
 MOST_ROUNDS = 40
 #: A node is hot with more links than this, and than one in MOST_HOT of all link ends.
-HOT, MOST_HOT = 1000, 10_000
+HOT, MOST_HOT = 100_000, 10_000
 
 
 def _with(df: DataFrame, group: DataFrame, ends: int) -> DataFrame:
     """df with m of its node a in group (a, n, m). ends: the sum of n."""
+    if ends <= HOT:
+        return df.join(group.select("a", "m"), "a")
     hot = group.where(F.col("n") > max(HOT, ends // MOST_HOT)).select("a", F.col("m").alias("hot_m"))
     cold = group.where(F.col("n") <= max(HOT, ends // MOST_HOT)).select("a", "m")
     found = df.join(F.broadcast(hot), "a", "left")  # at most MOST_HOT rows

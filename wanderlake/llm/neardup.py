@@ -270,10 +270,14 @@ def _labelled(docs: DataFrame, scratch: Scratch) -> DataFrame:
     across = head.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     again = may_link(head.join(across, "shingle"))
     more = verified(again.join(first, ["a", "b"], "left_anti"), nodes, docs, scratch, "two")
-    whole = components(links.select("a", "b").unionByName(more.select("a", "b")), scratch, "round-two")
-    for name in ("shared", "first", "open", "open-texts", "heads"):
+    # Only labels of the first round that the second one links are joined again.
+    label_of = lambda c: open_ids.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    pairs = more.select("a", "b").join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    tied = components(pairs, scratch, "round-two").select(F.col("node").alias("label"), F.col("label").alias("final"))
+    numbers = nodes.select("id", "same").join(labels.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("label", "id").alias("label"))
+    labels = numbers.join(tied, "label", "left").select("same", F.coalesce("final", "label").alias("label"))
+    for name in ("shared", "first", "open-texts", "heads"):
         scratch.drop(name)
-    labels = nodes.select("id", "same").join(whole.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("label", "id").alias("label"))
     return sketch.select("id", "same").join(labels, "same").select("id", "same", "label")
 
 
