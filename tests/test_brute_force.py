@@ -110,3 +110,18 @@ def test_day_gates(spark):
 def test_edges_of_one_row(spark):
     df = spark.createDataFrame([(1, T0, 39.9, 116.4)], "user_id long, ts timestamp_ntz, lat double, lon double")
     assert clean.consecutive_edges(clean.clean_trajectory(df)).count() == 0
+
+
+def test_zones_by_cells(spark):
+    rows = spark.createDataFrame([(1, 39.9, 116.4), (2, 200.0, 0.0), (3, 10.0, 10.0), (4, None, 1.0)], "user_id long, lat double, lon double")
+    cells = spark.createDataFrame([(39, 116, "Asia/Shanghai")], "cy long, cx long, timezone_id string")
+    got = {r.user_id: (r.timezone_id, r.zone_reason) for r in locate.resolve_zones(rows, cells, 1.0).collect()}
+    assert got == {1: ("Asia/Shanghai", None), 2: (None, "invalid_coordinate"), 3: (None, "outside_of_zones"), 4: (None, "invalid_coordinate")}
+
+
+def test_trajectories_are_cleaned_apart(spark):
+    rows = [(1, t, T0 + dt.timedelta(seconds=60 * k), 39.9 + t, 116.4) for t in (0, 1) for k in range(3)]
+    df = spark.createDataFrame(rows, "user_id long, trajectory_id long, ts timestamp_ntz, lat double, lon double")
+    got = clean.clean_trajectory(df, key=["user_id", "trajectory_id"]).collect()
+    assert len(got) == 6 and {r.sequence_id for r in got} == {0}
+    assert clean.clean_trajectory(df).count() == 0  # one file: all seconds have two places

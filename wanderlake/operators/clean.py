@@ -26,27 +26,31 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
-def timestamp_summary(points: DataFrame, key: str = "user_id") -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def timestamp_summary(points: DataFrame, key: str | list[str] = "user_id") -> DataFrame:
     """For each timestamp: rows, valid rows, their median place and the largest distance to it.
 
     Two aggregations on one partitioning; the second shuffle is not needed as both group by the same columns.
     """
     ok = valid_point(F.col("lat"), F.col("lon"))
-    p = points.select(key, "ts", F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"))
-    by = [key, "ts"]
+    p = points.select(*_keys(key), "ts", F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"))
+    by = [*_keys(key), "ts"]
     centre = p.groupBy(*by).agg(F.count("*").alias("all_count"), F.count("lat").alias("valid_count"), F.median("lat").alias("c_lat"), F.median("lon").alias("c_lon"))
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     return p.join(centre, by).groupBy(*by, "all_count", "valid_count", "c_lat", "c_lon").agg(F.max(distance).alias("max_radius_m")).withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
 
 
-def _marked(points: DataFrame, cfg: CleaningConfig, key: str) -> DataFrame:
+def _marked(points: DataFrame, cfg: CleaningConfig, key: str | list[str]) -> DataFrame:
     s = timestamp_summary(points, key)
     ambiguous = (F.col("valid_count") > 0) & (F.col("max_radius_m") > cfg.same_second_radius_m)
     invalid = F.col("all_count") > F.col("valid_count")
     s = s.withColumns({"ambiguous": ambiguous, "invalid": invalid, "retained": (F.col("valid_count") > 0) & ~ambiguous})
     reason = F.when(F.col("ambiguous"), "same_second_spatial_ambiguity").when(F.col("invalid"), "invalid_coordinate")
     s = s.withColumn("own_reason", reason)
-    w = Window.partitionBy(key).orderBy("ts")
+    w = Window.partitionBy(*_keys(key)).orderBy("ts")
     # A boundary since the last retained row: the latest reason, if its time is later than that row's.
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     latest = F.last(F.when(F.col("own_reason").isNotNull(), F.struct("ts", "own_reason")), ignorenulls=True).over(upto)
@@ -59,31 +63,32 @@ def _marked(points: DataFrame, cfg: CleaningConfig, key: str) -> DataFrame:
     return s.withColumns({"explicit": explicit, "implied": F.when(F.col("retained") & explicit.isNull(), implied)})
 
 
-def clean_trajectory(points: DataFrame, cfg: CleaningConfig = CleaningConfig(), key: str = "user_id") -> DataFrame:
+def clean_trajectory(points: DataFrame, cfg: CleaningConfig = CleaningConfig(), key: str | list[str] = "user_id") -> DataFrame:
     """key, ts, lat, lon, raw_point_count, max_radius_m, sequence_id, boundary_before_reason.
 
+    key: a column, or several (user and trajectory), each combination cleaned by itself.
     The first retained row keeps its reason but begins no new sequence.
     """
-    require(points, key, "ts", "lat", "lon")
+    require(points, *_keys(key), "ts", "lat", "lon")
     kept = _marked(points, cfg, key).where("retained").withColumn("boundary_before_reason", F.coalesce("explicit", "implied"))
-    w = Window.partitionBy(key).orderBy("ts")
+    w = Window.partitionBy(*_keys(key)).orderBy("ts")
     step = (F.col("boundary_before_reason").isNotNull() & F.col("previous").isNotNull()).cast("long")
     sequence = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return kept.select(key, "ts", "lat", "lon", F.col("valid_count").alias("raw_point_count"), "max_radius_m", sequence.alias("sequence_id"), "boundary_before_reason")
+    return kept.select(*_keys(key), "ts", "lat", "lon", F.col("valid_count").alias("raw_point_count"), "max_radius_m", sequence.alias("sequence_id"), "boundary_before_reason")
 
 
-def audit_events(points: DataFrame, cfg: CleaningConfig = CleaningConfig(), key: str = "user_id") -> DataFrame:
+def audit_events(points: DataFrame, cfg: CleaningConfig = CleaningConfig(), key: str | list[str] = "user_id") -> DataFrame:
     """key, ts, reason of every boundary event, also where no row was retained."""
-    require(points, key, "ts", "lat", "lon")
+    require(points, *_keys(key), "ts", "lat", "lon")
     reasons = F.array(
         F.when(F.col("invalid"), "invalid_coordinate"), F.when(F.col("ambiguous"), "same_second_spatial_ambiguity"), F.col("implied")
     )
-    return _marked(points, cfg, key).select(key, "ts", F.explode(F.array_compact(reasons)).alias("reason"))
+    return _marked(points, cfg, key).select(*_keys(key), "ts", F.explode(F.array_compact(reasons)).alias("reason"))
 
 
-def consecutive_edges(cleaned: DataFrame, key: str = "user_id") -> DataFrame:
+def consecutive_edges(cleaned: DataFrame, key: str | list[str] = "user_id") -> DataFrame:
     """Every cleaned row with the one before it: seconds, metres, km/h, whether both are of one sequence."""
-    w = Window.partitionBy(key).orderBy("ts")
+    w = Window.partitionBy(*_keys(key)).orderBy("ts")
     c = cleaned.withColumn("b", F.lag(F.struct("ts", "lat", "lon", "sequence_id")).over(w)).where("b is not null")
     seconds = F.timestamp_diff("MICROSECOND", F.col("b.ts"), F.col("ts")) / 1e6
     c = c.withColumns({"gap_s": seconds, "distance_m": haversine_m(F.col("b.lat"), F.col("b.lon"), F.col("lat"), F.col("lon")), "within": F.col("b.sequence_id") == F.col("sequence_id")})

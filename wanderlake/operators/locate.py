@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import cell, valid_point
 from .stays import ROWS, distances_m
 
 #: Boxes (south, north, west, east) of time zones, in order of precedence. Coordinates in no box have no zone.
@@ -27,7 +28,25 @@ def with_local_time(stays: DataFrame) -> DataFrame:
     zone = F.lit(None).cast("string")
     for name, south, north, west, east in reversed(ZONES):
         zone = F.when(F.col("lat").between(south, north) & F.col("lon").between(west, east), name).otherwise(zone)
-    s = stays.withColumn("timezone_id", zone).where("timezone_id is not null")
+    return localized(stays.withColumn("timezone_id", zone))
+
+
+def resolve_zones(rows: DataFrame, cells: DataFrame, size_deg: float) -> DataFrame:
+    """rows (lat, lon) with timezone_id from a table of grid cells (cy, cx, timezone_id; each cell once), and why there is none.
+
+    The table may be as fine as a zone map is; it meets the rows in an equi-join on cells. Unresolved rows are kept.
+    """
+    ok = valid_point(F.col("lat"), F.col("lon"))
+    keyed = rows.withColumns({"_cy": F.when(ok, cell(F.col("lat"), size_deg)), "_cx": F.when(ok, cell(F.col("lon"), size_deg))})
+    zone = cells.select(F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), "timezone_id")
+    out = keyed.join(zone, ["_cy", "_cx"], "left")
+    reason = F.when(F.col("_cy").isNull(), "invalid_coordinate").when(F.col("timezone_id").isNull(), "outside_of_zones")
+    return out.withColumn("zone_reason", reason).drop("_cy", "_cx")
+
+
+def localized(rows: DataFrame) -> DataFrame:
+    """Rows that have a zone, with their arrival and departure on the local clock."""
+    s = rows.where("timezone_id is not null")
     return s.withColumns({f"local_{c}": F.convert_timezone(F.lit("UTC"), F.col("timezone_id"), F.col(c)) for c in ("arrival", "departure")})
 
 

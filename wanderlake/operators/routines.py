@@ -114,3 +114,24 @@ def adjacent_windows(windows: DataFrame, moves: DataFrame, by_window: str) -> Da
     ok = (F.sum("p") > 0) & (F.sum("q") > 0)
     out = both.groupBy("user_id", by_window).agg(F.when(ok, F.sum(half("p") + half("q"))).alias("jsd"), F.when(ok, F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("total_variation"))
     return pairs.join(out, ["user_id", by_window], "left")
+
+
+def partition_null(moves: DataFrame, sequences: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per user: the divergence of edges between early and late days, and how often as many days drawn at random are parted as far or farther.
+
+    A replicate orders a user's days by a hash; all replicates and the real split are one plan.
+    """
+    from .reliability import uniform
+
+    days = sequences.select(*DAY).withColumn("r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    place = F.when(F.col("r") < 0, F.lit(0.0)).otherwise(uniform(F.lit(seed), F.col("user_id"), F.col("r"), F.col("local_date")))
+    w = Window.partitionBy("user_id", "r")
+    d = days.withColumns({"k": F.row_number().over(w.orderBy(place, "local_date")), "n": F.count("*").over(w)}).where(F.col("n") >= 2 * MIN_HALF_DAYS)
+    e = moves.join(d.select(*DAY, "r", (F.col("k") > F.floor(F.col("n") / 2)).alias("late")), DAY).groupBy("user_id", "r", "origin", "destination").agg(F.count_if(~F.col("late")).alias("a"), F.count_if("late").alias("b"))
+    e = e.withColumns({"p": F.try_divide("a", F.sum("a").over(w)), "q": F.try_divide("b", F.sum("b").over(w))})
+    half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(2 * F.col(x) / (F.col("p") + F.col("q")))).otherwise(F.lit(0.0)) / 2
+    j = e.where("p is not null and q is not null").groupBy("user_id", "r").agg(F.round(F.sum(half("p") + half("q")), 9).alias("jsd"))
+    j = j.withColumn("real", F.max(F.when(F.col("r") < 0, F.col("jsd"))).over(Window.partitionBy("user_id")))
+    null = F.col("r") >= 0
+    g = j.where("real is not null").groupBy("user_id").agg(F.first("real").alias("jsd"), F.count_if(null).alias("replicates"), F.median(F.when(null, F.col("jsd"))).alias("median_null"), F.count_if(null & (F.col("jsd") >= F.col("real"))).alias("as_far"))
+    return g.withColumn("p_value", (F.col("as_far") + 1) / (F.col("replicates") + 1))

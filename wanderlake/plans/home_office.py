@@ -12,9 +12,14 @@ from ..sources.trajectories import points, table
 
 @dataclass(frozen=True)
 class Located:
+    """Stays with places (kept in storage until released) and a row a place."""
+
     semantic: DataFrame
     locations: DataFrame
 
+    def release(self) -> None:
+        self.semantic.unpersist()
+
 
 def detect(points_df: DataFrame) -> DataFrame:
     return stays.detect_staypoints(clean.clean_trajectory(points_df))
