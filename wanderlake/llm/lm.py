@@ -21,7 +21,7 @@ every token has that share; an empty table gives no rows.
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import eliasfano as ef
 from . import text as tx
-from .scratch import shared_root
+from .scratch import Scratch
 
 U64 = np.uint64
 ADD, DISCOUNT, SHARD_BYTES, MOST_SHARDS = 0.1, 0.75, 16 << 20, 1 << 16
@@ -66,14 +66,18 @@ class Store:
     def read(self, name: str) -> dict[str, np.ndarray]:
         key = f"{self.uri}/{name}"
         if key not in self._mapped:
+            # A worker may serve several tries in turn; only the shards of the one in use stay mapped.
+            for old in [k for k in self._mapped if not k.startswith(f"{self.uri}/")]:
+                del self._mapped[old]
             f, root = self._fs()
             path = f"{root}/{name}"
             if f.type_name != "local":
-                path = os.path.join(tempfile.gettempdir(), key.replace("/", "_").replace(":", "_"))
-                if not os.path.exists(path):
-                    with f.open_input_stream(f"{root}/{name}") as src, open(f"{path}.{os.getpid()}", "wb") as dst:
-                        dst.write(src.read())
-                    os.replace(f"{path}.{os.getpid()}", path)
+                # A copy without a name: it is gone when the worker ends, or when its mapping is dropped.
+                with f.open_input_stream(f"{root}/{name}") as src, tempfile.TemporaryFile() as copy:
+                    shutil.copyfileobj(src, copy)
+                    copy.flush()
+                    self._mapped[key] = ef.unpack(np.memmap(copy, np.uint8, "r"))
+                return self._mapped[key]
             self._mapped[key] = ef.unpack(np.memmap(path, np.uint8, "r"))
         return self._mapped[key]
 
@@ -312,7 +316,8 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_SHARDS, max(8, size // SHARD_BYTES)).bit_length() - 1
-    store = Store(f"{shared_root(spark)}/wanderlake/trie-{uuid.uuid4().hex}")
+    # Removed with the session's other intermediate tables: scores are read from the files until then.
+    store = Store(f"{Scratch(spark).root}/trie")
     load = LOAD
     made = "shard int, n long, total long, item array<long>, share array<double>, word array<long>"
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-missing (tests on one machine) a temporary folder of this machine is taken.
+missing and Spark runs within one process, a temporary folder of this machine is taken; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else "file://" + tempfile.gettempdir() + "/wanderlake-scratch"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.gettempdir() + "/wanderlake-scratch"
 
 
 class Scratch:

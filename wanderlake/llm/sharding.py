@@ -53,10 +53,10 @@ def lookup(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE) -> Da
     return spark.range(1).select(F.posexplode(owners).alias("slot", "o")).select("slot", F.get(names, F.col("o").cast("int")).alias("shard"))
 
 
-def assign(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """df with slot int and shard string."""
-    if clash := {"slot", "shard"} & set(df.columns):
+def assign(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, slot_column: str = "slot", shard_column: str = "shard") -> DataFrame:
+    """df with the slot (int) and shard (string) of its key, in columns of the given names; these must be new ones."""
+    if clash := {slot_column, shard_column} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     slot = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(size)).cast("int")
-    table = lookup(df.sparkSession, shards, size)
-    return df.withColumn("slot", slot).join(F.broadcast(table), "slot", "left").select(*df.columns, "slot", "shard")
+    table = lookup(df.sparkSession, shards, size).withColumnsRenamed({"slot": slot_column, "shard": shard_column})
+    return df.withColumn(slot_column, slot).join(F.broadcast(table), slot_column, "left").select(*df.columns, slot_column, shard_column)
