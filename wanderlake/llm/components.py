@@ -17,7 +17,7 @@ MOST_ROUNDS = 40
 HOT, MOST_HOT = 100_000, 10_000
 
 
-def _with(df: DataFrame, group: DataFrame, ends: int) -> DataFrame:
+def with_group(df: DataFrame, group: DataFrame, ends: int) -> DataFrame:
     """df with m of its node a in group (a, n, m). ends: the sum of n."""
     if ends <= HOT:
         return df.join(group.select("a", "m"), "a")
@@ -39,10 +39,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     for k in range(1, MOST_ROUNDS + 1):
         both = _both_ways(edges)
         least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _with(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_group(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
-        small = _with(large, low, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = with_group(large, low, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = scratch.save(small.distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         edges = after

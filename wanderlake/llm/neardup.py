@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import components
+from .components import components, with_group
 from .scratch import Scratch
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 32, 6, 0.8
@@ -285,8 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its group of near-duplicates) for every row."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(_labelled(docs, scratch), "labelled")
-    least = rows.groupBy("label").agg(F.min("id").alias("class_id"))
-    return rows.join(least, "label").select(F.col("id").alias("doc_id"), "class_id")
+    least = rows.groupBy(F.col("label").alias("a")).agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    found = with_group(rows.withColumnRenamed("label", "a"), least, rows.count())
+    return found.select(F.col("id").alias("doc_id"), F.col("m").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -295,8 +296,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = scratch.save(_labelled(docs, scratch).groupBy("label", "id", "same").agg(F.count("*").alias("n")), "labelled")
     order = lambda: F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("least"), F.col("same").alias("digest"))
     best = rows.groupBy("label").agg(F.min(order()).alias("best"))
-    judged = scratch.save(rows.join(best, "label").select("id", "same", (order() == F.col("best")).alias("stays"), "n"), "judged")
-    gone, repeated = (judged.where(c).select("id", F.col("same").alias("digest")) for c in ("not stays", "stays and n > 1"))
+    first = best.select(F.when(~F.col("best.last"), F.col("best.least")).alias("id"), F.col("best.digest").alias("digest"))
+    # By id and text, not by label: a class with very many rows is then no hot key.
+    is_first = lambda: rows.id.eqNullSafe(first.id) & (rows.same == first.digest)
+    gone = scratch.save(rows.join(first, is_first(), "left_anti").select("id", F.col("same").alias("digest")), "gone")
+    repeated = scratch.save(rows.where("n > 1").join(first, is_first(), "left_semi").select("id", F.col("same").alias("digest")), "repeated")
     n_repeated = repeated.count()
     digest = F.unhex(F.md5(F.coalesce(docs.text, F.lit(""))))
     is_in = lambda df: docs.doc_id.cast("long").eqNullSafe(df.id) & (digest == df.digest)
