@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 
-from wanderlake.operators import clean, joins, locate, relational, stays, userdays
+from wanderlake.operators import clean, joins, locate, relational, routines, stays, userdays
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -125,3 +125,14 @@ def test_trajectories_are_cleaned_apart(spark):
     got = clean.clean_trajectory(df, key=["user_id", "trajectory_id"]).collect()
     assert len(got) == 6 and {r.sequence_id for r in got} == {0}
     assert clean.clean_trajectory(df).count() == 0  # one file: all seconds have two places
+
+
+def test_departure_modes(spark):
+    r = np.random.default_rng(2)
+    one, two = (r.normal(23.9, 0.4, 40) % 24).tolist(), (np.concatenate([r.normal(8, 0.3, 25), r.normal(17.5, 0.3, 25)]) % 24).tolist()
+    rows = [(1, 0, 1, h) for h in one] + [(1, 1, 0, h) for h in two] + [(1, 2, 0, 5.0)] * 3 + [(1, 3, 0, 5.0)] * 9
+    df = spark.createDataFrame(rows, "user_id long, origin long, destination long, departure_hour double")
+    got = {x.origin: x for x in routines.departure_modes(df).collect()}
+    assert set(got) == {0, 1, 3} and got[0].modes == 1 and got[1].modes == 2 and got[3].modes == 1
+    assert abs((got[0].hours[0] - 23.9 + 12) % 24 - 12) < 0.3 and np.allclose(got[1].hours, [8, 17.5], atol=0.3)
+    assert got[1].bic_gain > 10 and {x.origin: x.modes for x in routines.departure_modes(df, least_hours=12.0).collect()}[1] == 1

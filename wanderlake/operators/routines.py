@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,61 @@ def partition_null(moves: DataFrame, sequences: DataFrame, replicates: int, seed
     null = F.col("r") >= 0
     g = j.where("real is not null").groupBy("user_id").agg(F.first("real").alias("jsd"), F.count_if(null).alias("replicates"), F.median(F.when(null, F.col("jsd"))).alias("median_null"), F.count_if(null & (F.col("jsd") >= F.col("real"))).alias("as_far"))
     return g.withColumn("p_value", (F.col("as_far") + 1) / (F.col("replicates") + 1))
+
+
+def mixture_1d(x: np.ndarray, k: int, least_sd: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, means and deviations of k normal components by EM from quantiles, and the log likelihood."""
+    mean = np.quantile(x, (np.arange(k) + 0.5) / k)
+    sd, weight, before = np.full(k, max(float(x.std()) / k, least_sd)), np.full(k, 1 / k), -np.inf
+    for _ in range(300):
+        log = np.log(weight) - np.log(sd) - 0.5 * np.log(2 * np.pi) - 0.5 * ((x[:, None] - mean) / sd) ** 2
+        top = log.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
+        part = np.exp(log - total[:, None])
+        mass = np.maximum(part.sum(axis=0), 1e-12)
+        weight, mean = mass / mass.sum(), (part * x[:, None]).sum(axis=0) / mass
+        sd = np.maximum(np.sqrt((part * (x[:, None] - mean) ** 2).sum(axis=0) / mass), least_sd)
+        if total.sum() - before < 1e-8:
+            break
+        before = float(total.sum())
+    return weight, mean, sd, before
+
+
+def departure_modes(moves: DataFrame, least_moves: int = 8, most: int = 3, least_gain: float = 0.0, least_weight: float = 0.0, least_hours: float = 0.0) -> DataFrame:
+    """Per edge with enough moves: how many modes its departure hours have by BIC, the gain over one mode, the modes' hours.
+
+    The day is cut opposite to the mean hour, so that modes around midnight stay whole. With the last three arguments several modes count
+    only if the gain, every weight and every distance between neighbours reach them. An edge's moves meet in one group; a few hundred a person and edge.
+    """
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        h = g["departure_hour"].to_numpy(float)
+        angle = h * np.pi / 12
+        centre = np.arctan2(np.sin(angle).mean(), np.cos(angle).mean()) * 12 / np.pi
+        x = np.sort((h - centre + 12) % 24 - 12)
+        fits = [mixture_1d(x, k) for k in range(1, min(most, len(x)) + 1)]
+        bic = [(3 * k + 2) * np.log(len(x)) - 2 * f[3] for k, f in enumerate(fits)]
+        best = int(np.argmin(bic))
+        weight, mean = fits[best][0], np.sort(fits[best][1])
+        gain = float(bic[0] - bic[best])
+        if best and (gain < least_gain or weight.min() < least_weight or np.diff(mean).min() < least_hours):
+            best, mean = 0, fits[0][1]
+        hours = [float(m) for m in np.sort((mean + centre) % 24)]
+        first = g.iloc[0]
+        return pd.DataFrame({"user_id": [first["user_id"]], "origin": [first["origin"]], "destination": [first["destination"]], "moves": [len(x)], "modes": [best + 1], "bic_gain": [gain], "hours": [hours]})
+
+    n = F.count("*").over(Window.partitionBy("user_id", "origin", "destination"))
+    able = moves.select("user_id", "origin", "destination", "departure_hour").withColumn("n", n).where(F.col("n") >= least_moves).drop("n")
+    return able.groupBy("user_id", "origin", "destination").applyInPandas(fit, "user_id long, origin long, destination long, moves long, modes long, bic_gain double, hours array<double>")
+
+
+def strict_mode_grid(moves: DataFrame, gains: tuple[float, ...] = (6.0, 10.0), weights: tuple[float, ...] = (0.15, 0.2), hours: tuple[float, ...] = (1.5, 2.0), least_moves: int = 8) -> DataFrame:
+    """Edges with several modes under each combination of strict limits."""
+    out = None
+    for gain in gains:
+        for weight in weights:
+            for apart in hours:
+                m = departure_modes(moves, least_moves, 3, gain, weight, apart)
+                rows = m.agg(F.count("*").alias("edges"), F.count_if(F.col("modes") > 1).alias("multimodal")).select(F.lit(gain).alias("least_gain"), F.lit(weight).alias("least_weight"), F.lit(apart).alias("least_hours"), "edges", "multimodal")
+                out = rows if out is None else out.unionByName(rows)
+    return out

@@ -291,3 +291,9 @@ def line_status_pivot(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     counts = li.groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.count(F.lit(1))).fillna(0).withColumnsRenamed({"O": "open_lines", "F": "filled_lines"})
     return counts.join(li.groupBy("l_returnflag").agg(F.stddev_pop("l_quantity").alias("sd_quantity"), F.stddev_pop("l_discount").alias("sd_discount")), "l_returnflag")
+
+
+@query()
+def departure_modes(spark, sf_dir):
+    m = routines.departure_modes(_routine(spark, sf_dir)[1], 6)
+    return m.withColumn("hours", F.array_join(F.transform("hours", lambda h: F.format_number(h, 2)), " "))
