@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, lm, neardup, packing, quality, sharding, toxicity, urlfilter
+from . import chat, decontam, fingerprint, lm, neardup, packing, quality, repair, sharding, toxicity, urlfilter
 from .tables import small_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -102,8 +102,40 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of conversations with faults made by the checksum of a row's ids."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), code.alias("code")).where("code <> 0")
+    text = F.when(F.col("code") == 1, F.lit("")).when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.when(F.col("code") == 3, F.lit(2)).otherwise(F.lit(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), times)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    parses, fixed = repair.repair(damaged(turns))
+    hashes = repair.digests(fixed)
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    same = lambda df: ids.id.eqNullSafe(df.conv_id)
+    found = ids.join(parses, same(parses), "left").drop("conv_id").join(hashes, same(hashes), "left").drop("conv_id")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return found.select(
+        F.col("id").alias("conv_id"), *[number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+ALL = (
+    op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op8_lm_scoring,
+    op9_document_fingerprints, op10_best_fit_packing, op11_conversation_repair,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op8_lm_scoring, op9_document_fingerprints, op10_best_fit_packing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
