@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
-from wanderlake.llm import queries, repair
+from wanderlake.llm import queries, repair, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,3 +140,90 @@ def test_repair_of_odd_rows(spark, sf_with):
 def test_repair_of_an_empty_table(spark, sf_with):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert repaired_rows(spark, sf_with(conversations=df)) == {}
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    runs = [words[i : i + 3] for i in range(len(words) - 2)] if len(words) > 2 else [words] if words else []
+    hashes = [xxhash.xxh64_intdigest(" ".join(r).encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(rows):
+    """rows: (doc_id, fingerprint); the least doc_id that each can reach."""
+    fps = sorted({f for _, f in rows})
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 3:
+            parent[root(a)] = root(b)
+    least = {}
+    for i, f in rows:
+        if i is not None:
+            least[root(f)] = min(i, least.get(root(f), i))
+    return sorted(((i, f"{f:016x}", least.get(root(f))) for i, f in rows), key=str)
+
+
+def simhash_rows(spark, sf):
+    return sorted((tuple(r) for r in queries.op13_simhash_near_dedup(spark, sf).select("doc_id", "fingerprint", "component_id").collect()), key=str)
+
+
+def test_simhash_of_a_whole_table(spark):
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert simhash_rows(spark, SF) == plain_components(rows)
+
+
+def test_simhash_of_odd_rows(spark, sf_with, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 3)
+    r = random.Random(8)
+    base = " ".join(f"w{r.randrange(400)}" for _ in range(300))
+    near = [base.replace(f"w{k}", f"v{k}", 1) for k in range(60)]
+    texts = [None, "", " \t\n", "one", "ONE", "one\ttwo", "one  two", "\xc9t\xe9 one", "a\nb\x0bc d", *near, base, base, "x " * 30000, "end\x1fof"]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, base, "x", 1), (None, "alone in the world", "x", 1), (3, "one", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, cell int")
+    got = simhash_rows(spark, sf_with(documents=df))
+    assert got == plain_components([(i, plain_fingerprint(t)) for i, t, _, _ in rows])
+    assert len({g[1] for g in got}) > 20
+
+
+def test_simhash_of_an_empty_table(spark, sf_with):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash_rows(spark, sf_with(documents=df)) == []
+
+
+def test_tiles_keep_every_link(spark, monkeypatch):
+    """Random balls of fingerprints, over many small tiles."""
+    monkeypatch.setattr(simhash, "TILE", 4)
+    r = random.Random(2)
+    fps = set()
+    for _ in range(30):
+        centre = r.getrandbits(64)
+        for _ in range(20):
+            for _ in range(r.randrange(3)):
+                centre ^= 1 << r.randrange(64)
+            fps.add(centre)
+    fps |= {0, (1 << 64) - 1, 1, 7, 15}
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    pairs = simhash.near_tiles(simhash.tiles(spark.createDataFrame([(f,) for f in signed], "fp long")))
+    found = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(pairs).collect()]
+    assert all((a ^ b).bit_count() for a, b in found)
+
+    def groups(edges):
+        label = {f: f for f in fps}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                m = min(label[a], label[b])
+                if label[a] != m or label[b] != m:
+                    label[a] = label[b] = m
+                    changed = True
+        return label
+
+    want = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3]
+    assert groups(found) == groups(want)

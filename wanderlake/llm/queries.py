@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, lm, neardup, packing, quality, repair, sharding, toxicity, urlfilter
+from . import chat, decontam, fingerprint, lm, neardup, packing, quality, repair, sharding, simhash, toxicity, urlfilter
 from .tables import small_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -128,9 +128,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op8_lm_scoring,
-    op9_document_fingerprints, op10_best_fit_packing, op11_conversation_repair,
+    op9_document_fingerprints, op10_best_fit_packing, op11_conversation_repair, op13_simhash_near_dedup,
 )
 
 
