@@ -1,5 +1,6 @@
 """Conversation repair, phrases and SimHash against plain versions."""
 
+import collections
 import hashlib
 import heapq
 import itertools
@@ -8,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from wanderlake.llm import queries, repair, simhash
+from wanderlake.llm import phrases, queries, repair, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,3 +229,91 @@ def test_tiles_keep_every_link(spark, monkeypatch):
 
     want = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3]
     assert groups(found) == groups(want)
+
+
+def plain_pieces(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [w for p in re.split("[.,;:!?\n-\r]", text) if (w := re.findall("[^ \t]+", p))]
+
+
+def plain_counts(rows, depth=3):
+    f = collections.Counter()
+    for lang, text in rows:
+        for w in plain_pieces(text):
+            for k in range(1, depth + 1):
+                f.update((lang or "und", tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    return f
+
+
+def plain_collocations(rows, least=10, most=2000):
+    f = plain_counts(rows)
+    kept = collections.defaultdict(list)
+    for (lang, p), a in f.items():
+        if len(p) < 2 or a < least:
+            continue
+        score, k = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        longer = [b for (o, q), b in f.items() if o == lang and len(q) == 3 > len(p) and b >= least and p in (q[:2], q[1:])]
+        if not any(100 * b >= 50 * a for b in longer):
+            kept[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    out = []
+    for lang, found in kept.items():
+        n = sum(c for (o, p), c in f.items() if o == lang and len(p) == 1)
+        out += [(lang, i, p.decode(), -a, x, y, n, -s) for i, (s, a, p, x, y) in enumerate(sorted(found)[:most], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_intervals_of_an_index(depth):
+    r = random.Random(depth)
+    texts = [" ".join(r.choice("abcdE. ,") + r.choice(["", " ", "\t"]) for _ in range(r.randrange(60))) for _ in range(30)] + ["", None, "a", "b"]
+    shard = phrases.Shard(pa.array(texts))
+    want = plain_counts([("x", t) for t in texts], depth)
+    pieces = [w for t in texts for w in plain_pieces(t)]
+    before, after = collections.Counter(), collections.Counter()
+    for w in pieces:
+        for k in range(1, depth + 1):
+            for i in range(len(w) - k + 1):
+                before["x", tuple(w[i : i + k])] += i > 0
+                after["x", tuple(w[i : i + k])] += i + k < len(w)
+    got = {}
+    for k, (place, *numbers) in enumerate(phrases.enumerate_phrases(shard, depth), 1):
+        for p, *n in zip(place.tolist(), *(x.tolist() for x in numbers), strict=True):
+            i = shard.word[p]
+            phrase = shard.bytes[shard.start[i] : shard.start[i + k - 1] + shard.size[i + k - 1]].tobytes().decode()
+            assert ("x", tuple(phrase.split(" "))) not in got
+            got["x", tuple(phrase.split(" "))] = n
+    assert got == {p: [n, before[p], after[p]] for p, n in want.items()}
+
+
+def collocation_rows(spark, sf):
+    return sorted(tuple(r) for r in queries.op12_phrase_collocations(spark, sf).collect())
+
+
+def test_collocations_of_a_whole_table(spark):
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert collocation_rows(spark, SF) == plain_collocations(rows) != []
+
+
+def test_collocations_of_odd_rows(spark, sf_with, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(phrases, "PART_BYTES", 3000)
+    r = random.Random(6)
+    words = ["a", "B", "the", "\xe9t\xe9", "\u6f22", "x\u00a0y", "of", "q\x0b", "z.", "w,", "new york", "New York city", "a a a"]
+    rows = [(r.choice([None, "und", "en", "de"]), " ".join(r.choice(words) for _ in range(r.randrange(1, 200))), "x", 1) for _ in range(60)]
+    rows += [("en", None, "x", 1), ("fr", "", "x", 1), ("fr", "a b", "x", 1), ("en", "Very long text\there. " * 5000, "x", 1)] + rows[:4]
+    df = spark.createDataFrame(rows, "lang string, text string, phrase string, n int")
+    got = collocation_rows(spark, sf_with(documents=df))
+    assert got == plain_collocations([x[:2] for x in rows]) and {g[0] for g in got} == {"en", "de", "und"}
+
+
+def test_collocations_of_an_empty_table(spark, sf_with):
+    assert collocation_rows(spark, sf_with(documents=spark.createDataFrame([], "lang string, text string"))) == []
+
+
+def test_collocations_match_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = c.sql(queries.OP12_SQL).fetchall()
+    assert sorted(want) == collocation_rows(spark, SF)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, lm, neardup, packing, quality, repair, sharding, simhash, toxicity, urlfilter
+from . import chat, decontam, fingerprint, lm, neardup, packing, phrases, quality, repair, sharding, simhash, toxicity, urlfilter
 from .tables import small_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -128,6 +128,43 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = f"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[.,;:!?\\n-\\r]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^ \\t]+') as w from piece),
+spot as (select lang, w, unnest(range(1, len(w) + 1)) as i from words where len(w) > 0),
+grams as (
+  select lang, 1 as k, w[i] as phrase from spot
+  union all select lang, 2, w[i] || ' ' || w[i + 1] from spot where i + 1 <= len(w)
+  union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from spot where i + 2 <= len(w)),
+f as (select lang, k, phrase, count(*) as a from grams group by lang, k, phrase having count(*) >= {phrases.LEAST}),
+total as (select lang, count(*) as n from grams where k = 1 group by lang),
+candidate as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+cut as (
+  select lang, k, phrase, a, 1 as c, w[1] as x, case when k = 2 then w[2] else w[2] || ' ' || w[3] end as y from candidate
+  union all select lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] from candidate where k = 3),
+scored as (
+  select cut.lang, cut.k, cut.phrase, cut.a, c, p.a as l, q.a as r,
+    cast(1000000 * cast(cut.a as hugeint) * cut.a // (cast(p.a as hugeint) * q.a) as bigint) as score
+  from cut join f p on p.lang = cut.lang and p.phrase = cut.x join f q on q.lang = cut.lang and q.phrase = cut.y),
+best as (select *, row_number() over (partition by lang, phrase order by score, c) as nth from scored),
+inner_pairs as (
+  select lang, w[1] || ' ' || w[2] as phrase, a from candidate where k = 3
+  union all select lang, w[2] || ' ' || w[3], a from candidate where k = 3),
+longer as (select lang, phrase, max(a) as most from inner_pairs group by lang, phrase),
+kept as (
+  select b.* from best b left join longer o on o.lang = b.lang and o.phrase = b.phrase and b.k = 2
+  where nth = 1 and (most is null or 100 * most < {phrases.COVERED} * b.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select ranked.lang as lang, rank, phrase, a, l, r, n, score from ranked join total on total.lang = ranked.lang where rank <= {phrases.MOST}
+"""
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -135,7 +172,7 @@ def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_toxicity, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op5_sharding, op6_url_filters, op7_quality_classifier, op8_lm_scoring,
-    op9_document_fingerprints, op10_best_fit_packing, op11_conversation_repair, op13_simhash_near_dedup,
+    op9_document_fingerprints, op10_best_fit_packing, op11_conversation_repair, op12_phrase_collocations, op13_simhash_near_dedup,
 )
 
 
@@ -144,4 +181,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    return {"op6_url_filters": OP6_SQL, "op12_phrase_collocations": OP12_SQL}
