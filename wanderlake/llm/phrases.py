@@ -30,7 +30,7 @@ from . import text as tx
 from .scratch import Scratch
 
 DEPTH, LEAST, MOST, COVERED = 3, 10, 2000, 50
-SHARD_BYTES, PART_BYTES, MOST_PARTS = 6 << 20, 8 << 20, 1 << 15
+SHARD_BYTES, PART_BYTES, MOST_PARTS = 3 << 20, 8 << 20, 1 << 15
 U64 = np.uint64
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.int8)
@@ -120,6 +120,8 @@ def enumerate_phrases(shard: Shard, depth: int = DEPTH) -> Iterator[tuple[np.nda
     for k in range(1, depth + 1):
         within = lambda index, start: index.words[start + count] - index.words[start]  # noqa: B023, E731
         yield ahead.suffix[lo], count, within(ahead, lo), within(back, rlo)
+        if k == depth:
+            return
         if k % 2:
             which, number, n, before = back.extended(rlo, count, v)
             lo, rlo, count = lo[which] + before, back.step(number, rlo[which]), n
