@@ -17,7 +17,11 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
     Header lines are told by having no seven fields, so files may be split over tasks.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return trajectory_rows(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def trajectory_rows(lines: DataFrame) -> DataFrame:
+    """user_id, trajectory_id, ts, lat, lon of lines (value, file) of trajectory files."""
     p = F.split("value", ",")
     rows = lines.where(F.size(p) == 7)
     steps = F.split("file", "/")
