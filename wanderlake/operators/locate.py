@@ -23,8 +23,17 @@ ZONES = (
 )
 
 
-def with_local_time(stays: DataFrame) -> DataFrame:
-    """Adds timezone_id, local arrival and departure (wall clock). Stays without a zone are dropped."""
+def with_local_time(stays: DataFrame, zones: DataFrame | None = None, size_deg: float = 0.25) -> DataFrame:
+    """Adds timezone_id, local arrival and departure (wall clock). Stays without a zone are dropped.
+
+    zones: polygons (timezone_id, wkb) of any detail, met in cells of size_deg; each different spot is looked up once. Without them the boxes of ZONES are taken.
+    """
+    if zones is not None:
+        from .zones import containing
+
+        spots = stays.select("lat", "lon").distinct().select(F.struct("lat", "lon").alias("id"), "lat", "lon")
+        found = containing(spots, zones, size_deg, "timezone_id").groupBy("id").agg(F.min("timezone_id").alias("timezone_id"))
+        return localized(stays.join(found.select("id.lat", "id.lon", "timezone_id"), ["lat", "lon"]).select(*stays.columns, "timezone_id"))
     zone = F.lit(None).cast("string")
     for name, south, north, west, east in reversed(ZONES):
         zone = F.when(F.col("lat").between(south, north) & F.col("lon").between(west, east), name).otherwise(zone)

@@ -25,9 +25,9 @@ def detect(points_df: DataFrame) -> DataFrame:
     return stays.detect_staypoints(clean.clean_trajectory(points_df))
 
 
-def locate_stays(stays_df: DataFrame, method: str = "complete_link", threshold_m: float = 200.0) -> Located:
+def locate_stays(stays_df: DataFrame, method: str = "complete_link", threshold_m: float = 200.0, zones: DataFrame | None = None) -> Located:
     # Kept, since the kernels behind it are dear and every consumer reads it more than once; lost blocks are computed again.
-    semantic = locate.cluster_stays(locate.with_local_time(stays_df), method, threshold_m).persist()
+    semantic = locate.cluster_stays(locate.with_local_time(stays_df, zones), method, threshold_m).persist()
     return Located(semantic, locate.summarize_locations(semantic))
 
 
