@@ -118,18 +118,27 @@ def complete_link(lat: np.ndarray, lon: np.ndarray, most_m: float) -> np.ndarray
 
 
 def _merged(lat: np.ndarray, lon: np.ndarray, most_m: float) -> np.ndarray:
-    """Complete link of one group. The nearest other of every row is kept, and worked out again where a merge changed it."""
+    """Complete link of one group."""
+    label = np.arange(len(lat))
+    for i, j, _ in merges(lat, lon, most_m):
+        label[label == j] = i
+    return label
+
+
+def merges(lat: np.ndarray, lon: np.ndarray, most_m: float) -> Iterator[tuple[int, int, float]]:
+    """The merges of complete link up to most_m, nearest first: the cluster of j goes to that of i. The nearest other of every row is kept, and worked out again where a merge changed it."""
     n = len(lat)
     d = distances_m(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
     np.fill_diagonal(d, np.inf)
-    label, best = np.arange(n), d.argmin(axis=1)
+    best = d.argmin(axis=1)
     least = d[np.arange(n), best]
     while True:
         i = int(least.argmin())
         if not least[i] <= most_m:
-            return label
+            return
+        height = float(least[i])
         i, j = sorted((i, int(best[i])))
-        label[label == j] = i
+        yield i, j, height
         d[i, :] = d[:, i] = np.maximum(d[i], d[j])
         d[i, i] = np.inf
         d[j, :] = d[:, j] = np.inf
