@@ -1,16 +1,15 @@
-"""Context of anchors: names and tags into categories, nearest places by category, candidates against peers, tiles, and seeded resampling."""
+"""Context of anchors: names and tags into categories, nearest places by category, candidates against peers, and tiles."""
 
 from __future__ import annotations
 
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .joins import within_radius
-from .reliability import uniform
 
 
 @F.pandas_udf(StringType())
@@ -95,18 +94,3 @@ def padded_tiles(anchors: DataFrame, size_micro: int, padding_m: float) -> DataF
     )
     high, wide = F.lit(padding_m / 111_320.0), padding_m / (111_320.0 * F.greatest(F.cos(F.radians("_lat")), F.lit(1e-6)))
     return g.select("cy", "cx", "anchors", (F.col("least_lat") - high).alias("south"), (F.col("most_lat") + high).alias("north"), (F.col("least_lon") - wide).alias("west"), (F.col("most_lon") + wide).alias("east"))
-
-
-def bootstrap_means(rows: DataFrame, by: str, order: list[str], value: str, replicates: int, seed: int) -> DataFrame:
-    """Per group: mean, the 2.5th and 97.5th percentile of the means of resamples, and the share of these over zero.
-
-    A draw is a hash of seed, group, replicate and its number, so that it is the same on any partitioning; draws meet rows in a join.
-    """
-    w = Window.partitionBy(by)
-    numbered = rows.select(by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(*order)) - 1).alias("i"))
-    n = numbered.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    draws = n.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).select(by, "n", "r", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
-    picked = draws.withColumn("i", F.floor(uniform(F.lit(seed), F.col(by), F.col("r"), F.col("j")) * F.col("n")).cast("int")).join(numbered, [by, "i"])
-    means = picked.groupBy(by, "r").agg(F.avg("v").alias("m"))
-    ends = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return n.join(means.groupBy(by).agg(ends.alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("over_zero")), by).select(by, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "over_zero")

@@ -63,16 +63,6 @@ def part_name_signals(spark, sf_dir):
     return c.select("p_partkey", F.array_join("categories", ",").alias("categories"), "signals", "status", "work_signal")
 
 
-@query("""with v as (select p_brand, p_retailprice - 1200 as v, row_number() over (partition by p_brand order by p_partkey) - 1 as i from part where p_size <= 10), n as (select p_brand, count(*) as n, avg(v) as mean from v group by p_brand),
-d as (select p_brand, n, r, unnest(range(n)) as j from n cross join range(40) t(r)),
-m as (select d.p_brand, r, avg(v) as m from d join v on v.p_brand = d.p_brand and v.i = floor(('0x' || substr(sha256('42|' || d.p_brand || '|' || r || '|' || j), 1, 8))::bigint / 4294967296.0 * n)::bigint group by d.p_brand, r)
-select p_brand, any_value(n) as n, round(any_value(mean), 4) as mean, round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high, round(avg(case when m > 0 then 1.0 else 0.0 end), 6) as over_zero from m join n using (p_brand) group by p_brand""")
-def brand_bootstrap(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size <= 10").select("p_brand", "p_partkey", (F.col("p_retailprice") - 1200).alias("v"))
-    b = context.bootstrap_means(p, "p_brand", ["p_partkey"], "v", 40, 42)
-    return b.withColumns({c: F.round(c, 4) for c in ("mean", "low", "high")})
-
-
 @query(_SEG + """, dy as (select user_id, ldate, r, row_number() over (partition by user_id, r order by case when r < 0 then 0.0 else ('0x' || substr(sha256('42|' || user_id || '|' || r || '|' || ldate), 1, 8))::bigint / 4294967296.0 end, ldate) as k, count(*) over (partition by user_id, r) as n from sq cross join range(-1, 20) t(r)),
 hf as (select user_id, ldate, r, k > n // 2 as late from dy where n >= 6), ec as (select mv.user_id, r, o, de, count(*) filter (not late)::double as a, count(*) filter (late)::double as b from mv join hf using (user_id, ldate) group by mv.user_id, r, o, de),
 ep as (select user_id, r, case when sum(a) over w > 0 then a / sum(a) over w end as p, case when sum(b) over w > 0 then b / sum(b) over w end as q from ec window w as (partition by user_id, r)),
