@@ -10,10 +10,10 @@ EARTH_RADIUS_M = 6_371_008.8
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance; the square root's argument is kept at 1 at most, where rounding would give NaN."""
+    """Great-circle distance, null where a coordinate is; the square root's argument is kept at 1 at most, where rounding would give NaN."""
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a.isNotNull(), F.least(a, F.lit(1.0)))))
 
 
 def valid_point(lat: Column, lon: Column) -> Column:
