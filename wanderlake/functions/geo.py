@@ -31,18 +31,58 @@ def micro_cell(degrees: Column, size_micro: int) -> Column:
     return F.floor(F.round(degrees * 1e6).cast("long") / F.lit(size_micro))
 
 
-def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
-    """Base-32 geohash: bits of the longitude and latitude in turn, five a letter."""
-    letters = F.lit("0123456789bcdefghjkmnpqrstuvwxyz")
-    n = precision * 5
-    n_lon, n_lat = (n + 1) // 2, n // 2
-    x = F.least(F.floor((lon + 180) / 360 * F.lit(float(1 << n_lon))), F.lit((1 << n_lon) - 1)).cast("long")
-    y = F.least(F.floor((lat + 90) / 180 * F.lit(float(1 << n_lat))), F.lit((1 << n_lat) - 1)).cast("long")
+#: Fixed value: the letters of geohashes, by code.
+GEOHASH_LETTERS = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def _geohash_bits(precision: int) -> tuple[int, int]:
+    """Bits of the longitude and of the latitude."""
+    return (precision * 5 + 1) // 2, precision * 5 // 2
+
+
+def _geohash_of(x: Column, y: Column, precision: int) -> Column:
+    """The letters of a cell's numbers: bits of the longitude and latitude in turn, five a letter."""
+    n_lon, n_lat = _geohash_bits(precision)
     out = []
     for k in range(precision):
         code = F.lit(0).cast("long")
         for b in range(5 * k, 5 * k + 5):
             axis, bit = (x, n_lon - 1 - b // 2) if b % 2 == 0 else (y, n_lat - 1 - b // 2)
             code = code * 2 + F.shiftright(axis, bit).bitwiseAND(F.lit(1))
-        out.append(F.substr(letters, code.cast("int") + 1, F.lit(1)))
+        out.append(F.substr(F.lit(GEOHASH_LETTERS), code.cast("int") + 1, F.lit(1)))
     return F.concat(*out)
+
+
+def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
+    """Base-32 geohash."""
+    n_lon, n_lat = _geohash_bits(precision)
+    x = F.least(F.floor((lon + 180) / 360 * F.lit(float(1 << n_lon))), F.lit((1 << n_lon) - 1)).cast("long")
+    y = F.least(F.floor((lat + 90) / 180 * F.lit(float(1 << n_lat))), F.lit((1 << n_lat) - 1)).cast("long")
+    return _geohash_of(x, y, precision)
+
+
+def geohash_cell(code: Column, precision: int) -> tuple[Column, Column]:
+    """The numbers of a geohash's cell along longitude and latitude; null if a letter is none or the length is another."""
+    x = y = F.lit(0).cast("long")
+    for k in range(precision):
+        at = F.instr(F.lit(GEOHASH_LETTERS), F.substring(code, k + 1, 1)) - 1
+        for b in range(5 * k, 5 * k + 5):
+            bit = F.shiftright(at, 4 - b % 5).bitwiseAND(F.lit(1))
+            x, y = (x * 2 + bit, y) if b % 2 == 0 else (x, y * 2 + bit)
+    ok = code.rlike(f"^[{GEOHASH_LETTERS}]{{{precision}}}$")
+    return F.when(ok, x), F.when(ok, y)
+
+
+def geohash_center(code: Column, precision: int) -> tuple[Column, Column]:
+    """Latitude and longitude of the middle of a geohash's cell."""
+    n_lon, n_lat = _geohash_bits(precision)
+    x, y = geohash_cell(code, precision)
+    return (y + 0.5) / float(1 << n_lat) * 180 - 90, (x + 0.5) / float(1 << n_lon) * 360 - 180
+
+
+def geohash_neighbours(code: Column, precision: int) -> Column:
+    """The geohashes of the cells around, and the cell's own, in order; fewer at the poles, and around the line of 180 degrees."""
+    n_lon, n_lat = _geohash_bits(precision)
+    x, y = geohash_cell(code, precision)
+    near = [F.when((y + dy).between(0, (1 << n_lat) - 1), _geohash_of(F.pmod(x + dx, F.lit(1 << n_lon)), y + dy, precision)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*near))))

@@ -44,14 +44,13 @@ _PLACE = "39.90 + 0.01 * (s.user_id % 50) + 0.005 * place + 0.00005 * (event_id
 ct as (select user_id, d::timestamp as cut from dk where n >= 2 and k = least(greatest(1, ceil(n * 0.7 - 1e-9)), n - 1)),
 pa as (select s.*, {_PLACE} as lat, 116.40 + 0.004 * place as lon, case when cut is null then 'none' when ts + interval 1500 second <= cut then 'train' when ts >= cut then 'future' else 'crossing' end as part from s left join ct on ct.user_id = s.user_id),
 op as (select f.user_id as user_id, f.event_id as event_id, t.location_id as loc, max(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - f.lon) / 2), 2))))) as far from pa f join pa t on t.user_id = f.user_id and t.part = 'train' where f.part = 'future' group by all),
-oc as (select user_id, event_id, count(*) as n, min(loc) as loc from op where far <= 700 group by all)
+oc as (select user_id, event_id, count(*) as n, min(loc) as loc from op where far <= 200 group by all)
 select pa.user_id as user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as arrival, case when n = 1 then loc when n > 1 then -2 else -1 end::bigint as location_id, case when n = 1 then 'matched' when n > 1 then 'ambiguous' else 'not_matched' end as match
 from pa left join oc on oc.user_id = pa.user_id and oc.event_id = pa.event_id where part = 'future'""")
 def frozen_locations(spark, sf_dir):
     parts = forward.cut_by_dates(home_office.from_events(spark, sf_dir).semantic)
     later = parts.where("part = 'future'").select("user_id", "arrival", "lat", "lon")
-    # At 700 m a stay between two places may fit both.
-    return alignment.align_to_frozen(later, parts.where("part = 'train'"), ["arrival"], 700.0).drop("lat", "lon")
+    return alignment.align_to_frozen(later, parts.where("part = 'train'"), ["arrival"], 200.0).drop("lat", "lon")
 
 
 # The other inventory has, by the event's number, the same stay moved, two parts of it with a pause, one that goes on to the next hour, or none.
