@@ -196,3 +196,39 @@ def test_stages_take_empty_tables_and_odd_rows(spark, name, tmp_path):
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
     else:
         assert out.count() == 4 and stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
+def test_sums_beat_best_fit_where_they_must():
+    """Three lengths that only together fill a sequence; best fit puts the long ones together."""
+    h = {400: 50, 324: 50, 300: 50}
+    assert sum(n for _, n in packing.plan(h)) == 50 < sum(n for *_, n in packing._best_fit(dict(h), 1024, []))
+    # A single complement, a pair, and a triple, with the counts that they have.
+    h = {1000: 3, 24: 3, 900: 5, 100: 5, 700: 4, 124: 4, 110: 4, 90: 4}
+    assert sum(n for _, n in packing.plan(h)) == 12
+
+
+def test_plans_use_every_piece_once():
+    r = random.Random(9)
+    for _ in range(150):
+        size = r.choice([16, 64, 1024])
+        h = {k: r.randrange(4) for k in r.sample(range(1, size + 1), min(size, r.randrange(1, 60)))}
+        plan = packing.plan(h, size)
+        used = collections.Counter()
+        for lengths, n in plan:
+            assert sum(lengths) <= size and n > 0
+            used.update({k: c * n for k, c in collections.Counter(lengths).items()})
+        assert used == collections.Counter({k: n for k, n in h.items() if n})
+        assert sum(n for _, n in plan) <= sum(n for *_, n in packing._best_fit({k: n for k, n in h.items() if n}, size, []))
+    assert packing.plan({}) == []
+
+
+def test_fillings_against_all_combinations():
+    r = random.Random(10)
+    for _ in range(60):
+        left = np.array([0] + [r.choice([0, 0, 0, 1, 2]) for _ in range(40)], np.int64)
+        sums = packing.Sums(left, 2)
+        for gap in range(2, 41):
+            found = sums.filling(gap, True)
+            own = [k for k in range(2, 41) for _ in range(left[k])]
+            there = any(sum(c) == gap for many in (1, 2, 3) for c in itertools.combinations(own, many))
+            assert (found is not None) == there and (found is None or (sum(found) == gap and all(found.count(k) <= left[k] for k in found)))

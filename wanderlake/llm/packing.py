@@ -4,13 +4,14 @@ Documents are tokenised, closed by an end token, and cut only where longer than
 piece takes the remainder, the others are whole sequences. How many pieces there are of each length is a
 histogram of at most ``size`` entries, whatever the data's size; the plan is made from it alone:
 
-1. lengths that are each other's exact complement are put together, as often as both are available;
-2. long lengths go, longest first, to the open sequence with the least room that fits;
-3. sums of one, two and three short lengths (under a 16th or a 32nd of a sequence, whichever takes fewer sequences) are
-   looked up by hash for what exactly fills the gaps that are left, and taken as often as all the lengths in them are available;
+1. sums of one and two lengths are indexed (three are one and two), short ones (under a 16th or a 32nd of a sequence) kept back; for each length, longest first, what
+   exactly fills the rest of its sequence is looked up and taken as often as all the lengths in it are available;
+2. the long lengths that remain go, longest first, to the open sequence with the least room that fits;
+3. sums of one, two and three short lengths are looked up for what exactly fills the gaps that are left, and taken in the same way;
 4. what remains goes to the open sequences by best fit.
 
-Short lengths fill any gap, so they are kept until the gaps are known. The plan says which pieces of a length, by rank, go to which
+With few pieces a length, exact fillings early on can leave the rest without partners, so plans that seek pairs and triples only for long lengths are made too, and the one
+with fewest sequences is taken. Short lengths fill any gap, so they are kept until the gaps are known. The plan says which pieces of a length, by rank, go to which
 sequences. Whole sequences need no rank. Other pieces get theirs from counts by (length, salt), with a salt for each ``RUN`` pieces
 of a length, so no length meets in one task.
 
@@ -105,37 +106,96 @@ Pattern = tuple[tuple[int, ...], int]
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[Pattern]:
-    """(lengths in a sequence, number of such sequences), using every piece once."""
-    return min((_plan(histogram, size, size // part) for part in (32, 16)), key=lambda p: sum(n for _, n in p))
-
-
-def _take(left: Counter, lengths: tuple[int, ...], most: int) -> int:
+    """(lengths in a sequence, number of such sequences), using every piece once.
+
+    Of a few plans, which differ in how long a sequence's longest piece must be for pairs and triples to be sought and in which short lengths are
+    kept back, the one with fewest sequences is taken, and of equal ones the one that seeks exact fillings most. A plan at the least possible number ends the search.
+    """
+    least = -(-sum(k * n for k, n in histogram.items()) // size)
+    best: list[Pattern] = []
+    for longest in (1, size * 5 // 8, size * 11 // 16, size):
+        for part in (16, 32):
+            made = _plan(histogram, size, max(size // part, 1), longest)
+            if not best or sum(n for _, n in made) < sum(n for _, n in best):
+                best = made
+            if sum(n for _, n in best) == least:
+                return best
+    return best
+
+
+def _take(left: Counter | np.ndarray, lengths: tuple[int, ...], most: int) -> int:
     """How often, up to ``most``, the lengths are available together; they are then taken."""
     need = Counter(lengths)
-    times = min(most, *(left[k] // v for k, v in need.items()))
+    times = int(min(most, *(left[k] // v for k, v in need.items())))
     for k, v in need.items():
         left[k] -= v * times
     return times
 
 
-def _plan(histogram: dict[int, int], size: int, short: int) -> list[Pattern]:
-    left = Counter({k: v for k, v in histogram.items() if v > 0})
+class Sums:
+    """Index of the sums of one and two available lengths; three are one and two. Lengths that are used up stay in it and are passed over."""
+
+    def __init__(self, left: np.ndarray, least: int):
+        self.left, self.least = left, least
+        own = np.flatnonzero(left)[::-1]
+        own = own[own >= least]
+        self.lengths = own
+        #: For each sum, the longer lengths of its pairs, long ones first.
+        self.pairs: dict[int, np.ndarray] = {}
+        for total in range(2 * least, len(left)):
+            b = own[(own * 2 >= total) & (own <= total - least)]
+            b = b[left[total - b] > 0]
+            if len(b):
+                self.pairs[total] = b
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The pair with the longest length up to ``most`` that makes the total."""
+        b = self.pairs.get(total)
+        if b is None:
+            return None
+        hit = np.flatnonzero((self.left[b] > (2 * b == total)) & (self.left[total - b] > 0) & (b <= most))
+        return (int(b[hit[0]]), total - int(b[hit[0]])) if len(hit) else None
+
+    def filling(self, gap: int, deep: bool) -> tuple[int, ...] | None:
+        """One length that makes the gap, else (deep) two, else three."""
+        if gap >= self.least and self.left[gap] > 0:
+            return (gap,)
+        if not deep:
+            return None
+        if two := self.pair(gap, gap):
+            return two
+        for b in self.lengths[(self.lengths <= gap - 2 * self.least) & (self.left[self.lengths] > 0)].tolist():
+            if two := self.pair(gap - b, b):
+                return (b, *two)
+        return None
+
+
+def _plan(histogram: dict[int, int], size: int, short: int, longest: int) -> list[Pattern]:
+    left = np.zeros(size + 1, np.int64)
+    for k, n in histogram.items():
+        left[k] = n
     full: list[Pattern] = []
     if left[size]:
-        full.append(((size,), left.pop(size)))
-    for a in sorted(left, reverse=True):
-        if 2 * a >= size and left[size - a]:
-            full.append(((a, size - a), _take(left, (a, size - a), left[a])))
-    opened = _best_fit({k: n for k, n in left.items() if k >= short}, size, [])
-    small = Counter({k: n for k, n in left.items() if k < short})
+        full.append(((size,), int(left[size])))
+        left[size] = 0
+    sums = Sums(left, short)
+    for a in sums.lengths.tolist():
+        # A filling of lengths that the sequence itself uses may be there fewer times than once beside it.
+        while left[a] > 0 and (fill := sums.filling(size - a, a >= longest)) and (times := _take(left, (a, *fill), int(left[a]))):
+            full.append(((a, *fill), times))
+        if a < longest and 2 * a < size:
+            break
+    available = {k: int(left[k]) for k in np.flatnonzero(left).tolist()}
+    opened = _best_fit({k: n for k, n in available.items() if k >= short}, size, [])
+    small = Counter({k: n for k, n in available.items() if k < short})
     #: For each sum, the one, two or three short lengths that make it, long ones first.
-    sums: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+    short_sums: dict[int, list[tuple[int, ...]]] = defaultdict(list)
     for many in (1, 2, 3):
         for lengths in combinations_with_replacement(sorted(small, reverse=True), many):
-            sums[sum(lengths)].append(lengths)
+            short_sums[sum(lengths)].append(lengths)
     gaps: list[tuple[int, tuple[int, ...], int]] = []
     for room, lengths, n in sorted(opened, reverse=True):
-        for fill in sums.get(room, ()):
+        for fill in short_sums.get(room, ()):
             times = _take(small, fill, n)
             full.append(((*lengths, *fill), times))
             n -= times
