@@ -232,3 +232,16 @@ def test_fillings_against_all_combinations():
             own = [k for k in range(2, 41) for _ in range(left[k])]
             there = any(sum(c) == gap for many in (1, 2, 3) for c in itertools.combinations(own, many))
             assert (found is not None) == there and (found is None or (sum(found) == gap and all(found.count(k) <= left[k] for k in found)))
+
+
+def test_scores_where_batches_have_no_trigram(spark):
+    """Texts that are empty, blank or one word, each in a partition of its own, between others."""
+    from wanderlake.llm import lm
+
+    texts = ["", None, " \t", "a", "b", "", "a b c a b", "c", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(9, "doc_id")
+    for part in (docs, docs.where("text is null or trim(text) = ''"), docs.where("doc_id in (3, 4, 7)"), docs.where("doc_id = 0"), docs.limit(0)):
+        n = part.count()
+        for order in (2, 3):
+            rows = lm.score(part, lm.fit(part, order)).collect()
+            assert len(rows) == n and all(r.n_tokens == len((texts[r.doc_id] or "").split()) + 1 and r.score <= 0 for r in rows)

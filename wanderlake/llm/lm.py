@@ -124,7 +124,7 @@ def _unsqueezed(raw: bytes) -> np.ndarray:
 def _by_shard(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
     """A row for each shard: its keys (sorted) and counts."""
     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(shard))
+    ends = np.append(cuts[1:], len(shard))[: len(cuts)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(shard[cuts], pa.int32()),

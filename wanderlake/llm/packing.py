@@ -165,10 +165,20 @@ class Sums:
         if two := self.pair(gap, gap):
             return two
         for b in self.lengths[(self.lengths <= gap - 2 * self.least) & (self.left[self.lengths] > 0)].tolist():
-            if two := self.pair(gap - b, b):
+            self.left[b] -= 1
+            two = self.pair(gap - b, b)
+            self.left[b] += 1
+            if two:
                 return (b, *two)
         return None
 
+    def beside(self, a: int, total: int, deep: bool) -> tuple[int, ...] | None:
+        """What fills a sequence up to the total beside a length that is itself available."""
+        self.left[a] -= 1
+        fill = self.filling(total - a, deep)
+        self.left[a] += 1
+        return fill
+
 
 def _plan(histogram: dict[int, int], size: int, short: int, longest: int) -> list[Pattern]:
     left = np.zeros(size + 1, np.int64)
@@ -180,9 +190,8 @@ def _plan(histogram: dict[int, int], size: int, short: int, longest: int) -> lis
         left[size] = 0
     sums = Sums(left, short)
     for a in sums.lengths.tolist():
-        # A filling of lengths that the sequence itself uses may be there fewer times than once beside it.
-        while left[a] > 0 and (fill := sums.filling(size - a, a >= longest)) and (times := _take(left, (a, *fill), int(left[a]))):
-            full.append(((a, *fill), times))
+        while left[a] > 0 and (fill := sums.beside(a, size, a >= longest)):
+            full.append(((a, *fill), _take(left, (a, *fill), int(left[a]))))
         if a < longest and 2 * a < size:
             break
     available = {k: int(left[k]) for k in np.flatnonzero(left).tolist()}
