@@ -158,25 +158,34 @@ def date_share_split(semantic: DataFrame, share: float) -> DataFrame:
     return s.withColumn("train", F.col("_k") <= F.greatest(F.lit(1), F.floor(n * share))).drop("_k")
 
 
-def split_half(semantic: DataFrame) -> DataFrame:
-    """split, user_id, method, label, and the location of either half: by early and late dates, and by odd and even weeks."""
-    s = date_share_split(semantic, 0.5).withColumn("odd", F.weekofyear(F.to_date("local_arrival")) % 2 == 1)
-    halves = {"first_second|l": F.col("train"), "first_second|r": ~F.col("train"), "odd_even|l": F.col("odd"), "odd_even|r": ~F.col("odd")}
-    a = apart(infer_assignments(with_variants(s, halves).drop("train", "odd"))).withColumns({"split": F.split_part("variant", F.lit("|"), F.lit(1)), "half": F.split_part("variant", F.lit("|"), F.lit(2))})
+def _half_variants() -> dict[str, Column]:
+    """The halves of a user's dates, as the columns first and odd tell."""
+    return {"first_second|l": F.col("first"), "first_second|r": ~F.col("first"), "odd_even|l": F.col("odd"), "odd_even|r": ~F.col("odd")}
+
+
+def _with_halves(semantic: DataFrame) -> DataFrame:
+    return date_share_split(semantic, 0.5).withColumnRenamed("train", "first").withColumn("odd", F.weekofyear(F.to_date("local_arrival")) % 2 == 1)
+
+
+def _both_halves(a: DataFrame) -> DataFrame:
+    a = a.withColumns({"split": F.split_part("variant", F.lit("|"), F.lit(1)), "half": F.split_part("variant", F.lit("|"), F.lit(2))})
     pick = lambda h: F.max(F.when(F.col("half") == h, F.col("location_id")))
     both = a.groupBy("split", "user_id", "method", "label").agg(pick("l").alias("left_location"), pick("r").alias("right_location"))
     return both.where("left_location is not null and right_location is not null")
 
 
+def split_half(semantic: DataFrame) -> DataFrame:
+    """split, user_id, method, label, and the location of either half: by early and late dates, and by odd and even weeks."""
+    return _both_halves(apart(infer_assignments(with_variants(_with_halves(semantic), _half_variants()).drop("first", "odd"))))
+
+
 def split_half_summary(details: DataFrame) -> DataFrame:
     same = F.count_if(F.col("left_location") == F.col("right_location"))
     return details.groupBy("split", "method", "label").agg(F.count("*").alias("both_halves"), same.alias("same_location"), (same / F.count("*")).alias("agreement"))
 
 
-def heldout(semantic: DataFrame, share: float = 0.6) -> DataFrame:
-    """Candidates of the first dates, with their share and rank among the places of the later ones."""
-    s = date_share_split(semantic, share)
-    late = s.where(~F.col("train"))
+def _later_metrics(late: DataFrame) -> DataFrame:
+    """user_id, location_id, label, metric, rank: the places of the later dates by their share of dwell (HOME) and of workdays (OFFICE)."""
     d = F.to_date("local_arrival")
     week = F.when(F.weekday(d) < 5, d)
     w = Window.partitionBy("user_id")
@@ -184,8 +193,13 @@ def heldout(semantic: DataFrame, share: float = 0.6) -> DataFrame:
     all_days = late.groupBy("user_id").agg(F.countDistinct(week).alias("all_weekdays"))
     m = own.join(all_days, "user_id").withColumns({"HOME": F.coalesce(F.try_divide(F.col("dwell_s"), F.sum("dwell_s").over(w)), F.lit(0.0)), "OFFICE": F.coalesce(F.try_divide("weekdays", "all_weekdays"), F.lit(0.0))})
     m = m.withColumns({f"{c}_rank": F.rank().over(w.orderBy(F.desc(c))) for c in ("HOME", "OFFICE")})
-    metrics = m.select("user_id", "location_id", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("metric"), F.col(f"{c}_rank").alias("rank")) for c in ("HOME", "OFFICE")])))
-    return infer_assignments(s.where("train").drop("train")).join(metrics, ["user_id", "location_id", "label"], "left")
+    return m.select("user_id", "location_id", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("metric"), F.col(f"{c}_rank").alias("rank")) for c in ("HOME", "OFFICE")])))
+
+
+def heldout(semantic: DataFrame, share: float = 0.6) -> DataFrame:
+    """Candidates of the first dates, with their share and rank among the places of the later ones."""
+    s = date_share_split(semantic, share)
+    return infer_assignments(s.where("train").drop("train")).join(_later_metrics(s.where(~F.col("train"))), ["user_id", "location_id", "label"], "left")
 
 
 def heldout_summary(details: DataFrame) -> DataFrame:
@@ -203,10 +217,17 @@ def uniform(seed: Column, *keys: Column) -> Column:
 
 def dropout(semantic: DataFrame, rates: tuple[float, ...] = (0.1, 0.2, 0.3), seeds: tuple[int, ...] = (11, 23, 42)) -> DataFrame:
     """Whether each candidate is found again when stays are left out at random: rate, seed, user_id, method, label, location_id, retained."""
+    kept = _kept(rates, seeds)
+    return _dropped(apart(infer_assignments(with_variants(semantic, {"all": F.lit(True), **kept}))), list(kept))
+
+
+def _kept(rates: tuple[float, ...], seeds: tuple[int, ...]) -> dict[str, Column]:
     at = F.date_format("arrival", "yyyy-MM-dd HH:mm:ss")
-    kept = {f"{rate}|{seed}": uniform(F.lit(seed), F.col("user_id"), F.col("location_id"), at) >= rate for rate in rates for seed in seeds}
-    a = apart(infer_assignments(with_variants(semantic, {"all": F.lit(True), **kept})))
-    return _retained(a, list(kept)).select(F.split_part("variant", F.lit("|"), F.lit(1)).cast("double").alias("rate"), F.split_part("variant", F.lit("|"), F.lit(2)).cast("int").alias("seed"), "user_id", "method", "label", "location_id", "retained")
+    return {f"{rate}|{seed}": uniform(F.lit(seed), F.col("user_id"), F.col("location_id"), at) >= rate for rate in rates for seed in seeds}
+
+
+def _dropped(a: DataFrame, variants: list[str]) -> DataFrame:
+    return _retained(a, variants).select(F.split_part("variant", F.lit("|"), F.lit(1)).cast("double").alias("rate"), F.split_part("variant", F.lit("|"), F.lit(2)).cast("int").alias("seed"), "user_id", "method", "label", "location_id", "retained")
 
 
 def _retained(a: DataFrame, variants: list[str]) -> DataFrame:
@@ -229,6 +250,19 @@ def time_shift(semantic: DataFrame, hours: int = 12) -> DataFrame:
     return _retained(apart(infer_assignments(s)), ["shifted"]).withColumn("shift_hours", F.lit(hours)).select("shift_hours", "user_id", "method", "label", "location_id", "retained")
 
 
+def suite(semantic: DataFrame, uri: str, rate: float = 0.3, seeds: tuple[int, ...] = (11, 23, 42), share: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What infer_assignments(), split_half(), heldout() and dropout() (at one rate) give, from one pass over all variants, written under the shared folder's uri."""
+    s = date_share_split(_with_halves(semantic), share)
+    dropped = _kept((rate,), seeds)
+    variants = {"all": F.lit(True), "train": F.col("train"), **_half_variants(), **dropped}
+    a = apart(infer_assignments(with_variants(s, variants).drop("train", "first", "odd")))
+    a.write.parquet(uri)
+    a = semantic.sparkSession.read.schema(a.schema).parquet(uri)
+    of = lambda names: a.where(F.col("variant").isin(names))
+    held = of(["train"]).drop("variant").join(_later_metrics(s.where(~F.col("train"))), ["user_id", "location_id", "label"], "left")
+    return of(["all"]).drop("variant"), _both_halves(of(list(_half_variants()))), held, _dropped(of(["all", *dropped]), list(dropped))
+
+
 def home_consensus(assignments: DataFrame, splits: DataFrame, held: DataFrame, dropped: DataFrame, rate: float = 0.3) -> DataFrame:
     """Votes for each HOME candidate, confirmations along three axes of reliability by its own methods, and a tier.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import jensen_shannon
 from ..operators import clean, comparators, days, evidence, forward, locate, relational, reliability, routines, userdays
+from ..sources.shared import shared_folder
 from ..sources.trajectories import points, table
 from . import home_office
 from .queries import _HOURS, DEFECTS, STAYS, VISITS, _contrib, _events, _features, _top, query
@@ -262,7 +263,7 @@ select user_id, location_id::bigint as location_id, votes, fs as fixed_selected,
   tier in ('high', 'medium') and production <> 'baseline_emitted' as expansion from et""")
 def home_consensus(spark, sf_dir):
     s = _semantic(spark, sf_dir).semantic
-    return reliability.home_consensus(reliability.infer_assignments(s), reliability.split_half(s), reliability.heldout(s), reliability.dropout(s))
+    return reliability.home_consensus(*reliability.suite(s, shared_folder(spark, "suite")))
 
 
 _SECOND = f""", hm as (select user_id, location_id as home_id from (with s as (select * from s0), {LOC}, {ASSIGN} select * from asg where method = 'recurrence' and label = 'HOME')),
