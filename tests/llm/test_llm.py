@@ -357,3 +357,60 @@ def test_listed_urls_without_host_are_blocked(spark):
     listed = spark.createDataFrame([("/x",), ("",)], "url string")
     got = {r.page_id: (r.verdict, r.listed) for r in urlfilter.judge(pages, rules, listed).collect()}
     assert got == {1: ("block", True), 2: ("allow", False), 3: ("allow", False), 4: ("allow", False)}
+
+
+@pytest.mark.parametrize(("load", "bits"), [(lm.LOAD, 12), (40, 12), (40, 8)])
+def test_lm_quantised_levels(spark, monkeypatch, load, bits):
+    """Against a plain model that rounds to the same grid; within two half steps a token of the exact one. With the small load hot contexts lie in several shards."""
+    monkeypatch.setattr(lm, "LOAD", load)
+    r = random.Random(5)
+    texts = [" ".join("w0" if r.random() < 0.5 else f"w{r.randrange(40)}" for _ in range(r.randrange(60))) for _ in range(60)]
+    rows = [*enumerate([*texts, None, "never seen w0 w0 never", texts[0]]), (9, "w0 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gram, total, kinds = (collections.Counter() for _ in range(3))
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            w = ["<s>", *(t or "").split(), "</s>"]
+            gram.update((x,) for x in w[1:])
+            gram.update(zip(w, w[1:], strict=False))
+            gram.update(zip(w, w[1:], w[2:], strict=False))
+    for g, n in gram.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    step = lm.DECADES / 2**bits
+    grid = lambda x: -min(round(-x / step), 2**bits - 1) * step
+
+    def logp(g, q):
+        if len(g) == 1:
+            return math.log10((gram[g] + 0.1) / (total[()] + 0.1 * (kinds[()] + 1)))
+        c, lower = g[:-1], logp(g[1:], q)
+        if not total[c]:
+            return lower
+        weight = 0.75 * kinds[c] / total[c]
+        return q(math.log10((gram[g] - 0.75) / total[c] + weight * 10**lower)) if gram[g] else q(math.log10(weight)) + lower
+
+    def of(t, q):
+        w = ["<s>", *(t or "").split(), "</s>"]
+        return sum(logp(tuple(w[max(0, k - 2) : k + 1]), q) for k in range(1, len(w)))
+
+    trie = lm.fit(df, 3, bits=bits)
+    got = sorted((x.doc_id, x.score, x.n_tokens) for x in lm.score(df, trie).collect())
+    want = sorted((i, of(t, grid), of(t, lambda x: x)) for i, t in rows)
+    for (i, score, n), (j, rounded, exact) in zip(got, sorted(want), strict=True):
+        assert i == j and abs(score - exact) <= n * step + 1e-9
+        # Two rows share the id 9, and a value on the middle between two steps may go either way.
+        assert i == 9 or abs(score - rounded) < 1e-6
+    # Counts are gone, what is left is pointers, successors and bits.
+    left = trie.store._fs()[0].get_file_info(__import__("pyarrow.fs", fromlist=["fs"]).FileSelector(trie.store._fs()[1], recursive=True))
+    assert left and not any("counts" in f.path for f in left)
+    packed = trie.store.read("triples-model-0")["prob"]
+    assert packed.dtype == np.uint64 and len(packed) == int(trie.three.base[1]) * bits // 64 + 2
+
+
+def test_packed_bits():
+    r = np.random.default_rng(1)
+    for width in (0, 1, 7, 12, 33, 63):
+        for n in (0, 1, 64, 1000):
+            v = r.integers(0, 1 << width, n, dtype=np.uint64) if width else np.zeros(n, np.uint64)
+            i = r.permutation(n)
+            assert np.array_equal(ef.take_bits(ef.pack_bits(v, width), i, width), v[i])

@@ -31,18 +31,31 @@ def unpack(data: np.ndarray) -> dict[str, np.ndarray]:
     return {name: data[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for name, (kind, at, size) in head.items()}
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers under 2^width on end, width (0 to 63) bits each."""
+    out = np.zeros(len(values) * width // 64 + 2, U64)
+    if width and len(values):
+        bit = np.arange(len(values), dtype=U64) * U64(width)
+        word, shift, v = (bit >> U64(6)).astype(np.int64), bit & U64(63), values.astype(U64)
+        np.add.at(out, word, v << shift)
+        np.add.at(out, word + 1, (v >> (U64(63) - shift)) >> _ONE)
+    return out
+
+
+def take_bits(packed: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
+    if not width:
+        return np.zeros(len(i), U64)
+    bit = i.astype(U64) * U64(width)
+    word, shift = (bit >> U64(6)).astype(np.int64), bit & U64(63)
+    return ((packed[word] >> shift) | ((packed[word + 1] << (U64(63) - shift)) << _ONE)) & U64((1 << width) - 1)
+
+
 def encode(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
     """values: sorted, each under universe. About 2 + log2(universe / values) bits a value, and a directory."""
     n = len(values)
     low_bits = max(0, min(63, (universe // max(n, 1)).bit_length() - 1))
     v = values.astype(U64)
-    low = np.zeros(n * low_bits // 64 + 2, U64)
-    if low_bits and n:
-        part = v & U64((1 << low_bits) - 1)
-        bit = np.arange(n, dtype=U64) * U64(low_bits)
-        word, shift = (bit >> U64(6)).astype(np.int64), bit & U64(63)
-        np.add.at(low, word, part << shift)
-        np.add.at(low, word + 1, (part >> (U64(63) - shift)) >> _ONE)
+    low = pack_bits(v & U64((1 << low_bits) - 1), low_bits)
     top = (v >> U64(low_bits)).astype(np.int64)
     bits = top + np.arange(n)
     high = np.zeros((n + (universe >> low_bits) + 1) // 64 + 2, U64)
@@ -80,11 +93,7 @@ class Sequence:
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), U64)
-        bit = i.astype(U64) * U64(self.low_bits)
-        word, shift = (bit >> U64(6)).astype(np.int64), bit & U64(63)
-        return ((self.low[word] >> shift) | ((self.low[word + 1] << (U64(63) - shift)) << _ONE)) & U64((1 << self.low_bits) - 1)
+        return take_bits(self.low, i, self.low_bits)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1

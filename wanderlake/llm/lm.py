@@ -3,12 +3,16 @@
 Level one holds the words: an Elias-Fano sequence of their hashes (a word's id is its place) and exact counts. Level two holds,
 for all words and the start of a text on end, their successors; level three, for all entries of level two on end, theirs.
 In level three a word is replaced by its place among the successors of the word before it, which level two has. A
-level is three Elias-Fano sequences: pointers to each context's successors, the successors made monotone by the last one
-of the context before, and running counts. An entry is found by successor search within its context's range.
+level is two Elias-Fano sequences, pointers to each context's successors and the successors made monotone by the last one
+of the context before, with the smoothed probability of each entry and the weight with which each context falls back on the order below.
+An entry is found by successor search within its context's range.
 
 Probabilities are of an interpolated model with absolute discounting at each order over a unigram with 0.1 added to each count.
-They are made from exact counts when they are looked up. Counts are taken over every training text; nothing is pruned. A context's
-total is its own count one level down, and the number of its successors is the distance of two pointers.
+Counts are taken over every training text; nothing is pruned. A level is smoothed once all its counts are there: a context's total
+is its own count one level down, the number of its successors the distance of two pointers, the lower order the level below as stored.
+The running counts, Elias-Fano sequences too, go once the trie is built. Probabilities and weights are kept as base-10 logarithms on an even grid of
+``2 ** bits`` steps over ``DECADES``, packed to ``bits`` bits, so each is off by at most ``DECADES / 2 ** (bits + 1)``: 1/512 at 12 bits, and a
+token's score by at most two such errors (its own and that of the order below, or two weights). With ``bits=0`` they are doubles.
 
 Level one is cut by ranges of hashes. The others are cut by ranges of (context, successor), of about ``LOAD`` training tokens each, so
 that the successors of a frequent context lie in several shards and no task holds more than its range. Each shard is one file
@@ -39,6 +43,8 @@ U64 = np.uint64
 ADD, DISCOUNT, SHARD_BYTES, MOST_SHARDS = 0.1, 0.75, 16 << 20, 1 << 16
 #: Training tokens whose counts meet in one shard of levels two and three.
 LOAD = 2 << 20
+#: Decades that the grid of quantised logarithms covers. The least value is a quarter of one count in all tokens, so it does for 10^15 tokens.
+DECADES = 16
 END = tx.mix(np.array([0x454E44], U64))[0]
 
 
@@ -57,12 +63,17 @@ class Store:
 
     def write(self, name: str, arrays: dict[str, np.ndarray]) -> None:
         f, root = self._fs()
-        f.create_dir(root, recursive=True)
+        f.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
         part = f"{root}/{name}.{uuid.uuid4().hex}"
         with f.open_output_stream(part) as out:
             out.write(ef.pack(arrays))
         f.move(part, f"{root}/{name}")
 
+    def drop(self, folder: str) -> None:
+        f, root = self._fs()
+        f.create_dir(f"{root}/{folder}", recursive=True)
+        f.delete_dir(f"{root}/{folder}")
+
     def read(self, name: str) -> dict[str, np.ndarray]:
         key = f"{self.uri}/{name}"
         if key not in self._mapped:
@@ -186,8 +197,8 @@ class Words:
 class Level:
     """The successors of all contexts. Its keys are context * size + successor; shard s begins with the key cuts[s]."""
 
-    def __init__(self, store: Store, name: str, cuts: np.ndarray, size: int, contexts: int):
-        self.store, self.name, self.size, self.contexts = store, name, size, contexts
+    def __init__(self, store: Store, name: str, cuts: np.ndarray, size: int, contexts: int, bits: int):
+        self.store, self.name, self.size, self.contexts, self.bits = store, name, size, contexts, bits
         self.cuts = np.unique(np.append(cuts.astype(U64), U64(0)))
         self.first = (self.cuts // U64(size)).astype(np.int64)
         self.base = np.zeros(len(self.cuts) + 1, np.int64)
@@ -206,10 +217,59 @@ class Level:
         before = np.concatenate([[0], np.cumsum(x[ends])[:-1]])
         values = x + np.repeat(before, np.diff(ends, prepend=-1))
         sums = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        self.store.write(
-            f"{self.name}-{shard}",
-            {**ef.encode(pointers, len(keys) + 1, "pointer"), **ef.encode(values, int(values[-1]) + 1, "successor"), **ef.encode(sums, int(sums[-1]) + 1, "sum")},
-        )
+        self.store.write(f"{self.name}-{shard}", {**ef.encode(pointers, len(keys) + 1, "pointer"), **ef.encode(values, int(values[-1]) + 1, "successor")})
+        self.store.write(f"counts/{self.name}-{shard}", ef.encode(sums, int(sums[-1]) + 1, "sum"))
+
+    def range(self, shard: int) -> np.ndarray:
+        """The contexts that have keys in a shard; those at its ends may have others elsewhere."""
+        return np.arange(self.first[shard], (self.first[shard + 1] if shard + 1 < len(self.first) else self.contexts - 1) + 1)
+
+    def entries(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place in range(shard) of each entry's context, and the entry's successor."""
+        if self.base[shard + 1] == self.base[shard]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        arrays = self.store.read(f"{self.name}-{shard}")
+        pointer, values = (s.get(np.arange(s.n)).astype(np.int64) for s in (ef.Sequence(arrays, "pointer"), ef.Sequence(arrays, "successor")))
+        before = np.where(pointer[:-1] > 0, values[np.maximum(pointer[:-1] - 1, 0)], 0)
+        owner = np.repeat(np.arange(len(pointer) - 1), np.diff(pointer))
+        return owner, values - before[owner]
+
+    def write_model(self, shard: int, prob: np.ndarray, fall: np.ndarray) -> None:
+        """log10 of the probability of each entry and of the weight of each context of the shard."""
+        kept = lambda x: ef.pack_bits(np.clip(np.rint(-x * ((1 << self.bits) / DECADES)), 0, (1 << self.bits) - 1), self.bits) if self.bits else x
+        self.store.write(f"{self.name}-model-{shard}", {"prob": kept(prob), "fall": kept(fall)})
+
+    def _logs(self, shard: int, name: str, i: np.ndarray) -> np.ndarray:
+        kept = self.store.read(f"{self.name}-model-{shard}")[name]
+        return ef.take_bits(kept, i, self.bits) * (-DECADES / (1 << self.bits)) if self.bits else kept[i]
+
+    def _by_place(self, place: np.ndarray) -> Iterator[tuple[slice, int]]:
+        cut = np.searchsorted(place, self.base)
+        for s in np.flatnonzero(np.diff(cut) > 0).tolist():
+            yield slice(cut[s], cut[s + 1]), s
+
+    def counts(self, place: np.ndarray) -> np.ndarray:
+        """Count of the entry at each place (sorted). Only while the trie is built."""
+        out = np.zeros(len(place), np.int64)
+        for rows, s in self._by_place(place):
+            sums, at = ef.Sequence(self.store.read(f"counts/{self.name}-{s}"), "sum"), place[rows] - self.base[s]
+            out[rows] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
+        return out
+
+    def log_prob(self, place: np.ndarray) -> np.ndarray:
+        """log10 of the smoothed probability of the entry at each place (sorted)."""
+        out = np.zeros(len(place))
+        for rows, s in self._by_place(place):
+            out[rows] = self._logs(s, "prob", place[rows] - self.base[s])
+        return out
+
+    def fall_back(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """log10 of what the order below weighs in each context; sorted by context and successor."""
+        out = np.zeros(len(context))
+        cut = np.searchsorted(self.shards(self.keys(context, successor)), np.arange(len(self.cuts) + 1))
+        for s in np.flatnonzero(np.diff(cut) > 0).tolist():
+            out[cut[s] : cut[s + 1]] = self._logs(s, "fall", context[cut[s] : cut[s + 1]] - self.first[s])
+        return out
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[slice, int, dict[str, np.ndarray]]]:
         """Rows (sorted by shard), the shard and its arrays, for shards that hold anything."""
@@ -225,9 +285,9 @@ class Level:
             out[rows] += ef.Sequence(arrays, "pointer").get(np.minimum(context[rows], self.contexts) - self.first[s]).astype(np.int64)
         return out
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1 if there is none) and count of each entry; sorted by context and successor."""
-        place, count = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Place of each entry (-1 if there is none); sorted by context and successor."""
+        place = np.full(len(context), -1, np.int64)
         for rows, s, arrays in self._by_shard(self.shards(self.keys(context, successor))):
             distinct, back = np.unique(context[rows] - self.first[s], return_inverse=True)
             pointer, values = ef.Sequence(arrays, "pointer"), ef.Sequence(arrays, "successor")
@@ -236,17 +296,8 @@ class Level:
             want = successor[rows] + before[back]
             top = int(values.get(np.array([values.n - 1]))[0])
             at = np.where(want <= top, values.find(np.minimum(want, top), lo[back], hi[back]), -1)
-            hit = np.flatnonzero(at >= 0)
-            sums = ef.Sequence(arrays, "sum")
             place[rows] = np.where(at >= 0, at + self.base[s], -1)
-            count[rows.start + hit] = (sums.get(at[hit] + 1) - sums.get(at[hit])).astype(np.int64)
-        return place, count
-
-
-def _discounted(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """The interpolated probability; the lower order's where the context was never seen."""
-    seen = np.maximum(total, 1)
-    return np.where(total > 0, np.maximum(count - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * lower, lower)
+        return place
 
 
 class Trie:
@@ -270,52 +321,78 @@ class Trie:
         before[at[:-1]] = self.v
         return before
 
-    def second(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Place and count in level two of each pair (sorted; -1 is unknown), and its context's first place, number of successors and total."""
-        place, count, start, kinds, total = (np.full(len(context), x, np.int64) for x in (-1, 0, 0, 0, 0))
-        known = np.flatnonzero(context >= 0)
-        distinct, back = np.unique(context[known], return_inverse=True)
-        lo, hi = self.two.starts(distinct), self.two.starts(distinct + 1)
-        start[known], kinds[known] = lo[back], (hi - lo)[back]
-        total[known] = np.where(distinct < self.v, self.words.counts(np.minimum(distinct, self.v)), self.n_texts)[back]
+    def second(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in level two of each pair (sorted; -1 is unknown), and its place among its context's successors (-1 likewise)."""
+        place, nth = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
         both = np.flatnonzero((context >= 0) & (word >= 0))
-        place[both], count[both] = self.two.find(context[both], word[both])
-        return place, count, start, kinds, total
-
-    def third(self, place: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count in level three of each entry (sorted; -1 is unknown), and its context's number of successors."""
-        count, kinds = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        known = np.flatnonzero(place >= 0)
-        distinct, back = np.unique(place[known], return_inverse=True)
-        kinds[known] = (self.three.starts(distinct + 1) - self.three.starts(distinct))[back]
-        both = np.flatnonzero((place >= 0) & (successor >= 0))
-        count[both] = self.three.find(place[both], successor[both])[1]
-        return count, kinds
+        place[both] = self.two.find(context[both], word[both])
+        hit = np.flatnonzero(place >= 0)
+        distinct, back = np.unique(context[hit], return_inverse=True)
+        nth[hit] = place[hit] - self.two.starts(distinct)[back]
+        return place, nth
+
+    @staticmethod
+    def _logs(level: Level, place: np.ndarray, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """A level's log10 probabilities: as stored where there is a place, else the lower order's, weighed where the context is known. Sorted."""
+        out = lower.copy()
+        hit = np.flatnonzero(place >= 0)
+        out[hit] = level.log_prob(place[hit])
+        miss = np.flatnonzero((place < 0) & (context >= 0))
+        out[miss] += level.fall_back(context[miss], np.maximum(successor[miss], 0))
+        return out
 
     def log_prob(self, word: np.ndarray, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token (ids, -1 if unknown) after those before it. lower: the unigram's probability."""
         # Each different pair once, in order of contexts: unknown words as one, as any of them has the same unigram.
         pair, first, back = np.unique((self.pairs(word, at) + 1) * (self.v + 2) + (word + 1), return_index=True, return_inverse=True)
-        place, count, start, kinds, total = self.second(pair // (self.v + 2) - 1, pair % (self.v + 2) - 1)
-        p = _discounted(count, total, kinds, lower[first])
-        if self.three is None:
-            return np.log10(p)[back]
+        context, last = pair // (self.v + 2) - 1, pair % (self.v + 2) - 1
+        place, nth = self.second(context, last)
+        p = self._logs(self.two, place, context, last, np.log10(lower[first]))
         out = p[back]
+        if self.three is None:
+            return out
         later = np.setdiff1d(np.arange(len(word)), at[:-1], assume_unique=True)
         n = max(len(pair), 1)
         three, again = np.unique(back[later - 1] * n + back[later], return_inverse=True)
-        context, last = three // n, three % n
-        seen, follow = self.third(place[context], np.where(place[last] >= 0, place[last] - start[last], -1))
-        out[later] = _discounted(seen, np.where(place[context] >= 0, count[context], 0), follow, p[last])[again]
-        return np.log10(out)
-
+        context, last = place[three // n], three % n
+        found, both = np.full(len(three), -1, np.int64), np.flatnonzero((context >= 0) & (nth[last] >= 0))
+        found[both] = self.three.find(context[both], nth[last[both]])
+        out[later] = self._logs(self.three, found, context, nth[last], p[last])[again]
+        return out
 
-def fit(docs: DataFrame, order: int = 2) -> Trie:
-    """Counts the training texts of docs (doc_id, text) and builds the trie of order 2 or 3."""
+    def smooth(self, level: Level, shard: int) -> None:
+        """Probabilities and weights of a shard of level two or three, from the counts and the level below. Written whole, so it can be done again."""
+        context = level.range(shard)
+        kinds = level.starts(context + 1) - level.starts(context)
+        owner, successor = level.entries(shard)
+        if level is self.two:
+            total = np.append(self.words.counts(context[context < self.v]), np.full(int((context == self.v).sum()), self.n_texts))
+            word, back = np.unique(successor, return_inverse=True)
+            lower = np.log10(self.unigram(self.words.counts(word)))[back]
+        else:
+            total = self.two.counts(context)
+            # A context is a pair; its last word's successors are where the order below has its probabilities.
+            held = range(*(int(np.searchsorted(self.two.base, x, "right")) - 1 + i for i, x in enumerate((context[0], context[-1])))) if len(context) else range(0)
+            word = np.concatenate([np.zeros(0, np.int64), *(self.two.entries(s)[1] for s in held)])
+            word = word[context - self.two.base[held.start]] if len(context) else word
+            distinct, back = np.unique(word, return_inverse=True)
+            below, again = np.unique(self.two.starts(distinct)[back][owner] + successor, return_inverse=True)
+            lower = self.two.log_prob(below)[again]
+        weight = DISCOUNT * kinds / np.maximum(total, 1)
+        count = level.counts(np.arange(level.base[shard], level.base[shard + 1]))
+        prob = np.log10((count - DISCOUNT) / total[owner] + weight[owner] * 10**lower)
+        # What never stands before another token (the end of a text) has no successors, and is never asked for.
+        level.write_model(shard, prob, np.log10(np.where(kinds > 0, weight, 1.0)))
+
+
+def fit(docs: DataFrame, order: int = 2, bits: int = 0) -> Trie:
+    """Counts the training texts of docs (doc_id, text) and builds the trie of order 2 or 3, its probabilities in bits bits (1 to 32; 0: doubles)."""
+    if order not in (2, 3) or not 0 <= bits <= 32:
+        raise ValueError("order is 2 or 3, bits 0 to 32")
     spark = docs.sparkSession
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_SHARDS, max(8, size // SHARD_BYTES)).bit_length() - 1
+    high = min(MOST_SHARDS, max(8, size // SHARD_BYTES)).bit_length() - 1
     # Removed with the session's other intermediate tables: scores are read from the files until then.
     store = Store(f"{Scratch(spark).root}/trie")
     load = LOAD
@@ -332,25 +409,38 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = np.unique(_of_batch(batch)[0], return_counts=True)
-            yield _by_shard(keys, counts, (keys >> U64(64 - bits)).astype(np.int64))
+            yield _by_shard(keys, counts, (keys >> U64(64 - high)).astype(np.int64))
 
     def level_one(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, counts = _merged(table)
-        store.write(f"words-{shard}", {**ef.encode(keys & U64((1 << (64 - bits)) - 1), 1 << (64 - bits), "hash"), "count": counts.astype(np.int64)})
+        store.write(f"words-{shard}", {**ef.encode(keys & U64((1 << (64 - high)) - 1), 1 << (64 - high), "hash"), "count": counts.astype(np.int64)})
         return report(shard, keys, counts, np.zeros(len(keys), np.int64))
 
+    def smooth(level: Level) -> None:
+        name = level.name
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard in batch.column("id").to_pylist():
+                    trie.smooth(trie.two if name == "pairs" else trie.three, shard)
+                yield batch
+
+        # Also the shards without entries: their contexts have weights.
+        n = len(level.cuts)
+        spark.range(0, n, 1, min(n, MOST_SHARDS)).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
     # A row a shard, and all of them together one number for each LOAD of tokens.
     found = texts.mapInArrow(words, COUNTED).groupBy("shard").applyInArrow(level_one, made).collect()
-    base = np.zeros((1 << bits) + 1, np.int64)
+    base = np.zeros((1 << high) + 1, np.int64)
     for r in found:
         base[r["shard"] + 1] = r["n"]
-    trie = Trie(store, bits, np.cumsum(base), sum(r["total"] for r in found))
+    trie = Trie(store, high, np.cumsum(base), sum(r["total"] for r in found))
     contexts = trie.v + 1
     inside = _cuts(np.array([trie.n_texts]), load)
     cuts = [(int(trie.words.base[r["shard"]]) + i) * contexts + int(f * contexts) for r in found for i, f in zip(r["item"], r["share"], strict=True)]
     cuts += [trie.v * contexts + int(f * contexts) for f in inside[1]]
-    two = Level(store, "pairs", np.array(cuts, U64), contexts, contexts)
+    two = Level(store, "pairs", np.array(cuts, U64), contexts, contexts, bits)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +461,9 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
         two.base[r["shard"] + 1] = r["n"]
     two.base = np.cumsum(two.base)
     trie.two = two
+    smooth(two)
     if order < 3:
+        store.drop("counts")
         return trie
 
     cuts = []
@@ -380,7 +472,7 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
             # Only a pair of more than LOAD tokens is cut inside, by its last word's successors.
             kinds = int(np.diff(two.starts(np.array([w, w + 1])))[0]) if f else 0
             cuts.append((int(two.base[r["shard"]]) + i) * contexts + int(f * kinds))
-    three = Level(store, "triples", np.array(cuts, U64), contexts, int(two.base[-1]))
+    three = Level(store, "triples", np.array(cuts, U64), contexts, int(two.base[-1]), bits)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,9 +480,9 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
             distinct, back = _distinct(token)
             ids = trie.words.ids(distinct)[0][back]
             pair, back = np.unique(two.keys(trie.pairs(ids, at), ids), return_inverse=True)
-            place, _, start, _, _ = trie.second((pair // U64(two.size)).astype(np.int64), (pair % U64(two.size)).astype(np.int64))
+            place, nth = trie.second((pair // U64(two.size)).astype(np.int64), (pair % U64(two.size)).astype(np.int64))
             later = np.setdiff1d(np.arange(len(ids)), at[:-1], assume_unique=True)
-            keys, counts = np.unique(three.keys(place[back[later - 1]], (place - start)[back[later]]), return_counts=True)
+            keys, counts = np.unique(three.keys(place[back[later - 1]], nth[back[later]]), return_counts=True)
             yield _by_shard(keys, counts, three.shards(keys))
 
     def level_three(table: pa.Table) -> pa.Table:
@@ -403,6 +495,8 @@ def fit(docs: DataFrame, order: int = 2) -> Trie:
         three.base[r["shard"] + 1] = r["n"]
     three.base = np.cumsum(three.base)
     trie.three = three
+    smooth(three)
+    store.drop("counts")
     return trie
 
 

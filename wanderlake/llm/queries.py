@@ -89,7 +89,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs, 3))
+    return lm.score(docs, lm.fit(docs, 3, bits=12))
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
