@@ -317,3 +317,25 @@ def test_collocations_match_sql(spark):
     c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
     want = c.sql(queries.OP12_SQL).fetchall()
     assert sorted(want) == collocation_rows(spark, SF)
+
+
+def test_chat_spans_of_long_conversations_and_clashing_columns(spark):
+    """Spans against running sums in Python, for conversations of 1 to 3,000 turns, beside columns named as the operator's own."""
+    from wanderlake.llm import chat
+
+    r = random.Random(9)
+    rows = []
+    for conv, n in [(1, 1), (2, 2), (3, 3), (4, 4), (5, 3000), (None, 17)]:
+        rows += [(conv, k, r.choice(["user", "assistant", "assistant", "system", "o:dd", None]), r.choice(["", None, "<join/> \\", "a </turn> b", "é" * 5]), "x", "x", "x") for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, t string, p string, begins string").repartition(5)
+    show = {"user": "User", "assistant": "Assistant", "system": "System"}
+    for row in chat.format_conversations(df).collect():
+        out, spans, last = "", [], None
+        for _, _, role, text, *_ in [x for x in rows if x[0] == row.conv_id]:
+            role, text = role or "", text or ""
+            for plain, code in chat.ESCAPES:
+                text = text.replace(plain, code)
+            out += "<join/>" if role == last else ("</turn>\n" if last is not None else "") + "### " + show.get(role, "=" + role.replace(":", "\\c")) + ": "
+            spans += [(len(out), len(text))] if role == "assistant" else []
+            out, last = out + text, role
+        assert row.formatted == out + "</turn>\n" and [tuple(x) for x in row.loss_spans] == spans

@@ -6,7 +6,8 @@ escaped in texts (and the colon in unknown roles), so that every turn can be rea
 
 Defined cases: a null role or text is empty; turns are ordered by turn, then role, then text, nulls
 first, so ties and repeated rows are kept in a fixed order; rows with a null conv_id are one
-conversation; an empty table gives no rows; other columns are ignored.
+conversation; an empty table gives no rows; other columns are ignored, whatever their names. Work on a
+conversation grows with its text and, for the spans, with its turns to the power 1.5.
 
 The one group that meets in a task is a conversation, which is also one output row.
 """
@@ -57,37 +58,55 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    t = F.col("t")
+    # Where a role differs from the one before, a message begins; it takes all turns up to the next beginning.
+    n = F.size("t")
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("t", i - 1)["role"] != F.get("t", i - 2)["role"]))
+    ends = F.concat(F.slice("begins", F.lit(2), n), F.array(n + 1))
 
-    def piece(x: Column, i: Column) -> Column:
-        before, after = F.get(t, i - 1)["role"], F.get(t, i + 1)["role"]
-        same_before = F.coalesce(before == x["role"], F.lit(False))
-        same_after = F.coalesce(after == x["role"], F.lit(False))
+    def message(begin: Column, end: Column) -> Column:
+        role = F.get("t", begin - 1)["role"]
         return F.struct(
-            F.when(same_before, F.lit(JOIN)).otherwise(F.concat(F.lit(TURN_START), _shown(x["role"]), F.lit(": "))).alias("head"),
-            escape(x["text"]).alias("body"),
-            F.when(same_after, F.lit("")).otherwise(F.lit(TURN_END)).alias("tail"),
-            (x["role"] == "assistant").alias("loss"),
+            F.concat(F.lit(TURN_START), _shown(role), F.lit(": ")).alias("head"),
+            F.transform(F.slice("t", begin, end - begin), lambda x: escape(x["text"])).alias("bodies"),
+            (role == "assistant").alias("loss"),
         )
 
-    pieces = grouped.select("conv_id", F.transform("t", piece).alias("p"))
-    empty_spans = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    def parts(m: Column, k: Column) -> Column:
+        first = F.length(m["head"]) + F.when(k > 0, len(TURN_END)).otherwise(0)
+        return F.transform(
+            m["bodies"],
+            lambda body, j: F.struct(
+                F.when(j == 0, first).otherwise(len(JOIN)).cast("long").alias("skip"), F.length(body).cast("long").alias("length"), m["loss"].alias("loss")
+            ),
+        )
+
+    whole = F.array_join(F.transform("m", lambda m: F.concat(m["head"], F.array_join(m["bodies"], JOIN), F.lit(TURN_END))), "")
+    found = (
+        grouped.select("conv_id", "t", begins.alias("begins")).select("conv_id", "t", "begins", ends.alias("ends"))
+        .select("conv_id", F.zip_with("begins", "ends", message).alias("m"))
+        .select("conv_id", whole.alias("formatted"), F.flatten(F.transform("m", parts)).alias("p"))
+    )
+    return _spans(found).select("conv_id", "formatted", "loss_spans")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """loss_spans from p, an array of what stands before each body, its length, and whether it is under the loss.
+
+    The running sum goes by blocks of the square root of all parts, as an array that grows by one is copied each time.
+    """
+    width = F.ceil(F.sqrt(F.size("p"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size("p"), F.col("width")), lambda i: F.slice("p", i, F.col("width")))
+    size = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda acc, x: acc + x["skip"] + x["length"])
+    offsets = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + size(block)))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["head"])
-        size = F.length(x["body"]).cast("long")
-        span = F.struct(start.alias("start"), size.alias("length"))
-        return F.struct(
-            (start + size + F.length(x["tail"])).cast("long").alias("pos"),
-            F.when(x["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+        begin = acc["pos"] + x["skip"]
+        span = F.struct(begin.alias("start"), x["length"].alias("length"))
+        return F.struct((begin + x["length"]).alias("pos"), F.when(x["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), empty_spans.alias("spans"))
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
-        F.aggregate("p", start, step, lambda a: a["spans"]).alias("loss_spans"),
-    )
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    spans = F.transform("blocks", lambda block, i: F.aggregate(block, F.struct(F.get("offsets", i).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"]))
+    return found.withColumn("width", width).withColumn("blocks", blocks).withColumn("offsets", offsets).withColumn("loss_spans", F.flatten(spans))
 
 
 def read_turns(formatted: Column) -> Column:
