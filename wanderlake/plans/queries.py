@@ -427,4 +427,4 @@ select user_id, count(*) as edges, round(sum(abs(p - q)) / 2, 6) as total_variat
 def edge_shift(spark, sf_dir):
     return windows.edge_shift(home_office.from_events(spark, sf_dir).semantic)
 
-from . import alignment, archives, audits, bootstraps, habits, places, spatial, sweeps, zones  # noqa: E402,F401  (their queries register themselves)
+from . import alignment, anchors, archives, audits, bootstraps, habits, places, spatial, sweeps, zones  # noqa: E402,F401  (their queries register themselves)
