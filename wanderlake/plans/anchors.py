@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import anchors, reliability
+from ..sources.shared import shared_folder
 from . import home_office
 from .audits import _SECOND, BASE
 from .queries import query
@@ -27,11 +28,18 @@ rk as (select user_id, secondary_id, peers, metric, value, value is not null and
   coalesce(n > 0 and value >= most - 1e-12, false) as top1, case when value is not null then md end as peer_median, value - md as difference, coalesce(value > md, false) as beats from ow)"""
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once and read back: each of these has a few rows a user, and several readers that would work it out again."""
+    folder = shared_folder(df.sparkSession, "anchors")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def _metrics(spark, sf_dir) -> DataFrame:
     s = home_office.from_events(spark, sf_dir).semantic
-    homes = reliability.schedule_free_assignments(s).where("label = 'HOME'").select("user_id", F.col("location_id").alias("home_id"))
-    cohort = anchors.stable_cohort(reliability.secondary_patterns(reliability.secondary_windows(s, homes, 14, 7)), homes)
-    return anchors.anchor_metrics(s, cohort)
+    homes = _kept(reliability.schedule_free_assignments(s).where("label = 'HOME'").select("user_id", F.col("location_id").alias("home_id")))
+    windows = _kept(reliability.secondary_windows(s, homes, 14, 7))
+    return anchors.anchor_metrics(s, _kept(anchors.stable_cohort(reliability.secondary_patterns(windows), homes)))
 
 
 @query(_METRICS + " select * replace (round(visit_contrast, 6) as visit_contrast, round(home_pair_share, 6) as home_pair_share, round(arrival_concentration, 6) as arrival_concentration, round(dwell_regularity, 6) as dwell_regularity) from am")
