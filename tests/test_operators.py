@@ -92,3 +92,9 @@ def test_streaming_sessions_match_the_table(spark, tmp_path):
     q = sessions(stream, "300 seconds").writeStream.format("memory").queryName("sess").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("sess").collect()) == sorted(r.n for r in sessions(df, "300 seconds").collect()) == [2, 3]
+
+
+def test_first_heldout_takes_whole_seventieths(spark):
+    v = spark.range(90).selectExpr("1L as owner_id", "cast(id % 3 as string) as place_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id as int)) as observed_at", "cast(null as string) as origin_place_id")
+    train, target = recommend.first_heldout(v)
+    assert train.count() == 63 and target.first().query_at == dt.datetime(2024, 3, 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ def first_heldout(visits: DataFrame, train_fraction: float = 0.7) -> tuple[DataF
     w = Window.partitionBy("owner_id")
     n = F.count("*").over(w)
     v = visits.withColumns({"k": F.row_number().over(w.orderBy("observed_at", "place_id")), "n": n})
-    v = v.withColumn("cut", F.greatest(F.lit(3), F.floor(F.col("n") * train_fraction)))
+    # In decimals: 0.7 of 90 is 63, but 62.99... in doubles.
+    v = v.withColumn("cut", F.greatest(F.lit(3), F.floor(F.col("n") * F.lit(Decimal(str(train_fraction))))))
     target = v.where("k = cut + 1").select("owner_id", F.col("observed_at").alias("query_at"), F.col("origin_place_id").alias("origin"), F.col("place_id").alias("target"))
     return v.where("k <= cut").select(visits.columns), target
 
