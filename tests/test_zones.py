@@ -109,3 +109,13 @@ def test_zones_of_rows_and_of_stays(spark):
     stays = rows.selectExpr("id as user_id", "lat", "lon", "timestamp_ntz'2024-01-01 15:00:00' as arrival", "timestamp_ntz'2024-01-01 16:00:00' as departure")
     local = locate.with_local_time(stays, z, 0.5).collect()
     assert len(local) == 3 and {str(r.local_arrival) for r in local} == {"2024-01-02 00:00:00"}
+
+
+def test_points_on_slanted_borders_go_left(spark):
+    """Triangles with a slanted left or right side; points of two decimals on it, as doubles that lie a little beside it."""
+    left, right = [(117.4, 39.6), (118.1, 39.6), (117.7, 40.2)], [(116.6, 39.2), (117.3, 39.2), (116.9, 39.8)]
+    g = spark.createDataFrame([(0, bytearray(wkb.polygon([left]))), (1, bytearray(wkb.polygon([right])))], "zone_id int, wkb binary")
+    on_left = [(i, 39.6 + 0.02 * i, 117.4 + 0.01 * i) for i in range(1, 30)]
+    on_right = [(100 + i, 39.2 + 0.03 * i, 117.3 - 0.02 * i) for i in range(1, 20)]
+    got = set(map(tuple, zones.containing(spark.createDataFrame(on_left + on_right, "id int, lat double, lon double"), g, 0.05).collect()))
+    assert {p for p, k in got if k == 1} >= {p for p, _, _ in on_right} and not {p for p, k in got if k == 0 and p < 100}

@@ -2,6 +2,9 @@
 
 The plane is cut into cells. A geometry's segments are written once for each cell that they pass, so points and geometries meet in equi-joins on
 cells and rows of cells, never all with all. Coordinates are degrees, x the longitude; what crosses the line of 180 degrees must be cut there.
+
+Whether a polygon holds a point is told in whole ten-millionths of a degree (a centimetre): products of their differences fit in 64 bits, so points on a
+border go the same way in any engine.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from ..functions.geo import valid_point
 
 #: Metres of a degree of longitude at the equator, and of a degree of latitude.
 X_M, Y_M = 111_320.0, 110_574.0
+#: Fixed value: units of a degree in which polygons and points are compared.
+UNITS = 10_000_000
 
 
 def _row(y: Column, size: float) -> Column:
@@ -55,17 +60,21 @@ def cover(areas: DataFrame, key: str, size: float) -> DataFrame:
 
 
 def _left_of() -> Column:
-    """Whether the segment lies to the left of (px, py) at its height; the lower end counts, the upper does not."""
+    """Whether the segment lies to the left of (px, py) at its height; the lower end counts, the upper does not. Exact in whole units."""
     crosses = (F.col("y1") <= F.col("py")) != (F.col("y2") <= F.col("py"))
-    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(crosses, F.col("y2") - F.col("y1"))
-    return crosses & (at < F.col("px"))
+    along, across = (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")), (F.col("px") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return crosses & F.when(F.col("y2") > F.col("y1"), along < across).otherwise(along > across)
+
+
+def _units(degrees: str) -> Column:
+    return F.round(F.col(degrees) * UNITS).cast("long").alias(degrees)
 
 
 def containing(points: DataFrame, geometries: DataFrame, size: float, key: str = "zone_id") -> DataFrame:
     """id, key for every point (id, lat, lon) and polygon (key, wkb) that holds it. Holes are outside; overlapping polygons each count.
 
     Points in cells that lie whole in a polygon need the cell alone; the others count the polygon's segments to their left, in their row of
-    cells. A point on the border goes to the polygon above or right of it. Points without valid coordinates are in no zone; ids are those of the points.
+    cells. A point on the border goes to the polygon above or left of it. Points without valid coordinates are in no zone; ids are those of the points.
     """
     areas = wkb_functions.segments(geometries, key, "wkb").where("kind = 'area'")
     return _held(_valid(points), areas, size, key)
@@ -77,7 +86,9 @@ def _valid(points: DataFrame) -> DataFrame:
 
 def _held(ok: DataFrame, areas: DataFrame, size: float, key: str) -> DataFrame:
     """id, key of the points (px, py) within polygons, of which the segments are given."""
-    flat = areas.select(key, "x1", "y1", "x2", "y2")
+    size = size * UNITS
+    flat = areas.select(key, *[_units(c) for c in ("x1", "y1", "x2", "y2")])
+    ok = ok.select("id", _units("px"), _units("py"))
     runs = cover(flat, key, size).select(key, F.col("cy").alias("pcy"), F.explode(F.sequence("from_cx", "to_cx")).alias("pcx"), "inside")
     # A repeated point would count its crossings twice.
     hit = ok.select("id", "px", "py").distinct().select("id", "px", "py", _row(F.col("py"), size).alias("pcy"), _row(F.col("px"), size).alias("pcx")).join(runs, ["pcy", "pcx"])

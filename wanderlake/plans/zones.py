@@ -56,10 +56,12 @@ def _edges(ring, k: int, closed: bool = True) -> list[tuple]:
 _BOX = ((-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1))
 _GEOMETRIES = f"""
 with pt as (select c_custkey as id, 39.0 + c_custkey % 997 / 500.0 as py, 116.0 + c_custkey % 613 / 320.0 as px from customer),
+pu as (select id, round(py * {zones.UNITS})::bigint as py, round(px * {zones.UNITS})::bigint as px from pt),
 ct as (select n_nationkey as g, 116.2 + n_nationkey % 5 * 0.4 as x, 39.2 + n_nationkey // 5 * 0.4 as y, case when n_nationkey % 7 = 0 then 3 when n_nationkey % 3 = 2 then 2 else 1 end as kind from nation),
 ed(kind, a, b, c, d) as (values {_values([*_edges(RING, 1), *_edges(HOLE, 1), *_edges(LINE, 2, False), *_edges(_BOX, 3)])}),
 sg as (select g, kind, x + a as x1, y + b as y1, x + c as x2, y + d as y2 from ct join ed using (kind)),
-hd as (select id, g, sum(case when (y1 <= py) <> (y2 <= py) and x1 + (py - y1) * (x2 - x1) / nullif(y2 - y1, 0) < px then 1 else 0 end) % 2 = 1 as holds from pt cross join sg where kind <> 2 group by id, g)
+su as (select g, round(x1 * {zones.UNITS})::bigint as x1, round(y1 * {zones.UNITS})::bigint as y1, round(x2 * {zones.UNITS})::bigint as x2, round(y2 * {zones.UNITS})::bigint as y2 from sg where kind <> 2),
+hd as (select id, g, sum(case when (y1 <= py) <> (y2 <= py) and case when y2 > y1 then (py - y1) * (x2 - x1) < (px - x1) * (y2 - y1) else (py - y1) * (x2 - x1) > (px - x1) * (y2 - y1) end then 1 else 0 end) % 2 = 1 as holds from pu cross join su group by id, g)
 """
 
 
