@@ -1,14 +1,17 @@
 """Geohash cells, diameters and raster windows against plain versions."""
 
 import collections
+import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from wanderlake.functions import geo
 from wanderlake.operators import spatial
 from wanderlake.operators.stays import distances_m
+from wanderlake.plans import queries as plans
 
 
 def test_geohash_there_and_back(spark):
@@ -60,3 +63,13 @@ def test_even_samples(spark):
         got[x.g].append(x.i)
     assert sorted(got["a"]) == np.linspace(0, 16, 5, dtype=int).tolist() and sorted(got["b"]) == [0, 1, 2]
     assert spatial.evenly_spaced(df, "g", "i", 1).count() == 2
+
+
+def test_homes_of_even_medians_match_the_sql(spark, tmp_path):
+    """The middle of 39.96 and 39.96005 is 39.960025, which has more places than either; 39.96002 is in another cell."""
+    rows = [(4 * (k + 1 + k // 2), dt.datetime(2024, 1, 2 + k, 14, 45), 6, "view") for k in range(10)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [r.geohash7 for r in plans.QUERIES["monthly_geohash_homes"](spark, str(tmp_path)).collect()]
+    assert got == [r[0] for r in c.sql(f"select geohash7 from ({plans.SQL['monthly_geohash_homes']})").fetchall()] and len(got) == 1

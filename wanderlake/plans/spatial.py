@@ -25,7 +25,7 @@ def _chosen(source: str, code: str) -> str:
   from {source} a join (select user_id, ym, count(distinct d) as days from {source} group by user_id, ym) b on a.user_id = b.user_id and a.ym = b.ym group by a.user_id, a.ym, {code}) where od >= 3 and od > days * 0.5 and hd >= 2) where k1 <= 3) where k2 = 1"""
 
 
-_HOMES = STAYS + f""", lc as (select user_id, location_id, median(39.90 + 0.01 * (user_id % 50) + 0.005 * place + 0.00005 * (event_id % 3 - 1)) as lat, median(116.40 + 0.004 * place) as lon from s group by all),
+_HOMES = STAYS + f""", lc as (select user_id, location_id, median((39.90 + 0.01 * (user_id % 50) + 0.005 * place + 0.00005 * (event_id % 3 - 1))::double) as lat, median((116.40 + 0.004 * place)::double) as lon from s group by all),
 gh as ({_code(7, "lc")}),
 ob as (select hr.user_id as user_id, hat, strftime(hat, '%Y-%m') as ym, cast(hat as date) as d, code as g7, substr(code, 1, 6) as g6, cla, clo, case when hour(hat) < 6 then cast(hat as date) - 1 when hour(hat) >= 21 then cast(hat as date) end as nd
   from (select s.user_id as user_id, s.location_id as location_id, unnest(generate_series(date_trunc('hour', la), date_trunc('hour', ld), interval 1 hour)) as hat from s) hr join gh on gh.user_id = hr.user_id and gh.location_id = hr.location_id),
