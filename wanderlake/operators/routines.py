@@ -40,12 +40,12 @@ def day_moves(segments: DataFrame) -> DataFrame:
 
 
 def edges(moves: DataFrame, sequences: DataFrame) -> DataFrame:
-    """A row an edge: moves, active days (also by weekday), mean hour and its concentration, shares of days and moves, whether repeated."""
+    """A row an edge: moves, active days (also by weekday), mean hour and its concentration (rounded, so that ties are ties), shares of days and moves, whether repeated."""
     week = F.when(F.weekday("local_date") < 5, F.col("local_date"))
     end = F.when(F.weekday("local_date") >= 5, F.col("local_date"))
     g = moves.groupBy("user_id", "origin", "destination").agg(
         F.count("*").alias("moves"), F.countDistinct("local_date").alias("days"), F.countDistinct(week).alias("week_days"), F.countDistinct(end).alias("weekend_days"),
-        circular_mean_hour(F.col("departure_hour")).alias("hour"), circular_concentration(F.col("departure_hour")).alias("concentration"),
+        circular_mean_hour(F.col("departure_hour")).alias("hour"), F.round(circular_concentration(F.col("departure_hour")), 9).alias("concentration"),
     )
     support = sequences.groupBy("user_id").agg(F.count("*").alias("usable_days"))
     share = F.col("moves") / F.sum("moves").over(Window.partitionBy("user_id"))

@@ -23,7 +23,7 @@ sg as (select user_id, ldate, seg, location_id, min(ts) as a, max(ts) + interval
 sq as (select user_id, ldate, string_agg('L' || location_id, '>' order by seg) as motif, count(*) as segments, count(*) - 1 as moves from sg group by user_id, ldate),
 mv as (select * from (select user_id, ldate, seg, location_id as o, lead(location_id) over w as de, lead(a) over w as na, b, hour(lft) + minute(lft) / 60.0 + second(lft) / 3600.0 as dh from sg window w as (partition by user_id, ldate order by seg)) where de is not null),
 eg0 as (select user_id, o, de, count(*) as moves, count(distinct ldate) as days, count(distinct ldate) filter (isodow(ldate) <= 5) as wd, count(distinct ldate) filter (isodow(ldate) > 5) as we, avg(sin(dh * pi() / 12)) as sn, avg(cos(dh * pi() / 12)) as cs from mv group by user_id, o, de),
-eg as (select eg0.*, sqrt(sn * sn + cs * cs) as conc, days / ud as day_share, eg0.moves / sum(eg0.moves) over (partition by eg0.user_id) as move_share, days >= 2 as repeated from eg0 join (select user_id, count(*) as ud from sq group by user_id) using (user_id))
+eg as (select eg0.*, round(sqrt(sn * sn + cs * cs), 9) as conc, days / ud as day_share, eg0.moves / sum(eg0.moves) over (partition by eg0.user_id) as move_share, days >= 2 as repeated from eg0 join (select user_id, count(*) as ud from sq group by user_id) using (user_id))
 """
 
 
