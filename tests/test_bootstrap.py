@@ -54,3 +54,12 @@ def test_equal_hours_of_both_sides(spark):
     assert {p for p, _ in got} == {1} and all(r.replicates == 12 for r in got.values())
     assert abs(got[1, "distance_km_per_hour"].median - (36.0 - 3.6)) < 1e-9
     assert got[1, "motorized_distance_share"].low == 1.0 and got[1, "active_distance_share"].high == -1.0
+
+
+def test_equal_sides_differ_by_exactly_zero(spark):
+    """Both sides hold the same segments, so a replicate takes all of them, added in orders of their own."""
+    parts = [(i, 600.0 + 0.1 * i, 100.0 / (i + 3), i % 3 == 0, i % 5 == 0) for i in range(60)]
+    s = spark.createDataFrame([(u, *p) for u in (2, 3) for p in parts], "user_id long, i int, duration_s double, distance_m double, motorized boolean, active boolean")
+    pairs = spark.createDataFrame([(2, 2, 3)], "pair long, candidate long, control long")
+    for r in bootstrap.transport_bootstrap(s, pairs, ["i"], 20, 7, 1.0).collect():
+        assert (r.low, r.median, r.high, r.over_zero) == (0.0, 0.0, 0.0, 0.0)
