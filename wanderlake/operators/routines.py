@@ -45,8 +45,10 @@ def edges(moves: DataFrame, sequences: DataFrame) -> DataFrame:
     end = F.when(F.weekday("local_date") >= 5, F.col("local_date"))
     g = moves.groupBy("user_id", "origin", "destination").agg(
         F.count("*").alias("moves"), F.countDistinct("local_date").alias("days"), F.countDistinct(week).alias("week_days"), F.countDistinct(end).alias("weekend_days"),
-        circular_mean_hour(F.col("departure_hour")).alias("hour"), F.round(circular_concentration(F.col("departure_hour")), 9).alias("concentration"),
+        F.round(circular_mean_hour(F.col("departure_hour")), 9).alias("hour"), F.round(circular_concentration(F.col("departure_hour")), 9).alias("concentration"),
     )
+    # Hours that cancel out have no mean; a mean of midnight is 0, on whichever side rounding leaves it.
+    g = g.withColumn("hour", F.when(F.col("concentration") > 0, F.when(F.col("hour") < 24, F.col("hour")).otherwise(0.0)))
     support = sequences.groupBy("user_id").agg(F.count("*").alias("usable_days"))
     share = F.col("moves") / F.sum("moves").over(Window.partitionBy("user_id"))
     return g.join(support, "user_id").withColumns({"day_share": F.col("days") / F.col("usable_days"), "move_share": share, "repeated": F.col("days") >= REPEAT_DAYS})

@@ -43,7 +43,7 @@ def day_moves(spark, sf_dir):
     return _routine(spark, sf_dir)[1]
 
 
-@query(_SEG + """select user_id, o::bigint as origin, de::bigint as destination, moves, days, wd as week_days, we as weekend_days, round(case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end, 6) as hour, round(conc, 6) as concentration,
+@query(_SEG + """select user_id, o::bigint as origin, de::bigint as destination, moves, days, wd as week_days, we as weekend_days, round(case when conc > 0 then case when round(case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end, 9) < 24 then round(case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end, 9) else 0 end end, 6) as hour, round(conc, 6) as concentration,
   round(day_share, 6) as day_share, round(move_share, 6) as move_share, repeated from eg""")
 def routine_edges(spark, sf_dir):
     return _routine(spark, sf_dir)[2].drop("usable_days")
