@@ -31,3 +31,11 @@ def test_matches_sql(spark, name):
     spark.catalog.clearCache()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_stays_are_found_once_for_both_cutoffs(spark, monkeypatch):
+    calls, find = [], queries.home_office.from_events
+    monkeypatch.setattr(queries.home_office, "from_events", lambda *a: calls.append(a) or find(*a))
+    queries.QUERIES["cutoff_discordance"](spark, SF)
+    spark.catalog.clearCache()
+    assert len(calls) == 1

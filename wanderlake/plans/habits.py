@@ -153,8 +153,8 @@ def _future_sql(f: str, label: str = "HOME") -> str:
 fu as (select em.user_id, em.location_id, count(distinct d) as opportunity, count(distinct d) filter (fd.location_id = em.location_id) as same, count(distinct d) filter (fd.location_id <> em.location_id) as other from em left join fd on fd.user_id = em.user_id group by all)"""
 
 
-def _future(spark, sf_dir, fraction: float) -> DataFrame:
-    parts = forward.cut_by_dates(_semantic(spark, sf_dir).semantic, fraction)
+def _future(semantic: DataFrame, fraction: float) -> DataFrame:
+    parts = forward.cut_by_dates(semantic, fraction)
     train = parts.where("part = 'train'")
     top = evidence.emit(evidence.top_candidate(evidence.window_features(train, locate.summarize_locations(train), evidence.HOME), evidence.HOME), evidence.HOME)
     return forward.future_windows(top.select("user_id", "location_id", "share"), parts.where("part = 'future'"), evidence.HOME)
@@ -162,13 +162,14 @@ def _future(spark, sf_dir, fraction: float) -> DataFrame:
 
 @query(_CUT.replace("{f}", "0.7") + "," + _future_sql("0.7") + " select user_id, location_id::bigint as location_id, opportunity, same, other, opportunity > 0 as assessable, same > 0 as reappears from fu")
 def future_windows(spark, sf_dir):
-    return _future(spark, sf_dir, 0.7).drop("share")
+    return _future(_semantic(spark, sf_dir).semantic, 0.7).drop("share")
 
 
 @query(BASE + ", " + ", ".join(f"{n} as (select user_id, same > 0 as r from (with" + _CUT.replace("{f}", f)[len(BASE):].lstrip().removeprefix(",") + "," + _future_sql(f) + " select * from fu))" for n, f in (("xa", "0.6"), ("xb", "0.8")))
        + " select count(*) as pairs, count(*) filter (xa.r and xb.r) as both, count(*) filter (xa.r and not xb.r) as early_only, count(*) filter (not xa.r and xb.r) as late_only, count(*) filter (not xa.r and not xb.r) as neither from xa join xb using (user_id)")
 def cutoff_discordance(spark, sf_dir):
-    return forward.discordance(_future(spark, sf_dir, 0.6), _future(spark, sf_dir, 0.8), ["user_id"], "reappears")
+    semantic = _semantic(spark, sf_dir).semantic  # found and kept once for both cuts
+    return forward.discordance(_future(semantic, 0.6), _future(semantic, 0.8), ["user_id"], "reappears")
 
 
 @query(BASE + """, ds as (select distinct user_id, cast(ts as date) as d from s0), rk as (select *, row_number() over (partition by user_id order by ('0x' || substr(sha256('0.3|7|' || user_id || '|' || d), 1, 8))::bigint / 4294967296.0, d) as r, count(*) over (partition by user_id) as n from ds)
