@@ -113,6 +113,6 @@ def transport_bootstrap(segments: DataFrame, pairs: DataFrame, key: list[str], r
     g = used.groupBy("pair", "is_candidate", "r").agg(F.sum(part).alias("_m"), F.sum("_used").alias("_s"), F.sum(F.when(F.col("motorized"), part).otherwise(0.0)).alias("_mm"), F.sum(F.when(F.col("active"), part).otherwise(0.0)).alias("_am"))
     share = lambda c: F.when(F.col("_m") > 0, F.col(c) / F.when(F.col("_m") > 0, F.col("_m"))).otherwise(0.0)
     means = g.select("pair", "is_candidate", "r", (F.col("_m") / 1000 / (F.col("_s") / 3600)).alias("distance_km_per_hour"), share("_mm").alias("motorized_distance_share"), share("_am").alias("active_distance_share"))
-    # Rounded, so that equal sides differ by 0 in whatever order their parts are added.
-    differences = _differences(means, ["distance_km_per_hour", "motorized_distance_share", "active_distance_share"]).withColumn("difference", F.round("difference", 9))
+    # Below rounding errors a difference is 0, so that equal sides differ by 0 in whatever order their parts are added.
+    differences = _differences(means, ["distance_km_per_hour", "motorized_distance_share", "active_distance_share"]).withColumn("difference", F.when(F.abs("difference") < 1e-9, 0.0).otherwise(F.col("difference")))
     return _summary(differences, ["pair", "metric"])

@@ -40,15 +40,15 @@ def day_moves(segments: DataFrame) -> DataFrame:
 
 
 def edges(moves: DataFrame, sequences: DataFrame) -> DataFrame:
-    """A row an edge: moves, active days (also by weekday), mean hour and its concentration (rounded, so that ties are ties), shares of days and moves, whether repeated."""
+    """A row an edge: moves, active days (also by weekday), mean hour and its concentration, shares of days and moves, whether repeated."""
     week = F.when(F.weekday("local_date") < 5, F.col("local_date"))
     end = F.when(F.weekday("local_date") >= 5, F.col("local_date"))
     g = moves.groupBy("user_id", "origin", "destination").agg(
         F.count("*").alias("moves"), F.countDistinct("local_date").alias("days"), F.countDistinct(week).alias("week_days"), F.countDistinct(end).alias("weekend_days"),
-        F.round(circular_mean_hour(F.col("departure_hour")), 9).alias("hour"), F.round(circular_concentration(F.col("departure_hour")), 9).alias("concentration"),
+        circular_mean_hour(F.col("departure_hour")).alias("hour"), circular_concentration(F.col("departure_hour")).alias("concentration"),
     )
     # Hours that cancel out have no mean; a mean of midnight is 0, on whichever side rounding leaves it.
-    g = g.withColumn("hour", F.when(F.col("concentration") > 0, F.when(F.col("hour") < 24, F.col("hour")).otherwise(0.0)))
+    g = g.withColumn("hour", F.when(F.round("concentration", 9) > 0, F.when(F.col("hour") < 24 - 5e-10, F.col("hour")).otherwise(0.0)))
     support = sequences.groupBy("user_id").agg(F.count("*").alias("usable_days"))
     share = F.col("moves") / F.sum("moves").over(Window.partitionBy("user_id"))
     return g.join(support, "user_id").withColumns({"day_share": F.col("days") / F.col("usable_days"), "move_share": share, "repeated": F.col("days") >= REPEAT_DAYS})
@@ -90,7 +90,7 @@ def recurrence_grid(edge: DataFrame, day_thresholds: tuple[int, ...] = (2, 3, 5)
     from .relational import with_grid
 
     g = with_grid(edge.select("user_id", "days", "concentration"), least_days=day_thresholds, least_concentration=concentrations)
-    ok = (F.col("days") >= F.col("least_days")) & (F.col("concentration") >= F.col("least_concentration"))
+    ok = (F.col("days") >= F.col("least_days")) & (F.round("concentration", 9) >= F.col("least_concentration"))
     return g.groupBy("least_days", "least_concentration").agg(F.count_if(ok).alias("edges"), F.countDistinct(F.when(ok, F.col("user_id"))).alias("users"))
 
 

@@ -62,7 +62,7 @@ dr as (select sg.*, r, target, coalesce(sum(s) over (partition by sg.pair, cand,
 us as (select *, least(s, target - before) as used from dr),
 gg as (select pair, cand, r, sum(m * used / s) as m, sum(used) as s, sum(case when mot then m * used / s else 0 end) as mm, sum(case when act then m * used / s else 0 end) as am from us where used > 0 group by pair, cand, r),
 me as (select pair, cand, r, unnest(['distance_km_per_hour', 'motorized_distance_share', 'active_distance_share']) as metric, unnest([m / 1000 / (s / 3600), case when m > 0 then mm / m else 0 end, case when m > 0 then am / m else 0 end]) as val from gg),
-df as (select pair, r, metric, round(max(val) filter (cand) - max(val) filter (not cand), 9) as difference from me group by pair, r, metric)
+df as (select pair, r, metric, case when abs(max(val) filter (cand) - max(val) filter (not cand)) < 1e-9 then 0.0 else max(val) filter (cand) - max(val) filter (not cand) end as difference from me group by pair, r, metric)
 """ + _SUMMARY)
 def transport_bootstrap(spark, sf_dir):
     v = visits(table(spark, sf_dir, "events"))

@@ -23,7 +23,7 @@ sg as (select user_id, ldate, seg, location_id, min(ts) as a, max(ts) + interval
 sq as (select user_id, ldate, string_agg('L' || location_id, '>' order by seg) as motif, count(*) as segments, count(*) - 1 as moves from sg group by user_id, ldate),
 mv as (select * from (select user_id, ldate, seg, location_id as o, lead(location_id) over w as de, lead(a) over w as na, b, hour(lft) + minute(lft) / 60.0 + second(lft) / 3600.0 as dh from sg window w as (partition by user_id, ldate order by seg)) where de is not null),
 eg0 as (select user_id, o, de, count(*) as moves, count(distinct ldate) as days, count(distinct ldate) filter (isodow(ldate) <= 5) as wd, count(distinct ldate) filter (isodow(ldate) > 5) as we, avg(sin(dh * pi() / 12)) as sn, avg(cos(dh * pi() / 12)) as cs from mv group by user_id, o, de),
-eg as (select eg0.*, round(sqrt(sn * sn + cs * cs), 9) as conc, days / ud as day_share, eg0.moves / sum(eg0.moves) over (partition by eg0.user_id) as move_share, days >= 2 as repeated from eg0 join (select user_id, count(*) as ud from sq group by user_id) using (user_id))
+eg as (select eg0.*, sqrt(sn * sn + cs * cs) as conc, days / ud as day_share, eg0.moves / sum(eg0.moves) over (partition by eg0.user_id) as move_share, days >= 2 as repeated from eg0 join (select user_id, count(*) as ud from sq group by user_id) using (user_id))
 """
 
 
@@ -43,7 +43,7 @@ def day_moves(spark, sf_dir):
     return _routine(spark, sf_dir)[1]
 
 
-@query(_SEG + """select user_id, o::bigint as origin, de::bigint as destination, moves, days, wd as week_days, we as weekend_days, round(case when conc > 0 then case when round(case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end, 9) < 24 then round(case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end, 9) else 0 end end, 6) as hour, round(conc, 6) as concentration,
+@query(_SEG + """select user_id, o::bigint as origin, de::bigint as destination, moves, days, wd as week_days, we as weekend_days, round(case when round(conc, 9) > 0 then case when case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end < 24 - 5e-10 then case when atan2(sn, cs) < 0 then atan2(sn, cs) * 12 / pi() + 24 else atan2(sn, cs) * 12 / pi() end else 0 end end, 6) as hour, round(conc, 6) as concentration,
   round(day_share, 6) as day_share, round(move_share, 6) as move_share, repeated from eg""")
 def routine_edges(spark, sf_dir):
     return _routine(spark, sf_dir)[2].drop("usable_days")
@@ -69,7 +69,7 @@ def top_edge_halves(spark, sf_dir):
     return routines.top_edge_halves(moves, sequences)
 
 
-@query(_SEG + """select a as least_days, b::double as least_concentration, count(*) filter (days >= a and conc >= b) as edges, count(distinct user_id) filter (days >= a and conc >= b) as users from eg cross join (values (2), (3), (5)) x(a) cross join (values (0.5), (0.7), (0.9)) y(b) group by all""")
+@query(_SEG + """select a as least_days, b::double as least_concentration, count(*) filter (days >= a and round(conc, 9) >= b) as edges, count(distinct user_id) filter (days >= a and round(conc, 9) >= b) as users from eg cross join (values (2), (3), (5)) x(a) cross join (values (0.5), (0.7), (0.9)) y(b) group by all""")
 def recurrence_grid(spark, sf_dir):
     return routines.recurrence_grid(_routine(spark, sf_dir)[2])
 
