@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import cell, valid_point
 from .stays import ROWS, distances_m
@@ -22,6 +23,9 @@ ZONES = (
     ("Europe/London", 49.9, 59.0, -8.0, 1.8),
 )
 
+#: Points so few that all their distances are measured at once.
+FEW = 64
+
 
 def with_local_time(stays: DataFrame, zones: DataFrame | None = None, size_deg: float = 0.25) -> DataFrame:
     """Adds timezone_id, local arrival and departure (wall clock). Stays without a zone are dropped.
@@ -62,7 +66,7 @@ def localized(rows: DataFrame) -> DataFrame:
 def near_pairs(lat: np.ndarray, lon: np.ndarray, most_m: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of points at most most_m apart, each once: only points of the same or touching cells are compared, a cell at a time."""
     n = len(lat)
-    if n < 64:
+    if n < FEW:
         i, j = np.triu_indices(n, 1)
         near = distances_m(lat[i], lon[i], lat[j], lon[j]) <= most_m
         return i[near], j[near]
@@ -106,8 +110,10 @@ def chained(lat: np.ndarray, lon: np.ndarray, step_m: float) -> np.ndarray:
 def complete_link(lat: np.ndarray, lon: np.ndarray, most_m: float) -> np.ndarray:
     """Clusters in which no two members are over most_m apart: the nearest two are merged while that holds.
 
-    No cluster leaves a group that steps of most_m connect, so groups are clustered apart; a group's distances are held at once.
+    No cluster leaves a group that steps of most_m connect, so groups of many points are clustered apart; a group's distances are held at once.
     """
+    if 0 < len(lat) < FEW:
+        return _merged(lat, lon, most_m)
     group = chained(lat, lon, most_m)
     label = group.copy()
     names, size = np.unique(group, return_counts=True)
@@ -150,26 +156,40 @@ def merges(lat: np.ndarray, lon: np.ndarray, most_m: float) -> Iterator[tuple[in
 
 
 METHODS = {"complete_link": complete_link, "dbscan": chained}
-SPOTS = "user_id long, lat double, lon double, location_id long"
+
+
+def spots(user: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different spot of a user, in the order of rows, and for each row the number of its spot. A user's rows stand together."""
+    number = np.cumsum(np.append(False, user[1:] != user[:-1]))
+    # By bits, with one NaN and one zero.
+    y, x = (np.where(np.isnan(v), np.nan, v + 0.0).view(np.int64) for v in (lat, lon))
+    order = np.lexsort((x, y, number))
+    new = np.append(True, (np.diff(number[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(x[order]) != 0))
+    first = order[new]
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    spot = np.empty(len(user), np.int64)
+    spot[order] = place[np.cumsum(new) - 1]
+    return np.sort(first), spot
 
 
 def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m: float = 200.0) -> DataFrame:
     """stays with location_id, numbered by first arrival within a user.
 
-    Only a user's different spots go through the kernel, many users in one call; the numbers are joined back to the stays.
+    Only a user's different spots go through the kernel, many users in one call; the stays pass by and take the numbers of their spots, so nothing is joined.
     """
     kernel = METHODS[method]
-    # NaN and -0.0 aside, doubles that are equal join; the group normalises both.
-    spots = stays.groupBy("user_id", "lat", "lon").agg(F.min(F.struct("arrival", "departure")).alias("first"))
 
-    def located(t: pa.Table) -> pa.RecordBatch:
+    def located(t: pa.Table) -> Iterator[pa.RecordBatch]:
         user, lat, lon = (np.asarray(t[c]) for c in ("user_id", "lat", "lon"))
-        cuts = np.flatnonzero(np.append(True, user[1:] != user[:-1]))
-        number = np.empty(len(user), np.int64)
-        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(user)).tolist(), strict=True):
-            _, first, back = np.unique(kernel(lat[lo:hi], lon[lo:hi], threshold_m), return_index=True, return_inverse=True)
-            number[lo:hi] = np.argsort(np.argsort(first))[back]
-        return pa.RecordBatch.from_arrays([pa.array(user), pa.array(lat), pa.array(lon), pa.array(number)], names=["user_id", "lat", "lon", "location_id"])
+        first, spot = spots(user, lat, lon)
+        owner, lat, lon = user[first], lat[first], lon[first]
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        number = np.empty(len(first), np.int64)
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(first)).tolist(), strict=True):
+            _, at, back = np.unique(kernel(lat[lo:hi], lon[lo:hi], threshold_m), return_index=True, return_inverse=True)
+            number[lo:hi] = np.argsort(np.argsort(at))[back]
+        yield from t.append_column("location_id", pa.array(number[spot])).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,13 +201,13 @@ def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m:
             user = np.asarray(t["user_id"])
             cut = int(np.flatnonzero(np.append(True, user[1:] != user[:-1]))[-1])
             if cut:
-                yield located(t.slice(0, cut))
+                yield from located(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
         if any(b.num_rows for b in held):
-            yield located(pa.Table.from_batches(held))
+            yield from located(pa.Table.from_batches(held))
 
-    sorted_spots = spots.repartition("user_id").sortWithinPartitions("user_id", "first", "lat", "lon").select(F.col("user_id").cast("long").alias("user_id"), "lat", "lon")
-    return stays.join(sorted_spots.mapInArrow(run, SPOTS), ["user_id", "lat", "lon"]).select(*stays.columns, "location_id")
+    known = stays.where("user_id is not null and lat is not null and lon is not null")
+    return known.repartition("user_id").sortWithinPartitions("user_id", "arrival", "departure", "lat", "lon").mapInArrow(run, T.StructType([*stays.schema, T.StructField("location_id", T.LongType())]))
 
 
 def summarize_locations(semantic: DataFrame) -> DataFrame:

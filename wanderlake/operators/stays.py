@@ -120,11 +120,11 @@ def detect_staypoints(cleaned: DataFrame, distance_threshold_m: float = 200.0, m
             yield rows(pa.Table.from_batches(held))
 
     lone = cleaned.select(F.col("user_id").cast("long").alias("user_id"), F.col("sequence_id").cast("long").alias("sequence_id"), "ts", "lat", "lon")
-    # Dealt by sequence, so that no user is bound to one task; sequences shorter than the dwell never reach Python.
+    # Cleaned points lie by user, and so do their sequences: they are dealt out by sequence only if they lie otherwise. Sequences shorter than the dwell never reach Python.
     w = Window.partitionBy("user_id", "sequence_id").orderBy("ts")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     span = F.timestamp_diff("MICROSECOND", F.first("ts").over(whole), F.last("ts").over(whole)) / 1e6
-    dealt = lone.repartition("user_id", "sequence_id").withColumn("span", span).where(F.col("span") >= min_dwell_s).drop("span")
+    dealt = lone.withColumn("span", span).where(F.col("span") >= min_dwell_s).drop("span")
     return dealt.sortWithinPartitions("user_id", "sequence_id", "ts").mapInArrow(run, STAYS)
 
 

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean, evidence, locate, stays
+from ..sources.shared import kept
 from ..sources.trajectories import points, table
 
 
 @dataclass(frozen=True)
 class Located:
-    """Stays with places (kept in storage until released) and a row a place."""
+    """Stays with places (a table in the shared folder) and a row a place."""
 
     semantic: DataFrame
     locations: DataFrame
@@ -26,8 +27,8 @@ def detect(points_df: DataFrame) -> DataFrame:
 
 
 def locate_stays(stays_df: DataFrame, method: str = "complete_link", threshold_m: float = 200.0, zones: DataFrame | None = None) -> Located:
-    # Kept, since the kernels behind it are dear and every consumer reads it more than once; lost blocks are computed again.
-    semantic = locate.cluster_stays(locate.with_local_time(stays_df, zones), method, threshold_m).persist()
+    # Written once, since the kernels behind it are dear and consumers read it many times; a cached table would keep its first number of partitions for each of them.
+    semantic = kept(locate.cluster_stays(locate.with_local_time(stays_df, zones), method, threshold_m), "stays")
     return Located(semantic, locate.summarize_locations(semantic))
 
 

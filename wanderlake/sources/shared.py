@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/wanderlake-{name}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once under the shared folder and read from there, so that each of many readers takes as many tasks as its own rows need."""
+    uri = shared_folder(df.sparkSession, name)
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
