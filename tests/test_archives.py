@@ -63,3 +63,27 @@ def test_summaries_of_trajectories(spark, files):
 def test_missing_archive(spark, files):
     with pytest.raises(Exception, match="nothing.zip"):
         archives.member_lines(spark, str(files / "nothing.zip")).count()
+
+
+def test_archives_are_bounded_and_small_members_share_batches(spark, tmp_path):
+    rows_in = spark.range(200).selectExpr("concat('d/', id % 40, '/t/', id, '.plt') as member", "explode(sequence(0, 2)) as place").selectExpr("member", "place", "concat('line ', place) as value")
+    written = archives.write_zip(rows_in.coalesce(1), f"file://{tmp_path}/out", members=16).collect()
+    assert sum(r.members for r in written) == 200 and max(r.members for r in written) == 16
+    for r in written:
+        assert len(zipfile.ZipFile(r.archive.removeprefix("file://")).namelist()) == r.members
+    lines = archives.member_lines(spark, f"file://{tmp_path}/out")
+    assert sorted(lines.select("member", "line_no", "value").collect()) == sorted(rows_in.selectExpr("member", "cast(place as long) as line_no", "value").collect())
+    reader = archives.ZipReader({"path": str(tmp_path / "out")})
+    # A batch an archive, not a batch a member.
+    assert all(sum(1 for _ in reader.read(p)) == 1 for p in reader.partitions())
+
+
+def test_lines_over_the_limit_of_a_batch(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k, n in enumerate((3, 0, 9, 4, 1)):
+            z.writestr(f"{k}.txt", "".join(f"{k}:{i}\n" for i in range(n)))
+    monkeypatch.setattr(archives, "LINES", 4)
+    reader = archives.ZipReader({"path": str(tmp_path / "a.zip")})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [b.num_rows for b in batches] == [4, 4, 4, 4, 1]
+    assert [(m, n, v) for b in batches for m, n, v in zip(*(b[c].to_pylist() for c in ("member", "line_no", "value")))] == [(f"{k}.txt", i, f"{k}:{i}") for k, n in enumerate((3, 0, 9, 4, 1)) for i in range(n)]

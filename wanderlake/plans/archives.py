@@ -25,7 +25,7 @@ def packed(spark: SparkSession, sf_dir: str) -> str:
     line = F.concat_ws(",", number("lat"), number("lon"), F.lit("0"), F.lit("0"), F.lit("0"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"))
     member = F.concat(F.lit("Data/"), F.col("user_id").cast("string"), F.lit("/Trajectory/"), F.date_format("ts", "yyyyMMdd"), F.lit(".plt"))
     rows = p.select(member.alias("member"), F.struct(F.lit(1).alias("part"), F.col("ts"), F.col("event_id")).alias("place"), line.alias("value"))
-    heads = rows.groupBy("member").agg(F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("header "), i.cast("string")))).alias("value"))
+    heads = rows.select("member").distinct().withColumn("value", F.lit("\n".join(f"header {i}" for i in range(1, 7))))
     none = F.struct(F.lit(0).alias("part"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("event_id"))
     uri = shared_folder(spark, "archives")
     archives.write_zip(rows.unionByName(heads.select("member", none.alias("place"), "value")), uri).count()

@@ -1,7 +1,7 @@
 """ZIP archives as a table: a row a line of a member, or a row a member.
 
-A partition is a run of members of one archive, of about ``RANGE_BYTES`` compressed bytes. Only the central directory is read to plan them; a task
-opens the archive at the members' places and unpacks them as a stream, so neither an archive nor a member is ever held whole. Files are opened by
+A partition is a run of members of one archive, of about ``RANGE_BYTES`` compressed bytes. Only the central directory is read to plan them, and not even
+that of an archive that is no larger, or where members are only listed; a task opens the archive at the members' places and unpacks them as a stream, so neither an archive nor a member is ever held whole. Files are opened by
 Arrow's file systems (local paths, ``file:``, ``hdfs:``, ``s3:`` and so on). Directories in an archive are left out; an encrypted or broken member fails the task.
 """
 
@@ -21,6 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .trajectories import HEADER_LINES, trajectory_rows
 
 RANGE_BYTES, LINES = 32 << 20, 1 << 16
+#: Members of an archive that is written: its directory is held while it is written and whenever it is read.
+MEMBERS = 8192
+#: An archive without members and without a comment.
+EMPTY_BYTES = 22
 LINE_SCHEMA = "archive string, member string, line_no long, value string"
 MEMBER_SCHEMA = "archive string, member string, size long, compressed long"
 
@@ -64,8 +68,8 @@ def _archive(uri: str) -> Iterator[zipfile.ZipFile]:
         yield archive
 
 
-def archives_under(uri: str) -> list[str]:
-    """The archive itself, or all files under a folder that end in .zip, by name."""
+def archives_under(uri: str) -> list[tuple[str, int]]:
+    """The archive itself, or all files under a folder that end in .zip, by name, and their bytes."""
     from pyarrow import fs
 
     system, path = _opened(uri)
@@ -73,17 +77,17 @@ def archives_under(uri: str) -> list[str]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(uri)
     if info.type == fs.FileType.File:
-        return [uri]
+        return [(uri, info.size)]
     prefix = uri.rstrip("/").removesuffix(path.rstrip("/"))
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(prefix + x.path for x in found if x.type == fs.FileType.File and x.path.lower().endswith(".zip"))
+    return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith(".zip"))
 
 
 @dataclass
 class Members(InputPartition):
     archive: str
     first: int
-    last: int
+    last: int | None
 
 
 class ZipReader(DataSourceReader):
@@ -96,7 +100,11 @@ class ZipReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for uri in archives_under(self.path):
+        for uri, size in archives_under(self.path):
+            if self.listing or size <= self.range_bytes:
+                if size > EMPTY_BYTES:
+                    out.append(Members(uri, 0, None))
+                continue
             with _archive(uri) as archive:
                 sizes = [m.compress_size for m in self._members(archive)]
             first = held = 0
@@ -117,22 +125,30 @@ class ZipReader(DataSourceReader):
                 numbers = [pa.array([getattr(m, x) for m in own], pa.int64()) for x in ("file_size", "compress_size")]
                 yield pa.RecordBatch.from_arrays([pa.array([partition.archive] * len(own), pa.string()), pa.array(names, pa.string()), *numbers], names=["archive", "member", "size", "compressed"])
                 return
+            # Lines of many small members go out together.
+            held: list[tuple[str, int, list[str]]] = []
+            n = 0
             for m in own:
                 with archive.open(m) as stream:
-                    lines: list[str] = []
-                    at = 0
+                    at, lines = 0, []
                     for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=None):
                         lines.append(line.removesuffix("\n"))
-                        if len(lines) == LINES:
-                            yield self._batch(partition.archive, m.filename, at, lines)
-                            at, lines = at + len(lines), []
-                    if lines:
-                        yield self._batch(partition.archive, m.filename, at, lines)
+                        if n + len(lines) == LINES:
+                            yield self._batch(partition.archive, [*held, (m.filename, at, lines)])
+                            at, lines, held, n = at + len(lines), [], [], 0
+                if lines:
+                    held.append((m.filename, at, lines))
+                    n += len(lines)
+            if held:
+                yield self._batch(partition.archive, held)
 
     @staticmethod
-    def _batch(archive: str, member: str, at: int, lines: list[str]) -> pa.RecordBatch:
-        n = len(lines)
-        columns = [pa.array([archive] * n, pa.string()), pa.array([member] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array(lines, pa.string())]
+    def _batch(archive: str, held: list[tuple[str, int, list[str]]]) -> pa.RecordBatch:
+        """Lines of members, each with the number of its first."""
+        members = [name for name, _, lines in held for _ in lines]
+        numbers = [k for _, at, lines in held for k in range(at, at + len(lines))]
+        values = [v for _, _, lines in held for v in lines]
+        columns = [pa.array([archive] * len(values), pa.string()), pa.array(members, pa.string()), pa.array(numbers, pa.int64()), pa.array(values, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["archive", "member", "line_no", "value"])
 
 
@@ -188,8 +204,8 @@ def summarize_trajectories(points: DataFrame) -> DataFrame:
     )
 
 
-def write_zip(files: DataFrame, uri: str) -> DataFrame:
-    """Writes files (member, place, value: the lines of each member by place) as archives under uri, one a task, and gives archive and members of each.
+def write_zip(files: DataFrame, uri: str, members: int = MEMBERS) -> DataFrame:
+    """Writes files (member, place, value: the lines of each member by place) as archives of at most ``members`` members under uri, and gives archive and members of each.
 
     Members are dealt out by name. An archive is written under another name and then renamed, so a task can be run again.
     """
@@ -198,11 +214,23 @@ def write_zip(files: DataFrame, uri: str) -> DataFrame:
         import uuid
 
         system, root = _opened(uri)
-        name, n, stream, current, archive, raw = uuid.uuid4().hex, 0, None, None, None, None
+        name, n, stream, current, archive, raw = "", 0, None, None, None, None
+
+        def closed() -> pa.RecordBatch:
+            stream.close()
+            archive.close()
+            raw.close()
+            system.move(f"{root}/{name}.part", f"{root}/{name}.zip")
+            return pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}.zip"]), pa.array([n], pa.int64())], names=["archive", "members"])
+
         for b in batches:
             for member, value in zip(b.column("member").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if archive is not None and member != current and n == members:
+                    yield closed()
+                    archive = None
                 if archive is None:
                     system.create_dir(root, recursive=True)
+                    name, n, stream, current = uuid.uuid4().hex, 0, None, None
                     raw = system.open_output_stream(f"{root}/{name}.part")
                     archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                 if member != current:
@@ -211,10 +239,6 @@ def write_zip(files: DataFrame, uri: str) -> DataFrame:
                     stream, current, n = archive.open(member, "w"), member, n + 1
                 stream.write((value + "\n").encode())
         if archive is not None:
-            stream.close()
-            archive.close()
-            raw.close()
-            system.move(f"{root}/{name}.part", f"{root}/{name}.zip")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}.zip"]), pa.array([n], pa.int64())], names=["archive", "members"])
+            yield closed()
 
     return files.select("member", "place", "value").repartition("member").sortWithinPartitions("member", "place").mapInArrow(run, "archive string, members long")
