@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import jensen_shannon
 from ..operators import clean, comparators, days, evidence, forward, locate, relational, reliability, routines, userdays
 from ..sources.shared import shared_folder
-from ..sources.trajectories import points, table
+from ..sources.trajectories import table
 from . import home_office
-from .queries import _HOURS, DEFECTS, STAYS, VISITS, _contrib, _events, _features, _top, query
+from .queries import _HOURS, DEFECTS, STAYS, VISITS, _contrib, _features, _top, query
 
 ZONE = "Asia/Shanghai"
 #: Stays as s0, before any variant is made of them.
@@ -85,7 +85,7 @@ select user_id, cast(d as varchar) as local_date, count(*) as point_count, round
   round(least(coalesce(sum(case when bs = seq and gap > 0 then gap end) / 3600, 0), (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9), 6) as moved_h,
   count(reason) as boundary_count, min(h) as first_hour, max(h) as last_hour, count(distinct h) as hours from pb group by user_id, d""")
 def point_days(spark, sf_dir):
-    return userdays.point_days(clean.clean_trajectory(points(_events(spark, sf_dir), defects=True)), ZONE)
+    return userdays.point_days(clean.clean_trajectory(home_office.observations(spark, sf_dir, defects=True)), ZONE)
 
 
 @query(DEFECTS + _CLEAN + f""", pb as (select *, (epoch_us(ts) - epoch_us(lag(ts) over o)) / 1e6 as gap, lag(seq) over o as bs, lag(la) over o as bla, lag(lo) over o as blo from cl window o as (partition by user_id order by ts)),
@@ -93,7 +93,7 @@ ed as (select user_id, gap, bs = seq as within, {_HAV} as dist from pb where gap
 select user_id, count(*) as edges, count(*) filter (within) as within, round(median(gap), 6) as median_gap_s, round(max(gap), 6) as largest_gap_s, round(max(dist / gap * 3.6), 6) as largest_speed_kmh,
   count(*) filter (dist / gap * 3.6 > 1000) as hard_speed_events, round(sum(case when within then 0.0 else dist end) / 1000, 6) as bridged_km from ed group by user_id""")
 def segment_profile(spark, sf_dir):
-    return clean.segment_profile(clean.consecutive_edges(clean.clean_trajectory(points(_events(spark, sf_dir), defects=True))))
+    return clean.segment_profile(clean.consecutive_edges(clean.clean_trajectory(home_office.observations(spark, sf_dir, defects=True))))
 
 
 _DAYS = STAYS + _HOURS + """,
@@ -121,7 +121,7 @@ def user_days(spark, sf_dir):
 
 def _user_days(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     semantic = _semantic(spark, sf_dir).semantic
-    moved = userdays.point_days(clean.clean_trajectory(points(_events(spark, sf_dir))), ZONE)
+    moved = userdays.point_days(clean.clean_trajectory(home_office.observations(spark, sf_dir)), ZONE)
     return userdays.user_days(moved, semantic, days.hourly_dwell(semantic)), semantic
 
 
