@@ -4,8 +4,11 @@ import datetime as dt
 
 import numpy as np
 
-from wanderlake.operators import clean, locate, stays
+from pyspark.sql import functions as F
+
+from wanderlake.operators import clean, locate, reliability, stays
 from wanderlake.plans import home_office
+from wanderlake.sources import shared
 from wanderlake.sources.trajectories import points, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +42,21 @@ def test_medians_of_a_timestamp_with_several_rows(spark):
     got = {r.user_id: r for r in clean.timestamp_summary(spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, lat double, lon double")).collect()}
     assert (got[1].all_count, got[1].valid_count, got[1].lat, got[1].lon) == (4, 3, 40.00002, 116.0) and 3 < got[1].max_radius_m < 6
     assert (got[2].all_count, got[2].valid_count, got[2].lat, got[2].max_radius_m) == (1, 0, None, None)
+
+
+def test_points_and_stays_are_dealt_out_in_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    x = home_office.from_events(spark, SMALL)
+    events, n = table(spark, SMALL, "events").count(), x.semantic.count()
+    # Adaptive execution may not join the parts again, as it knows packed bytes only.
+    assert home_office.observations(spark, SMALL).rdd.getNumPartitions() == -(-events // 100) > 4
+    assert x.semantic.rdd.getNumPartitions() == max(4, -(-n // 100))
+
+
+def test_assignments_deal_out_no_stays_again(spark):
+    s = home_office.from_events(spark, SMALL).semantic
+    assert plan(reliability._chosen(reliability.place_evidence(s), reliability.USER, [(F.lit(True), F.struct("location_id"))])).count("Exchange hashpartitioning") == 1
+    assert plan(reliability.dominant_hours(s)).count("Exchange hashpartitioning") == 1
+    details = plan(reliability.dropout(s))
+    # Stays once for each of three passes; then places, and candidates by method and label.
+    assert details.count("REPARTITION_BY_NUM") == 3 and details.count("Exchange hashpartitioning") <= 6

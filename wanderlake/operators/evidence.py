@@ -27,6 +27,13 @@ RULES = (HOME, OFFICE)
 MIN_DATE_OVERLAP_S, SATURATION_DATES, MIN_STAYS = 600.0, 5, 2
 
 
+def overlap_s(rule: WindowRule, day: str) -> Column:
+    """Seconds of a stay within the rule's window of the date in column day; not positive where they don't meet."""
+    at = lambda hour: F.convert_timezone(F.col("timezone_id"), F.lit("UTC"), F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour)))
+    end_hour = rule.end_hour if rule.end_hour > rule.start_hour else rule.end_hour + 24
+    return F.timestamp_diff("MICROSECOND", F.greatest("arrival", at(rule.start_hour)), F.least("departure", at(end_hour))) / 1e6
+
+
 def contributions(semantic: DataFrame, rule: WindowRule) -> DataFrame:
     """user_id, location_id, behavior_date, overlap_s > 0, for each day from the one before the arrival to the departure.
 
@@ -35,11 +42,7 @@ def contributions(semantic: DataFrame, rule: WindowRule) -> DataFrame:
     days = F.sequence(F.date_sub(F.to_date("local_arrival"), 1), F.to_date("local_departure"))
     d = semantic.select("user_id", "location_id", "arrival", "departure", "timezone_id", F.explode(days).alias("behavior_date"))
     d = d.where(F.weekday("behavior_date").isin(*rule.weekdays))
-    at = lambda day, hour: F.convert_timezone(F.col("timezone_id"), F.lit("UTC"), F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour)))
-    end_hour = rule.end_hour if rule.end_hour > rule.start_hour else rule.end_hour + 24
-    opens, closes = F.greatest("arrival", at("behavior_date", rule.start_hour)), F.least("departure", at("behavior_date", end_hour))
-    overlap = F.timestamp_diff("MICROSECOND", opens, closes) / 1e6
-    return d.withColumn("overlap_s", overlap).where("overlap_s > 0").select("user_id", "location_id", "behavior_date", "overlap_s")
+    return d.withColumn("overlap_s", overlap_s(rule, "behavior_date")).where("overlap_s > 0").select("user_id", "location_id", "behavior_date", "overlap_s")
 
 
 def window_features(semantic: DataFrame, locations: DataFrame, rule: WindowRule) -> DataFrame:

@@ -70,84 +70,134 @@ TARGET_HOURS = {"HOME": tuple(range(0, 6)), "OFFICE": tuple(range(9, 16))}
 MIN_HOURS_SHARE, MIN_DAYS, MIN_STAYS = 0.40, 3, 2
 
 
-def fixed_assignments(semantic: DataFrame, locations: DataFrame) -> DataFrame:
-    """The best candidate of each label by windows, and whether its gates let it through."""
-    from .evidence import RULES, top_candidate, window_features
-
-    out = None
-    for rule in RULES:
-        top = top_candidate(window_features(semantic, locations, rule), rule)
-        emitted = (F.col("share") >= rule.min_share) & (F.col("margin") >= rule.min_margin)
-        rows = top.select("user_id", F.lit(FIXED).alias("method"), F.lit(rule.label).alias("label"), "location_id", F.col("share").alias("score"), F.col("dates").alias("support_days"), emitted.alias("emitted"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def dominant_hours(semantic: DataFrame) -> DataFrame:
-    """The place with most overlap in each local hour of a user: user_id, hour_start, location_id, overlap_s."""
-    hours = F.sequence(F.date_trunc("hour", F.col("local_arrival")).cast("timestamp_ntz"), F.col("local_departure"), F.expr("interval 1 hour"))
-    h = semantic.where("local_departure > local_arrival").select("user_id", "location_id", "local_arrival", "local_departure", F.explode(hours).alias("hour_start"))
+#: The columns that tell users apart, without and with variants of their stays.
+USER, VARIANT = ("user_id",), ("user_id", "variant")
+
+
+def with_variants(semantic: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """semantic with the names of the variants whose condition holds for a row, so that one plan runs all variants at once."""
+    return semantic.withColumn("variants", F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in variants.items()])))
+
+
+def _carried(df: DataFrame, by: tuple[str, ...]) -> list[str]:
+    return [c if c in df.columns else "variants" for c in by]
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A copy of each row for each of its variants; work that is the same in all of them goes before."""
+    return df.withColumn("variant", F.explode("variants")).drop("variants") if "variants" in df.columns else df
+
+
+def place_evidence(semantic: DataFrame, by: tuple[str, ...] = USER) -> DataFrame:
+    """A row a place: stay_count, dwell_s, days, weekdays, and for each rule seconds and dates (600 s or more) in its window.
+
+    Stays are counted by place and date first, all rules at once, so one pass serves every method that needs no hours.
+    """
+    from .evidence import MIN_DATE_OVERLAP_S, RULES, overlap_s
+
+    on = F.to_date("local_arrival")
+    # Windows may reach over midnight, so the day before counts as well.
+    dates = F.sequence(F.date_sub(on, 1), F.greatest(on, F.to_date("local_departure")))
+    d = semantic.select(*_carried(semantic, by), "location_id", "arrival", "departure", "timezone_id", "duration_s", on.alias("on"), F.explode_outer(dates).alias("d"))
+    seconds = {r.label: F.greatest(F.lit(0.0), F.when(F.weekday("d").isin(*r.weekdays), overlap_s(r, "d"))) for r in RULES}
+    d = d.withColumns({"here": F.col("d").eqNullSafe(F.col("on")), **seconds})
+    d = d.where(F.col("here") | (F.greatest(*seconds, F.lit(0.0)) > 0)).select(*_carried(semantic, by), "location_id", "d", "here", F.when(F.col("here"), F.col("duration_s")).alias("s"), *seconds)
+    by_date = _spread(d).groupBy(*by, "location_id", "d").agg(F.count_if("here").alias("stays"), F.sum("s").alias("s"), *[F.sum(label).alias(label) for label in seconds])
+    came = F.col("stays") > 0
+    windows = [c for r in RULES for c in (F.sum(r.label).alias(f"{r.label}_s"), F.count_if(F.col(r.label) >= MIN_DATE_OVERLAP_S).alias(f"{r.label}_dates"))]
+    return by_date.groupBy(*by, "location_id").agg(
+        F.sum("stays").alias("stay_count"), F.sum("s").alias("dwell_s"), F.count_if(came & F.col("d").isNotNull()).alias("days"), F.count_if(came & (F.weekday("d") < 5)).alias("weekdays"), *windows
+    )
+
+
+def _chosen(places: DataFrame, by: tuple[str, ...], rows: list[tuple[Column, Column]]) -> DataFrame:
+    return places.select(*by, F.inline(F.array_compact(F.array(*[F.when(cond, row) for cond, row in rows]))))
+
+
+def _candidate(method: str, label: str, score: Column, support_days: Column, emitted: Column) -> Column:
+    return F.struct(
+        F.lit(method).alias("method"), F.lit(label).alias("label"), F.col("location_id"), score.alias("score"), support_days.cast("long").alias("support_days"), F.coalesce(emitted, F.lit(False)).alias("emitted")
+    )
+
+
+def _ranked_fixed(places: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The best candidate of each label by windows, and whether its gates let it through (as evidence.top_candidate)."""
+    from .evidence import RULES
+
+    rows, user = [], Window.partitionBy(*by)
+    for r in RULES:
+        s, n, share, ok = F.col(f"{r.label}_s"), F.col(f"{r.label}_dates"), F.col(f"{r.label}_share"), F.col(f"{r.label}_ok")
+        total = F.sum(s).over(user)
+        places = places.withColumns({f"{r.label}_share": F.when(total > 0, s / total).otherwise(F.lit(0.0)), f"{r.label}_ok": (F.col("stay_count") >= MIN_STAYS) & (n >= r.min_dates) & (s > 0)})
+        w = user.orderBy(ok.desc(), share.desc(), n.desc(), s.desc(), F.desc("stay_count"), "location_id")
+        places = places.withColumns({f"{r.label}_rank": F.row_number().over(w), f"{r.label}_next": F.lead(F.when(ok, share)).over(w)})
+        emitted = (share >= r.min_share) & (share - F.coalesce(f"{r.label}_next", F.lit(0.0)) >= r.min_margin)
+        rows.append((ok & (F.col(f"{r.label}_rank") == 1), _candidate(FIXED, r.label, share, n, emitted)))
+    return places, rows
+
+
+def _ranked_free(places: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """HOME: the recurring place of the longest dwell. OFFICE: of the other recurring ones, that on the most weekdays (three or more)."""
+    user, recurs = Window.partitionBy(*by), F.col("stay_count") >= MIN_STAYS
+    home = user.orderBy(recurs.desc(), F.desc("dwell_s"), F.desc("days"), F.desc("stay_count"), "location_id")
+    places = places.withColumns({"h": F.row_number().over(home), "all_s": F.sum(F.when(recurs, F.col("dwell_s"))).over(user), "most": F.greatest(F.max(F.when(recurs, F.col("weekdays"))).over(user), F.lit(1))})
+    other = recurs & (F.col("h") > 1)
+    places = places.withColumn("o", F.row_number().over(user.orderBy(other.desc(), F.desc("weekdays"), F.desc("dwell_s"), F.desc("stay_count"), "location_id")))
+    no = F.lit(False)
+    return places, [
+        (recurs & (F.col("h") == 1), _candidate(RECURRENCE, "HOME", F.col("dwell_s") / F.col("all_s"), F.col("days"), no)),
+        (other & (F.col("o") == 1) & (F.col("weekdays") >= MIN_DAYS), _candidate(RECURRENCE, "OFFICE", F.col("weekdays") / F.col("most"), F.col("weekdays"), no)),
+    ]
+
+
+def dominant_hours(semantic: DataFrame, by: tuple[str, ...] = USER, hours: tuple[int, ...] | None = None) -> DataFrame:
+    """The place with most overlap in each local hour of a user: by, hour_start, location_id, overlap_s. hours: only these of the day."""
+    starts = F.sequence(F.date_trunc("hour", F.col("local_arrival")).cast("timestamp_ntz"), F.col("local_departure"), F.expr("interval 1 hour"))
+    if hours is not None:
+        starts = F.filter(starts, lambda h: F.hour(h).isin(*hours))
+    h = semantic.where("local_departure > local_arrival").select(*_carried(semantic, by), "location_id", "local_arrival", "local_departure", F.explode(starts).alias("hour_start"))
     s = F.timestamp_diff("MICROSECOND", F.greatest("local_arrival", "hour_start"), F.least("local_departure", F.col("hour_start") + F.expr("interval 1 hour"))) / 1e6
-    g = h.withColumn("s", s).where("s > 0").groupBy("user_id", "hour_start", "location_id").agg(F.sum("s").alias("overlap_s"))
-    w = Window.partitionBy("user_id", "hour_start").orderBy(F.desc("overlap_s"), "location_id")
+    h = h.withColumn("s", s).where("s > 0").select(*_carried(semantic, by), "location_id", "hour_start", "s")
+    g = _spread(h).groupBy(*by, "hour_start", "location_id").agg(F.sum("s").alias("overlap_s"))
+    w = Window.partitionBy(*by, "hour_start").orderBy(F.desc("overlap_s"), "location_id")
     return g.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def hourly_assignments(semantic: DataFrame, locations: DataFrame) -> DataFrame:
+def hourly_assignments(semantic: DataFrame, by: tuple[str, ...] = USER) -> DataFrame:
     """HOME by the mean share of observed night hours, OFFICE by the share of observed weekdays, over days that show enough of the target hours."""
-    bins = dominant_hours(semantic).withColumn("d", F.to_date("hour_start"))
-    out = None
-    for label, hours in TARGET_HOURS.items():
-        t = bins.where(F.hour("hour_start").isin(*hours))
-        t = t if label == "HOME" else t.where(F.weekday("d") < 5)
-        observed = F.count("*").over(Window.partitionBy("user_id", "d"))  # one row an hour
-        t = t.withColumn("observed", observed).where(F.col("observed") >= math.ceil(MIN_HOURS_SHARE * len(hours)))
-        day = t.groupBy("user_id", "d", "location_id").agg((F.count("*") / F.first("observed")).alias("fraction"))
-        days = F.size(F.collect_set("d").over(Window.partitionBy("user_id")))
-        # Rounded, so that ties are ties in whatever order the fractions are added.
-        place = day.withColumn("valid_days", days).groupBy("user_id", "location_id", "valid_days").agg(F.round(F.avg("fraction"), 9).alias("hour_fraction"), F.count("*").alias("visited"))
-        place = place.withColumn("day_share", F.col("visited") / F.col("valid_days")).join(locations.select("user_id", "location_id", "stay_count"), ["user_id", "location_id"])
-        first, second = ("hour_fraction", "day_share") if label == "HOME" else ("day_share", "hour_fraction")
-        w = Window.partitionBy("user_id").orderBy(F.desc(first), F.desc(second), F.desc("visited"), "location_id")
-        top = place.where((F.col("valid_days") >= MIN_DAYS) & (F.col("stay_count") >= MIN_STAYS)).withColumn("r", F.row_number().over(w)).where("r = 1")
-        rows = top.select("user_id", F.lit(HOURLY).alias("method"), F.lit(label).alias("label"), "location_id", F.col(first).alias("score"), F.col("valid_days").cast("long").alias("support_days"), F.lit(False).alias("emitted"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    bins = dominant_hours(semantic, by, tuple(sorted({h for hours in TARGET_HOURS.values() for h in hours}))).withColumn("d", F.to_date("hour_start"))
+    meant = [F.when(F.hour("hour_start").isin(*hours) & (F.lit(label == "HOME") | (F.weekday("d") < 5)), F.lit(label)) for label, hours in TARGET_HOURS.items()]
+    need = F.coalesce(*[F.when(F.col("label") == label, math.ceil(MIN_HOURS_SHARE * len(hours))) for label, hours in TARGET_HOURS.items()])
+    day = Window.partitionBy(*by, "label", "d")
+    # One row an hour; the first one of a day stands for the day.
+    t = bins.withColumn("label", F.explode(F.array_compact(F.array(*meant))))
+    t = t.withColumns({"observed": F.count("*").over(day), "head": (F.row_number().over(day.orderBy("hour_start")) == 1).cast("int")}).where(F.col("observed") >= need)
+    days = t.groupBy(*by, "label", "d", "location_id").agg((F.count("*") / F.first("observed")).alias("fraction"), F.max("head").alias("head"))
+    days = days.withColumn("valid_days", F.sum("head").over(Window.partitionBy(*by, "label")))
+    # Rounded, so that ties are ties in whatever order the fractions are added.
+    place = days.groupBy(*by, "label", "location_id", "valid_days").agg(F.round(F.avg("fraction"), 9).alias("hour_fraction"), F.count("*").alias("visited"))
+    share, home = F.col("visited") / F.col("valid_days"), F.col("label") == "HOME"
+    place = place.withColumns({"score": F.when(home, F.col("hour_fraction")).otherwise(share), "then": F.when(home, share).otherwise(F.col("hour_fraction"))})
+    w = Window.partitionBy(*by, "label").orderBy(F.desc("score"), F.desc("then"), F.desc("visited"), "location_id")
+    recurring = _spread(semantic.select(*_carried(semantic, by), "location_id")).groupBy(*by, "location_id").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_STAYS)
+    top = place.where(F.col("valid_days") >= MIN_DAYS).join(recurring, [*by, "location_id"], "left_semi").withColumn("r", F.row_number().over(w)).where("r = 1")
+    return top.select(*by, F.lit(HOURLY).alias("method"), "label", "location_id", "score", F.col("valid_days").alias("support_days"), F.lit(False).alias("emitted"))
 
 
 def schedule_free_assignments(semantic: DataFrame) -> DataFrame:
     """HOME: the recurring place of the longest dwell. OFFICE: of the other recurring ones, that on the most weekdays (three or more)."""
-    d = F.to_date("local_arrival")
-    f = semantic.groupBy("user_id", "location_id").agg(F.sum("duration_s").alias("dwell_s"), F.count("*").alias("stays"), F.countDistinct(d).alias("days"), F.countDistinct(F.when(F.weekday(d) < 5, d)).alias("weekdays")).where(F.col("stays") >= MIN_STAYS)
-    w = Window.partitionBy("user_id")
-    f = f.withColumns({"h": F.row_number().over(w.orderBy(F.desc("dwell_s"), F.desc("days"), F.desc("stays"), "location_id")), "share": F.col("dwell_s") / F.sum("dwell_s").over(w), "most": F.greatest(F.max("weekdays").over(w), F.lit(1))})
-    home = f.where("h = 1").select("user_id", F.lit(RECURRENCE).alias("method"), F.lit("HOME").alias("label"), "location_id", F.col("share").alias("score"), F.col("days").alias("support_days"), F.lit(False).alias("emitted"))
-    others = f.where("h > 1").withColumn("o", F.row_number().over(w.orderBy(F.desc("weekdays"), F.desc("dwell_s"), F.desc("stays"), "location_id")))
-    office = others.where((F.col("o") == 1) & (F.col("weekdays") >= MIN_DAYS)).select("user_id", F.lit(RECURRENCE).alias("method"), F.lit("OFFICE").alias("label"), "location_id", (F.col("weekdays") / F.col("most")).alias("score"), F.col("weekdays").alias("support_days"), F.lit(False).alias("emitted"))
-    return home.unionByName(office)
-
+    places, rows = _ranked_free(place_evidence(semantic), USER)
+    return _chosen(places, USER, rows)
 
-def infer_assignments(semantic: DataFrame) -> DataFrame:
-    """The candidates of all three methods: user_id, method, label, location_id, score, support_days, emitted."""
-    from .locate import summarize_locations
 
-    locations = summarize_locations(semantic)
-    return fixed_assignments(semantic, locations).unionByName(hourly_assignments(semantic, locations)).unionByName(schedule_free_assignments(semantic))
+def infer_assignments(semantic: DataFrame, by: tuple[str, ...] = USER) -> DataFrame:
+    """The candidates of all three methods: by, method, label, location_id, score, support_days, emitted.
 
-
-def with_variants(semantic: DataFrame, variants: dict[str, Column]) -> DataFrame:
-    """A copy of each row for each variant whose condition holds, with the user and the variant as user_id.
-
-    Users of different variants are then different users to every operator, so one plan runs all variants at once.
+    Every step groups by the user and something else, so stays that are dealt out by user are not dealt out again.
     """
-    names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in variants.items()]))
-    rows = semantic.withColumn("_variant", F.explode(names))
-    return rows.withColumn("user_id", F.struct(F.col("user_id").alias("user"), F.col("_variant").alias("variant"))).drop("_variant")
-
-
-def apart(assignments: DataFrame) -> DataFrame:
-    """assignments of variants with user_id and variant as columns again."""
-    return assignments.withColumn("variant", F.col("user_id.variant")).withColumn("user_id", F.col("user_id.user"))
+    places, fixed = _ranked_fixed(place_evidence(semantic, by), by)
+    places, free = _ranked_free(places, by)
+    return _chosen(places, by, fixed + free).unionByName(hourly_assignments(semantic, by))
 
 
 def date_share_split(semantic: DataFrame, share: float) -> DataFrame:
@@ -176,7 +226,7 @@ def _both_halves(a: DataFrame) -> DataFrame:
 
 def split_half(semantic: DataFrame) -> DataFrame:
     """split, user_id, method, label, and the location of either half: by early and late dates, and by odd and even weeks."""
-    return _both_halves(apart(infer_assignments(with_variants(_with_halves(semantic), _half_variants()).drop("first", "odd"))))
+    return _both_halves(infer_assignments(with_variants(_with_halves(semantic), _half_variants()).drop("first", "odd"), VARIANT))
 
 
 def split_half_summary(details: DataFrame) -> DataFrame:
@@ -218,7 +268,7 @@ def uniform(seed: Column, *keys: Column) -> Column:
 def dropout(semantic: DataFrame, rates: tuple[float, ...] = (0.1, 0.2, 0.3), seeds: tuple[int, ...] = (11, 23, 42)) -> DataFrame:
     """Whether each candidate is found again when stays are left out at random: rate, seed, user_id, method, label, location_id, retained."""
     kept = _kept(rates, seeds)
-    return _dropped(apart(infer_assignments(with_variants(semantic, {"all": F.lit(True), **kept}))), list(kept))
+    return _dropped(infer_assignments(with_variants(semantic, {"all": F.lit(True), **kept}), VARIANT), list(kept))
 
 
 def _kept(rates: tuple[float, ...], seeds: tuple[int, ...]) -> dict[str, Column]:
@@ -232,9 +282,11 @@ def _dropped(a: DataFrame, variants: list[str]) -> DataFrame:
 
 def _retained(a: DataFrame, variants: list[str]) -> DataFrame:
     """Each candidate of the variant all beside every other variant."""
-    reference = a.where("variant = 'all'").select("user_id", "method", "label", "location_id").withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    other = a.where("variant <> 'all'").select("user_id", "method", "label", "variant", F.col("location_id").alias("other"))
-    return reference.join(other, ["user_id", "method", "label", "variant"], "left").withColumn("retained", F.coalesce(F.col("location_id") == F.col("other"), F.lit(False)))
+    at = lambda v: F.max(F.when(F.col("variant") == v, F.col("location_id")))
+    # A candidate is the only one of its variant, so all variants meet in one grouping and nothing is worked out twice for a join.
+    g = a.groupBy("user_id", "method", "label").agg(at("all").alias("location_id"), F.array(*[F.struct(F.lit(v).alias("variant"), at(v).alias("other")) for v in variants]).alias("others"))
+    g = g.where("location_id is not null").select("user_id", "method", "label", "location_id", F.inline("others"))
+    return g.withColumn("retained", F.coalesce(F.col("location_id") == F.col("other"), F.lit(False)))
 
 
 def retention(details: DataFrame, by: str) -> DataFrame:
@@ -243,11 +295,11 @@ def retention(details: DataFrame, by: str) -> DataFrame:
 
 def time_shift(semantic: DataFrame, hours: int = 12) -> DataFrame:
     """Whether each candidate is found again when the local clock is moved: user_id, method, label, location_id, retained."""
-    s = with_variants(semantic, {"all": F.lit(True), "shifted": F.lit(True)})
-    moved = F.when(F.col("user_id.variant") == "shifted", F.make_dt_interval(hours=F.lit(hours))).otherwise(F.make_dt_interval())
+    s = _spread(with_variants(semantic, {"all": F.lit(True), "shifted": F.lit(True)}))
+    moved = F.when(F.col("variant") == "shifted", F.make_dt_interval(hours=F.lit(hours))).otherwise(F.make_dt_interval())
     # Instants move with the local clock, so windows that are compared as instants see the shift as well.
     s = s.withColumns({c: F.col(c) + moved for c in ("arrival", "departure", "local_arrival", "local_departure")})
-    return _retained(apart(infer_assignments(s)), ["shifted"]).withColumn("shift_hours", F.lit(hours)).select("shift_hours", "user_id", "method", "label", "location_id", "retained")
+    return _retained(infer_assignments(s, VARIANT), ["shifted"]).withColumn("shift_hours", F.lit(hours)).select("shift_hours", "user_id", "method", "label", "location_id", "retained")
 
 
 def suite(semantic: DataFrame, uri: str, rate: float = 0.3, seeds: tuple[int, ...] = (11, 23, 42), share: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -255,7 +307,7 @@ def suite(semantic: DataFrame, uri: str, rate: float = 0.3, seeds: tuple[int, ..
     s = date_share_split(_with_halves(semantic), share)
     dropped = _kept((rate,), seeds)
     variants = {"all": F.lit(True), "train": F.col("train"), **_half_variants(), **dropped}
-    a = apart(infer_assignments(with_variants(s, variants).drop("train", "first", "odd")))
+    a = infer_assignments(with_variants(s, variants).drop("train", "first", "odd"), VARIANT)
     a.write.parquet(uri)
     a = semantic.sparkSession.read.schema(a.schema).parquet(uri)
     of = lambda names: a.where(F.col("variant").isin(names))
