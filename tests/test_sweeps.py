@@ -91,3 +91,19 @@ def test_sensitivity_of_locations(spark):
     got = {r.threshold_m: r for r in sweeps.location_sensitivity(sweeps.sweep_locations(s, [50.0, 200.0]), 200.0).collect()}
     assert (got[200.0].dominant_anchor, got[200.0].no_stable_anchor, got[200.0].recurring_locations, got[200.0].top_anchor_stability) == (1, 1, 1, 1.0)
     assert (got[50.0].two_anchor, got[50.0].recurring_locations, got[50.0].top_anchor_stability) == (1, 2, 0.5) and got[50.0].motif_stability == pytest.approx(4 / 6)
+
+
+def test_stays_and_places_of_a_sweep_are_worked_out_once(spark):
+    from wanderlake.plans.sweeps import location_sensitivity
+
+    plan = location_sensitivity(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Kernels have run by then; no branch runs them again, and no branch meets another one's stays.
+    assert "MapInArrow" not in plan and "SortMergeJoin" not in plan.replace("SortMergeJoin [threshold_m", "")
+
+
+def test_places_at_several_thresholds_are_those_of_separate_runs(spark, walks):
+    s = stays.detect_staypoints(clean.clean_trajectory(walks, clean.CleaningConfig(max_gap_s=600)), 200.0, 600.0)
+    swept = sweeps.sweep_locations(s, [100.0, 400.0]).collect()
+    for t in (100.0, 400.0):
+        own = {(r.user_id, r.arrival, r.location_id) for r in locate.cluster_stays(s, "complete_link", t).collect()}
+        assert own and own == {(r.user_id, r.arrival, r.location_id) for r in swept if r.threshold_m == t}

@@ -17,13 +17,14 @@ def hourly_dwell(semantic: DataFrame) -> DataFrame:
     return h.groupBy("user_id", "location_id", F.to_date("local").alias("local_date"), F.hour("local").alias("hour")).agg(F.sum("s").alias("dwell_s"))
 
 
-def daily_motifs(semantic: DataFrame) -> DataFrame:
-    """The places of each user-day in order, repeats in a row once. A user-day's stays meet in one group."""
-    w = Window.partitionBy("user_id", "local_date").orderBy("arrival", "location_id")
+def daily_motifs(semantic: DataFrame, *more: str) -> DataFrame:
+    """The places of each user-day (and of each value of more keys) in order, repeats in a row once. A user-day's stays meet in one group."""
+    by = [*more, "user_id", "local_date"]
+    w = Window.partitionBy(*by).orderBy("arrival", "location_id")
     d = semantic.withColumn("local_date", F.to_date("local_arrival")).withColumn("before", F.lag("location_id").over(w))
     d = d.where("before is null or before <> location_id")
     steps = F.transform(F.array_sort(F.collect_list(F.struct("arrival", "location_id"))), lambda x: x["location_id"].cast("string"))
-    return d.groupBy("user_id", "local_date").agg(F.array_join(steps, ">").alias("motif"))
+    return d.groupBy(*by).agg(F.array_join(steps, ">").alias("motif"))
 
 
 def transitions(semantic: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,23 +173,28 @@ def spots(user: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarra
     return np.sort(first), spot
 
 
-def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m: float = 200.0) -> DataFrame:
-    """stays with location_id, numbered by first arrival within a user.
+def numbered_places(stays: DataFrame, column: T.StructField, clusters: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """stays with column: the numbers of their places, by first arrival within a user; a long, or an array of longs for several clusterings (a row of clusters each).
 
     Only a user's different spots go through the kernel, many users in one call; the stays pass by and take the numbers of their spots, so nothing is joined.
     """
-    kernel = METHODS[method]
 
     def located(t: pa.Table) -> Iterator[pa.RecordBatch]:
         user, lat, lon = (np.asarray(t[c]) for c in ("user_id", "lat", "lon"))
         first, spot = spots(user, lat, lon)
         owner, lat, lon = user[first], lat[first], lon[first]
         cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        number = np.empty(len(first), np.int64)
+        numbers = []
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(first)).tolist(), strict=True):
-            _, at, back = np.unique(kernel(lat[lo:hi], lon[lo:hi], threshold_m), return_index=True, return_inverse=True)
-            number[lo:hi] = np.argsort(np.argsort(at))[back]
-        yield from t.append_column("location_id", pa.array(number[spot])).to_batches()
+            own = []
+            for label in np.atleast_2d(clusters(lat[lo:hi], lon[lo:hi])):
+                _, at, back = np.unique(label, return_index=True, return_inverse=True)
+                own.append(np.argsort(np.argsort(at))[back])
+            numbers.append(own)
+        number = np.concatenate(numbers, axis=1)[:, spot]
+        flat = pa.array(number.T.ravel())
+        several = isinstance(column.dataType, T.ArrayType)
+        yield from t.append_column(column.name, pa.ListArray.from_arrays(np.arange(len(user) + 1, dtype=np.int32) * len(number), flat) if several else flat).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,7 +212,13 @@ def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m:
             yield from located(pa.Table.from_batches(held))
 
     known = stays.where("user_id is not null and lat is not null and lon is not null")
-    return known.repartition("user_id").sortWithinPartitions("user_id", "arrival", "departure", "lat", "lon").mapInArrow(run, T.StructType([*stays.schema, T.StructField("location_id", T.LongType())]))
+    return known.repartition("user_id").sortWithinPartitions("user_id", "arrival", "departure", "lat", "lon").mapInArrow(run, T.StructType([*stays.schema, column]))
+
+
+def cluster_stays(stays: DataFrame, method: str = "complete_link", threshold_m: float = 200.0) -> DataFrame:
+    """stays with location_id, numbered by first arrival within a user."""
+    kernel = METHODS[method]
+    return numbered_places(stays, T.StructField("location_id", T.LongType()), lambda lat, lon: kernel(lat, lon, threshold_m))
 
 
 def summarize_locations(semantic: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import days
 from .clean import require
-from .locate import chained, merges, near_pairs
+from .locate import chained, merges, near_pairs, numbered_places
 from .stays import ROWS, STAYS, distances_m, first_far, medians
 
 
@@ -190,24 +191,21 @@ def cut_at(lat: np.ndarray, lon: np.ndarray, thresholds: list[float]) -> np.ndar
     return out
 
 
-def sweep_locations(stays: DataFrame, thresholds_m: list[float]) -> DataFrame:
-    """threshold_m and the stays with location_id, numbered by first arrival within a user, at each threshold."""
-    spots = stays.groupBy("user_id", "lat", "lon").agg(F.min(F.struct("arrival", "departure")).alias("first"))
+def numbered_at(stays: DataFrame, thresholds_m: list[float]) -> DataFrame:
+    """stays with location_ids: the numbers of their places, by first arrival within a user, at each threshold."""
+    return numbered_places(stays, T.StructField("location_ids", T.ArrayType(T.LongType())), lambda lat, lon: cut_at(lat, lon, thresholds_m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["user_id"]):
-            user, lat, lon = (np.asarray(t[c]) for c in ("user_id", "lat", "lon"))
-            number = np.empty((len(thresholds_m), len(user)), np.int64)
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for k, label in enumerate(cut_at(lat[a:b], lon[a:b], thresholds_m)):
-                    _, first, back = np.unique(label, return_index=True, return_inverse=True)
-                    number[k, a:b] = np.argsort(np.argsort(first))[back]
-            for k, threshold in enumerate(thresholds_m):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(user), threshold, float)), *[pa.array(x) for x in (user, lat, lon, number[k])]], names=["threshold_m", "user_id", "lat", "lon", "location_id"])
 
-    dealt = spots.repartition("user_id").sortWithinPartitions("user_id", "first", "lat", "lon").select(F.col("user_id").cast("long").alias("user_id"), "lat", "lon")
-    found = dealt.mapInArrow(run, "threshold_m double, user_id long, lat double, lon double, location_id long")
-    return stays.join(found, ["user_id", "lat", "lon"]).select("threshold_m", *stays.columns, "location_id")
+def at_thresholds(numbered: DataFrame, thresholds_m: list[float]) -> DataFrame:
+    """threshold_m and the stays with location_id, a row for each of numbered_at()'s thresholds."""
+    each = F.inline(F.arrays_zip(F.array(*[F.lit(float(t)) for t in thresholds_m]).alias("threshold_m"), F.col("location_ids").alias("location_id"))).alias("threshold_m", "location_id")
+    stays = [c for c in numbered.columns if c != "location_ids"]
+    return numbered.select(*stays, each).select("threshold_m", *stays, "location_id")
+
+
+def sweep_locations(stays: DataFrame, thresholds_m: list[float]) -> DataFrame:
+    """threshold_m and the stays with location_id, numbered by first arrival within a user, at each threshold."""
+    return at_thresholds(numbered_at(stays, thresholds_m), thresholds_m)
 
 
 ANCHORS = ("no_stable_anchor", "dominant_anchor", "two_anchor", "multiple_anchor")
@@ -219,17 +217,17 @@ def location_sensitivity(swept: DataFrame, baseline_m: float) -> DataFrame:
     per_place = swept.groupBy("threshold_m", "user_id", "location_id").agg(F.count("*").alias("n"))
     per_user = per_place.groupBy("threshold_m", "user_id").agg(F.count_if(F.col("n") >= 2).alias("recurring"))
     kinds = per_user.groupBy("threshold_m").agg(F.sum("recurring").alias("recurring_locations"), *[F.count_if(F.col("recurring") == k if k < 3 else F.col("recurring") >= 3).alias(name) for k, name in enumerate(ANCHORS)])
+    # A user's rows at all thresholds stand beside each other, so the baseline is seen there and nothing is worked out again for a join.
+    baseline = lambda c, *by: F.max(F.when(F.col("threshold_m") == baseline_m, F.col(c))).over(Window.partitionBy(*by))
     # The members of a user's first place, whatever their order, as one number each and their count.
     member = F.xxhash64("arrival", "departure").cast("decimal(38,0)")
     first = swept.where("location_id = 0").select("threshold_m", "user_id", "arrival", "departure", member.alias("m")).distinct()
-    top = first.groupBy("threshold_m", "user_id").agg(F.sum("m").alias("members"), F.count("*").alias("n"))
-    base = top.where(F.col("threshold_m") == baseline_m).select("user_id", F.col("members").alias("base_members"), F.col("n").alias("base_n"))
-    same_top = top.join(base, "user_id").groupBy("threshold_m").agg(F.count_if((F.col("members") == F.col("base_members")) & (F.col("n") == F.col("base_n"))).alias("same_top"))
-    motifs = days.daily_motifs(swept.withColumn("user_id", F.struct("threshold_m", "user_id"))).select("user_id.threshold_m", "user_id.user_id", "local_date", "motif")
-    base_motif = motifs.where(F.col("threshold_m") == baseline_m).select("user_id", "local_date", F.col("motif").alias("base_motif"))
-    same_motif = motifs.join(base_motif, ["user_id", "local_date"]).groupBy("threshold_m").agg(F.count_if(F.col("motif") == F.col("base_motif")).alias("same_motif"))
-    # One row of counts.
-    totals = base.agg(F.count("*").alias("tops")).join(F.broadcast(base_motif.agg(F.count("*").alias("motifs"))))
-    joined = kinds.join(same_top, "threshold_m", "left").join(same_motif, "threshold_m", "left").join(F.broadcast(totals))
+    top = first.groupBy("threshold_m", "user_id").agg(F.struct(F.sum("m").alias("members"), F.count("*").alias("n")).alias("top")).withColumn("base", baseline("top", "user_id"))
+    same_top = top.groupBy("threshold_m").agg(F.count_if(F.col("top") == F.col("base")).alias("same_top"), F.count("*").alias("tops"))
+    motifs = days.daily_motifs(swept, "threshold_m").withColumn("base", baseline("motif", "user_id", "local_date"))
+    same_motif = motifs.groupBy("threshold_m").agg(F.count_if(F.col("motif") == F.col("base")).alias("same_motif"), F.count("*").alias("motifs"))
+    # A row a threshold; the baseline's counts go to all of them.
+    joined = kinds.join(same_top, "threshold_m", "left").join(same_motif, "threshold_m", "left")
+    joined = joined.withColumns({c: baseline(c, F.lit(0)) for c in ("tops", "motifs")})
     share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(1.0))
     return joined.select("threshold_m", *ANCHORS, "recurring_locations", share("same_top", "tops").alias("top_anchor_stability"), share("same_motif", "motifs").alias("motif_stability"))

@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from ..operators import clean, locate, sweeps
+from ..sources.shared import dealt, kept
 from ..sources.trajectories import points, table
 from . import home_office
 from .queries import STAYS, VISITS, query
@@ -39,5 +40,7 @@ def stay_grid(spark, sf_dir):
 @query(STAYS + """, pp as (select user_id, location_id, count(*) as n from s group by all), pu as (select user_id, count(*) filter (n >= 2) as r from pp group by user_id)
 select unnest([100.0, 200.0, 600.0])::double as threshold_m, count(*) filter (r = 0) as no_stable_anchor, count(*) filter (r = 1) as dominant_anchor, count(*) filter (r = 2) as two_anchor, count(*) filter (r >= 3) as multiple_anchor, sum(r)::bigint as recurring_locations, 1.0::double as top_anchor_stability, 1.0::double as motif_stability from pu""")
 def location_sensitivity(spark, sf_dir):
-    located = locate.with_local_time(home_office.detect(home_office.observations(spark, sf_dir)))
-    return sweeps.location_sensitivity(sweeps.sweep_locations(located, THRESHOLDS), BASELINE)
+    stays = locate.with_local_time(home_office.detect(home_office.observations(spark, sf_dir)))
+    # Written once, since three groupings read them and the kernels behind them are dear; all thresholds stand in one row, and are spread after that.
+    numbered = dealt(kept(sweeps.numbered_at(stays, THRESHOLDS), "sweeps"), "user_id")
+    return sweeps.location_sensitivity(sweeps.at_thresholds(numbered, THRESHOLDS), BASELINE)
