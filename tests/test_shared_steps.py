@@ -79,3 +79,14 @@ def test_assignments_deal_out_no_stays_again(spark):
     details = plan(reliability.dropout(s))
     # Stays once for each of three passes; then places, and candidates by method and label.
     assert details.count("REPARTITION_BY_NUM") == 3 and details.count("Exchange hashpartitioning") <= 6
+
+
+def test_replicates_of_days_are_not_dealt_out_again(spark):
+    from wanderlake.operators import routines
+    from wanderlake.plans.habits import _routine
+
+    sequences, moves, _ = _routine(spark, SMALL)
+    days = shared.dealt(shared.kept(routines.days_with_moves(moves, sequences), "days"), "user_id")
+    null = routines.partition_null(days, 5, 42)
+    assert plan(null).count("Exchange ") == 1 and "Join" not in plan(null)
+    assert days.count() == sequences.count() > 0 and days.selectExpr("sum(size(pairs)) as n").first().n == moves.count() > 0

@@ -120,18 +120,25 @@ def adjacent_windows(windows: DataFrame, moves: DataFrame, by_window: str) -> Da
     return pairs.join(out, ["user_id", by_window], "left")
 
 
-def partition_null(moves: DataFrame, sequences: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Per user: the divergence of edges between early and late days, and how often as many days drawn at random are parted as far or farther.
+def days_with_moves(moves: DataFrame, sequences: DataFrame) -> DataFrame:
+    """user_id, local_date and the day's moves as an array (origin, destination), of every day of sequences, also without a move. A user-day's moves meet in one group."""
+    pairs = moves.groupBy(*DAY).agg(F.collect_list(F.struct("origin", "destination")).alias("pairs"))
+    return sequences.select(*DAY).join(pairs, DAY, "left")
 
-    A replicate orders a user's days by a hash; all replicates and the real split are one plan.
+
+def partition_null(day: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per user: the divergence of edges between early and late days, and how often as many days drawn at random are parted as far or farther. day: days_with_moves().
+
+    A replicate orders a user's days by a hash; all replicates and the real split are one plan. Every step groups by the user and something else, so days that are
+    dealt out by user are not dealt out again, nor are the replicates, which carry the days' moves instead of being joined with them.
     """
     from .reliability import uniform
 
-    days = sequences.select(*DAY).withColumn("r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    days = day.withColumn("r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     place = F.when(F.col("r") < 0, F.lit(0.0)).otherwise(uniform(F.lit(seed), F.col("user_id"), F.col("r"), F.col("local_date")))
     w = Window.partitionBy("user_id", "r")
     d = days.withColumns({"k": F.row_number().over(w.orderBy(place, "local_date")), "n": F.count("*").over(w)}).where(F.col("n") >= 2 * MIN_HALF_DAYS)
-    e = moves.join(d.select(*DAY, "r", (F.col("k") > F.floor(F.col("n") / 2)).alias("late")), DAY).groupBy("user_id", "r", "origin", "destination").agg(F.count_if(~F.col("late")).alias("a"), F.count_if("late").alias("b"))
+    e = d.select("user_id", "r", (F.col("k") > F.floor(F.col("n") / 2)).alias("late"), F.inline("pairs")).groupBy("user_id", "r", "origin", "destination").agg(F.count_if(~F.col("late")).alias("a"), F.count_if("late").alias("b"))
     e = e.withColumns({"p": F.try_divide("a", F.sum("a").over(w)), "q": F.try_divide("b", F.sum("b").over(w))})
     half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(2 * F.col(x) / (F.col("p") + F.col("q")))).otherwise(F.lit(0.0)) / 2
     j = e.where("p is not null and q is not null").groupBy("user_id", "r").agg(F.round(F.sum(half("p") + half("q")), 9).alias("jsd"))

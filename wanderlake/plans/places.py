@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context, routines
+from ..sources.shared import dealt, kept
 from ..sources.trajectories import table
 from .habits import _SEG, _routine
 from .queries import _SPOTS, query
@@ -71,4 +72,5 @@ jr as (select *, max(jsd) filter (r < 0) over (partition by user_id) as rl from
 select user_id, round(any_value(rl), 6) as jsd, count(*) filter (r >= 0) as replicates, round(median(jsd) filter (r >= 0), 6) as median_null, count(*) filter (r >= 0 and jsd >= rl) as as_far, round((count(*) filter (r >= 0 and jsd >= rl) + 1) / (count(*) filter (r >= 0) + 1), 6) as p_value from jr where rl is not null group by user_id""")
 def partition_null(spark, sf_dir):
     sequences, moves, _ = _routine(spark, sf_dir)
-    return routines.partition_null(moves, sequences, 20, 42)
+    # Dealt out by rows of days: each becomes 21 replicates within its task.
+    return routines.partition_null(dealt(kept(routines.days_with_moves(moves, sequences), "days"), "user_id"), 20, 42)
