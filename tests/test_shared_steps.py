@@ -83,6 +83,7 @@ def test_assignments_deal_out_no_stays_again(spark):
 
 def test_replicates_of_days_are_not_dealt_out_again(spark):
     from wanderlake.operators import routines
+    from wanderlake.plans import queries  # noqa: F401 (the registry loads the plans in their order)
     from wanderlake.plans.habits import _routine
 
     sequences, moves, _ = _routine(spark, SMALL)
